@@ -1,0 +1,51 @@
+"""Anti join that holds when one key owns a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# At most this many keys are treated apart, which bounds what is broadcast. Any other key
+# then owns less than one row in MAX_HEAVY_KEYS, or fewer than HEAVY_KEY_ROWS rows.
+MAX_HEAVY_KEYS = 1000
+HEAVY_KEY_ROWS = 1_000_000
+
+
+def heavy_keys(rows: DataFrame, key: str, heavy_key_rows: int = HEAVY_KEY_ROWS) -> DataFrame:
+    """The most frequent keys, MAX_HEAVY_KEYS of them at most.
+
+    Counting combines before the shuffle, so a heavy key arrives as one row per map task.
+    """
+    return (
+        rows.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > heavy_key_rows)
+        .orderBy(F.desc("_n"))
+        .limit(MAX_HEAVY_KEYS)
+        .select(key)
+    )
+
+
+def anti_join(
+    rows: DataFrame,
+    taken: DataFrame,
+    key: str,
+    known_rows: int | None = None,
+    heavy_key_rows: int = HEAVY_KEY_ROWS,
+) -> DataFrame:
+    """Rows whose non-null key is not in ``taken``.
+
+    Rows of heavy keys are never shuffled: the heavy keys (bounded) are looked up in
+    ``taken`` and broadcast. The rest joins by shuffle or, where adaptive execution measures
+    a small side, by broadcast. A caller that knows the row count and finds it too small
+    for any key to be heavy gets the plain join.
+    """
+    if known_rows is not None and known_rows <= heavy_key_rows:
+        return rows.join(taken.select(key), key, "left_anti")
+    heavy = heavy_keys(rows, key, heavy_key_rows)
+    heavy_taken = taken.select(key).join(F.broadcast(heavy), key, "left_semi").distinct()
+    light = rows.join(F.broadcast(heavy), key, "left_anti").join(taken.select(key), key, "left_anti")
+    kept_heavy = rows.join(F.broadcast(heavy), key, "left_semi").join(
+        F.broadcast(heavy_taken), key, "left_anti"
+    )
+    return light.unionByName(kept_heavy)
