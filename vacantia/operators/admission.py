@@ -29,16 +29,23 @@ def _stored_matches(candidates: DataFrame, stored: DataFrame, key: str) -> DataF
 
 
 def without_known_urls(
-    candidates: DataFrame, stored: DataFrame, heavy_key_rows: int = HEAVY_KEY_ROWS
+    candidates: DataFrame,
+    stored: DataFrame,
+    known_rows: int | None = None,
+    heavy_key_rows: int = HEAVY_KEY_ROWS,
 ) -> DataFrame:
     """Candidates with a URL that no stored offer has."""
     with_url = candidates.where(F.col("url") != "")
-    return anti_join(with_url, _stored_matches(with_url, stored, "url"), "url", heavy_key_rows=heavy_key_rows)
+    known = _stored_matches(with_url, stored, "url")
+    return anti_join(with_url, known, "url", known_rows, heavy_key_rows)
 
 
 @dataclass(frozen=True)
 class Admission:
+    """Kept rows, their values of the order column, how many there are, rounds taken."""
+
     offers: DataFrame
+    kept: DataFrame
     count: int
     rounds: int
 
@@ -95,11 +102,10 @@ def admit(
         undecided = stage(rest, "admit-open")
 
     if not kept:
-        return Admission(candidates.limit(0), 0, rounds)
+        return Admission(candidates.limit(0), candidates.select(order).limit(0), 0, rounds)
     chosen = reduce(DataFrame.unionByName, [part.table.select(order) for part in kept])
-    return Admission(
-        candidates.join(chosen, order, "left_semi"), sum(part.rows for part in kept), rounds
-    )
+    count = sum(part.rows for part in kept)
+    return Admission(candidates.join(chosen, order, "left_semi"), chosen, count, rounds)
 
 
 def _marked(key: str, order: str) -> Column:

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # At most this many keys are treated apart, which bounds what is broadcast. Any other key
-# then owns less than one row in MAX_HEAVY_KEYS, or fewer than HEAVY_KEY_ROWS rows.
+# then owns less than one row in MAX_HEAVY_KEYS, or no more than HEAVY_KEY_ROWS rows.
 MAX_HEAVY_KEYS = 1000
 HEAVY_KEY_ROWS = 1_000_000
 
 
-def heavy_keys(rows: DataFrame, key: str, heavy_key_rows: int = HEAVY_KEY_ROWS) -> DataFrame:
+def heavy_keys(rows: DataFrame, key: str, heavy_key_rows: int = HEAVY_KEY_ROWS) -> list[str]:
     """The most frequent keys, MAX_HEAVY_KEYS of them at most.
 
     Counting combines before the shuffle, so a heavy key arrives as one row per map task.
     """
-    return (
+    found = (
         rows.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > heavy_key_rows)
@@ -24,6 +24,7 @@ def heavy_keys(rows: DataFrame, key: str, heavy_key_rows: int = HEAVY_KEY_ROWS)
         .limit(MAX_HEAVY_KEYS)
         .select(key)
     )
+    return [row[0] for row in found.collect() if row[0] is not None]
 
 
 def anti_join(
@@ -33,19 +34,22 @@ def anti_join(
     known_rows: int | None = None,
     heavy_key_rows: int = HEAVY_KEY_ROWS,
 ) -> DataFrame:
-    """Rows whose non-null key is not in ``taken``.
-
-    Rows of heavy keys are never shuffled: the heavy keys (bounded) are looked up in
-    ``taken`` and broadcast. The rest joins by shuffle or, where adaptive execution measures
-    a small side, by broadcast. A caller that knows the row count and finds it too small
-    for any key to be heavy gets the plain join.
+    """Rows whose key is not in ``taken``; rows without key stay.
+
+    Adaptive execution does not split a skewed join whose other side comes straight from an
+    aggregation on the same key, so heavy keys are found first (one narrow count, left out
+    where ``known_rows`` shows that no key can be heavy). Their rows are not shuffled: what
+    ``taken`` holds of the heavy keys has MAX_HEAVY_KEYS rows at most and is broadcast. All
+    other rows take the plain join, for which Spark picks shuffle or, where it measures a
+    small side, broadcast.
     """
-    if known_rows is not None and known_rows <= heavy_key_rows:
-        return rows.join(taken.select(key), key, "left_anti")
-    heavy = heavy_keys(rows, key, heavy_key_rows)
-    heavy_taken = taken.select(key).join(F.broadcast(heavy), key, "left_semi").distinct()
-    light = rows.join(F.broadcast(heavy), key, "left_anti").join(taken.select(key), key, "left_anti")
-    kept_heavy = rows.join(F.broadcast(heavy), key, "left_semi").join(
-        F.broadcast(heavy_taken), key, "left_anti"
-    )
-    return light.unionByName(kept_heavy)
+    taken = taken.select(key)
+    plenty = known_rows is None or known_rows > heavy_key_rows
+    heavy = heavy_keys(rows, key, heavy_key_rows) if plenty else []
+    if not heavy:
+        return rows.join(taken, key, "left_anti")
+    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    taken_heavy = taken.where(F.col(key).isin(heavy)).distinct()
+    light = rows.where(~is_heavy).join(taken, key, "left_anti")
+    rest = rows.where(is_heavy).join(F.broadcast(taken_heavy), key, "left_anti")
+    return light.unionByName(rest)

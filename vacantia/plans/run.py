@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as V
@@ -14,7 +14,8 @@ from vacantia.config import Config
 from vacantia.functions.ids import arrival_order
 from vacantia.operators.admission import admit
 from vacantia.operators.dedup import first_by_url, last_value_first_place
-from vacantia.operators.filters import to_score, with_url, without_forbidden_terms
+from vacantia.operators.filters import has_forbidden_term, to_score, with_url
+from vacantia.operators.metrics import target_counters
 from vacantia.operators.scoring import score_offers, score_rows
 from vacantia.plans.exports import report_name, write_export, write_report
 from vacantia.plans.store import OfferStore
@@ -47,27 +48,35 @@ class Landing:
 @dataclass(frozen=True)
 class RunResult:
     new_offers: int
-    scored: bool
+    scored_offers: int
     report_path: str | None
     export_path: str | None
     failed_sources: dict[str, str]
 
 
-def candidates_a(pages: DataFrame, config: Config) -> DataFrame:
-    """Source A: accepted pages, last value per target and id, no forbidden terms."""
-    results = ingest_pages(pages, config.max_results)
+def moment(as_of: datetime) -> Column:
+    """A point in time in the session's zone, as a constant."""
+    return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+
+
+def typed_a(pages: DataFrame, config: Config) -> DataFrame:
+    """Source A: accepted results as stored offers, with what later decisions need."""
     order = arrival_order(F.lit(V.SOURCE_RANK["adzuna"]), F.col("request_no"), F.col("position"))
-    offers = results.select("target_no", "pays", order.alias("seq"), "offer.*")
-    distinct = last_value_first_place(offers, target="target_no").drop("seq").withColumnRenamed("place", "seq")
-    fitting = without_forbidden_terms(distinct, config.forbidden_terms, "title", "description")
-    return normalise_a(fitting, keep=("seq",)).select("seq", *OFFER_TEXTS)
+    results = ingest_pages(pages, config.max_results).select("target_no", "pays", order.alias("seq"), "offer.*")
+    marked = results.withColumn("raw_id", F.col("id"))
+    return _marked(normalise_a(marked, keep=("seq", "target_no", "raw_id")), config)
+
 
+def typed_external(parts: list[DataFrame], config: Config) -> DataFrame:
+    """Sources B and C as stored offers; they have no target."""
+    stored = external_to_stored(union_external(*parts), keep=("seq",))
+    target = F.lit(None).cast("bigint")
+    return _marked(stored.withColumns({"target_no": target, "raw_id": F.lit(None).cast("string")}), config)
 
-def candidates_external(parts: list[DataFrame], config: Config) -> DataFrame:
-    """Sources B and C: the first row of a URL decides, even if it is then rejected."""
-    first = first_by_url(union_external(*parts))
-    fitting = without_forbidden_terms(first, config.forbidden_terms, "titre", "description")
-    return external_to_stored(fitting, keep=("seq",)).select("seq", *OFFER_TEXTS)
+
+def _marked(offers: DataFrame, config: Config) -> DataFrame:
+    rejected = has_forbidden_term(F.col("intitule"), F.col("description"), config.forbidden_terms)
+    return offers.select("seq", "target_no", "raw_id", *OFFER_TEXTS, rejected.alias("rejected"))
 
 
 def _ordered(rows: DataFrame, source: str) -> DataFrame:
@@ -75,8 +84,10 @@ def _ordered(rows: DataFrame, source: str) -> DataFrame:
     return rows.withColumn("seq", order).drop("request_no", "position")
 
 
-def collect(spark: SparkSession, landing: Landing, config: Config, as_of: datetime) -> tuple[DataFrame | None, dict]:
-    """Candidates of all sources that can be read, and the errors of the others."""
+def collect(
+    spark: SparkSession, landing: Landing, config: Config, as_of: datetime
+) -> tuple[DataFrame | None, dict[str, str]]:
+    """Offers of all sources that can be read, row by row, and the errors of the others."""
     readers: dict[str, Callable[[], DataFrame]] = {}
     if landing.pages_a:
         readers["adzuna"] = lambda: good_rows(read_pages_a(spark, landing.pages_a))
@@ -88,30 +99,50 @@ def collect(spark: SparkSession, landing: Landing, config: Config, as_of: dateti
 
         def newest() -> DataFrame:
             rows = _ordered(good_rows(read_json(spark, landing.rows_c, ROW_C)), "indeed")
-            return read_c(newest_c(rows, F.lit(as_of), hours, wanted), keep=("seq",))
+            return read_c(newest_c(rows, moment(as_of), hours, wanted), keep=("seq",))
 
         readers["indeed"] = newest
     read, failed = read_available(readers)
     parts = []
     if "adzuna" in read:
-        parts.append(candidates_a(read["adzuna"], config))
+        parts.append(typed_a(read["adzuna"], config))
     external = [read[source] for source in ("apec", "indeed") if source in read]
     if external:
-        parts.append(candidates_external(external, config))
+        parts.append(typed_external(external, config))
     if not parts:
         return None, failed
-    candidates = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return with_url(candidates), failed
+    return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])), failed
+
 
+def decide(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """De-duplicated rows found, and those of them that are candidates.
 
-def add_offers(store: OfferStore, candidates: DataFrame, as_of: datetime, version: int) -> int:
-    """Admit candidates against the living offers and append them; returns how many."""
-    admission = admit(candidates, store.alive_keys(before=version))
-    rows = admission.offers.select(
-        *OFFER_TEXTS, F.lit(as_of).cast("timestamp").alias("collected_at"), F.lit(version).alias("version")
+    Source A keeps the last value of a raw id per target, at the first place. Sources B and
+    C keep the first row of a URL, and only then reject: if that row is rejected, a later
+    clean copy is lost with it. All of this runs on narrow columns.
+    """
+    narrow = typed.select("seq", "target_no", "raw_id", "id", "url", "rejected")
+    found_a = last_value_first_place(narrow.where(F.col("target_no").isNotNull()), "target_no", "raw_id")
+    found_ext = first_by_url(narrow.where(F.col("target_no").isNull())).withColumn("place", F.col("seq"))
+    found = found_a.unionByName(found_ext)
+    return found, with_url(found.where(~F.col("rejected")))
+
+
+def add_offers(store: OfferStore, typed: DataFrame, as_of: datetime, version: int) -> tuple[int, DataFrame]:
+    """Admit typed offers against the living ones and append them.
+
+    Everything is decided on narrow rows; the wide rows cross one shuffle, or none where
+    the admitted rows are few enough to broadcast. Returns the number of new offers and the
+    counters per target.
+    """
+    found, candidates = decide(typed)
+    admission = admit(candidates, store.alive_keys(before=version), order="place")
+    new = stage(admission.offers.select("seq", "target_no"), "new")
+    rows = typed.join(new.table.select("seq"), "seq", "left_semi").select(
+        *OFFER_TEXTS, moment(as_of).alias("collected_at"), F.lit(version).alias("version")
     )
     store.append("offers", rows, version)
-    return admission.count
+    return admission.count, target_counters(found, new.table, "target_no")
 
 
 def score_waiting(
@@ -122,11 +153,12 @@ def score_waiting(
     version: int,
     retry_failed: bool = False,
     partitions: int | None = None,
-) -> None:
-    """Score every offer that waits, each model call being made once by the writing job."""
+) -> DataFrame:
+    """Score every offer that waits; the write calls the model once per offer."""
     waiting = to_score(store.current(), retry_failed)
     scores = score_offers(waiting, config.profile, make_scorer, partitions)
-    store.append("scores", score_rows(scores, F.lit(as_of), version + 1), version + 1)
+    store.append("scores", score_rows(scores, moment(as_of), version), version)
+    return store.read("scores").where(F.col("version") == version)
 
 
 def run_batch(
@@ -143,23 +175,23 @@ def run_batch(
 
     ``version`` grows by 2 or more between runs: offers take it, scores the one after.
     """
-    candidates, failed = collect(spark, landing, config, as_of)
-    new = 0
-    if candidates is not None:
-        new = add_offers(store, stage(candidates, "candidates").table, as_of, version)
+    typed, failed = collect(spark, landing, config, as_of)
+    new = scored_ok = 0
+    if typed is not None:
+        new, _ = add_offers(store, stage(typed, "typed").table, as_of, version)
     if new > 0:
-        score_waiting(store, config, make_scorer, as_of, version)
+        scores = score_waiting(store, config, make_scorer, as_of, version + 1)
+        scored_ok = scores.where(F.col("score") >= 0).count()
     offers = stage(store.current().where(F.col("score") >= 0), "scored").table
     report = write_report(offers, f"{out}/{report_name(as_of)}", as_of)
     export = write_export(offers, f"{out}/offres")
-    fresh_scores = store.read("scores").where(F.col("version") == version + 1)
     summary = spark.range(1).select(
         F.lit(version).alias("version"),
-        F.lit(as_of).cast("timestamp").alias("run_at"),
+        moment(as_of).alias("run_at"),
         F.lit(new).alias("new_offers"),
-        F.lit(fresh_scores.where(F.col("score") >= 0).count() if new else 0).alias("scored_offers"),
+        F.lit(scored_ok).alias("scored_offers"),
         F.lit(report).cast("string").alias("report_path"),
         F.lit(export).cast("string").alias("export_path"),
     )
     store.append("runs", summary, version)
-    return RunResult(new, new > 0, report, export, failed)
+    return RunResult(new, scored_ok, report, export, failed)
