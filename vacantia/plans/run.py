@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,14 @@ from vacantia.operators.metrics import target_counters
 from vacantia.operators.scoring import score_offers, score_rows
 from vacantia.plans.exports import report_name, write_export, write_report
 from vacantia.plans.store import OfferStore
-from vacantia.schemas import ITEM_B, OFFER_TEXTS, ROW_C
+from vacantia.schemas import ITEM_B, OFFER_TEXTS, PAGE_A, ROW_C
 from vacantia.sources.pages import ingest_pages
 from vacantia.sources.readers import (
     external_to_stored,
     good_rows,
     newest_c,
     normalise_a,
+    quarantined,
     read_available,
     read_b,
     read_c,
@@ -114,6 +116,20 @@ def collect(
     return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])), failed
 
 
+def broken_records(spark: SparkSession, landing: Landing) -> DataFrame | None:
+    """(source, record) of every landed line that is not readable JSON.
+
+    This is a pass of its own over the landed text, for whoever wants to see the lines.
+    """
+    sources = [
+        ("adzuna", landing.pages_a, PAGE_A),
+        ("apec", landing.items_b, ITEM_B),
+        ("indeed", landing.rows_c, ROW_C),
+    ]
+    parts = [quarantined(read_json(spark, path, schema), name) for name, path, schema in sources if path]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def decide(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """De-duplicated rows found, and those of them that are candidates.
 

@@ -22,18 +22,16 @@ def with_corrupt(schema: T.StructType) -> T.StructType:
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Landed JSON lines with a fixed schema; broken lines are kept aside in one column."""
-    return (
-        spark.read.schema(with_corrupt(schema))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("ignoreMissingFiles", "true")
-        .json(path)
-    )
+    """Landed JSON lines with a fixed schema; broken lines are kept aside in one column.
+
+    Lines are read as text and then parsed, so that the broken ones can be asked for alone.
+    """
+    lines = spark.read.option("ignoreMissingFiles", "true").text(path)
+    return parse_json(lines.where(F.trim("value") != ""), "value", schema)
 
 
 def parse_json(rows: DataFrame, text: str, schema: T.StructType) -> DataFrame:
-    """Same as ``read_json`` for JSON held in a text column."""
+    """JSON held in a text column, its fields as columns."""
     record = F.from_json(
         text, with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
