@@ -151,6 +151,7 @@ def test_full_run_twice(spark, tmp_path, landing):
     assert first.new_offers == 3 and first.failed_sources == {}
     assert all(r.score is not None for r in offers.values())
     assert first.scored_offers == sum(r.score >= 0 for r in offers.values())
+    assert {(r.target_no, r.found, r.rejected, r.inserted) for r in first.counters.where("target_no is not null").collect()} == {(0, 2, 1, 1), (1, 2, 0, 0)}
     run = store.read("runs").first()
     assert (run.new_offers, run.scored_offers, run.report_path) == (3, first.scored_offers, first.report_path)
 
@@ -268,6 +269,12 @@ def test_documents_with_one_slug(spark, tmp_path):
     ]
 
 
+def test_base_documents_are_read_whole(spark, tmp_path):
+    (tmp_path / "cv.html").write_text("<p>é\n</p>\n", encoding="utf-8")
+    row = readers.read_text_documents(spark, str(tmp_path / "cv.html")).first()
+    assert row.html == "<p>é\n</p>\n" and row.path.endswith("cv.html")
+
+
 # --- configuration ----------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.operators.skew import HEAVY_KEY_ROWS, anti_join
+from vacantia.operators.skew import HEAVY_ROWS, anti_join, heavy_keys
 from vacantia.staging import Staged, stage
 
 # After this many rounds a small rest (long chains of conflicts) is finished in one task.
@@ -32,12 +32,13 @@ def without_known_urls(
     candidates: DataFrame,
     stored: DataFrame,
     known_rows: int | None = None,
-    heavy_key_rows: int = HEAVY_KEY_ROWS,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Candidates with a URL that no stored offer has."""
     with_url = candidates.where(F.col("url") != "")
     known = _stored_matches(with_url, stored, "url")
-    return anti_join(with_url, known, "url", known_rows, heavy_key_rows)
+    heavy = heavy_keys(with_url, "url", known_rows=known_rows, heavy_rows=heavy_rows)
+    return anti_join(with_url, known, "url", heavy["url"])
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,7 @@ def admit(
     order: str = "seq",
     finish_rows: int = FINISH_ROWS,
     rounds_before_finish: int = ROUNDS_BEFORE_FINISH,
-    heavy_key_rows: int = HEAVY_KEY_ROWS,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> Admission:
     """Keep, in ``order``, each row whose id and url no kept or stored row holds.
 
@@ -78,12 +79,14 @@ def admit(
         ),
         "admit-open",
     )
+    # A key that is not heavy now will not become so, as the rows only get fewer.
+    heavy = heavy_keys(undecided.table, "id", "url", known_rows=undecided.rows, heavy_rows=heavy_rows)
     if stored is not None and undecided.rows:
         rest = undecided.table
         for key in ("id", "url"):
             held = stored.where(F.col(key).isNotNull()).select(F.concat(F.lit("="), F.col(key)).alias(key))
             known = _stored_matches(undecided.table, held, key)
-            rest = anti_join(rest, known, key, undecided.rows, heavy_key_rows)
+            rest = anti_join(rest, known, key, heavy[key])
         undecided = stage(rest, "admit-open")
     kept: list[Staged] = []
     rounds = 0
@@ -98,7 +101,7 @@ def admit(
             break
         rest = undecided.table
         for key in ("id", "url"):
-            rest = anti_join(rest, winners.table, key, undecided.rows, heavy_key_rows)
+            rest = anti_join(rest, winners.table, key, heavy[key])
         undecided = stage(rest, "admit-open")
 
     if not kept:

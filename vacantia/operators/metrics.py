@@ -50,10 +50,6 @@ def score_outcome(scores: DataFrame) -> DataFrame:
 
 
 def slug_collisions(offers: DataFrame) -> DataFrame:
-    """Slugs that several offers share, with the count and the two outermost ids."""
-    return (
-        offers.select(artifact_slug(F.col("id")).alias("slug"), "id")
-        .groupBy("slug")
-        .agg(F.count(F.lit(1)).alias("offers"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-        .where(F.col("offers") > 1)
-    )
+    """Slugs that several offers share, and how many do."""
+    slugs = offers.select(artifact_slug(F.col("id")).alias("slug"))
+    return count_by(slugs, "slug", "offers").where(F.col("offers") > 1)

@@ -5,47 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are treated apart, which bounds what is broadcast. Any other key
-# then owns less than one row in MAX_HEAVY_KEYS, or no more than HEAVY_KEY_ROWS rows.
-MAX_HEAVY_KEYS = 1000
-HEAVY_KEY_ROWS = 1_000_000
+# A key that owns more than this share of the rows is heavy, so there are 1000 at most,
+# which bounds what is broadcast. Among fewer rows than HEAVY_ROWS no key matters.
+HEAVY_SHARE = 0.001
+HEAVY_ROWS = 1_000_000
 
 
-def heavy_keys(rows: DataFrame, key: str, heavy_key_rows: int = HEAVY_KEY_ROWS) -> list[str]:
-    """The most frequent keys, MAX_HEAVY_KEYS of them at most.
+def heavy_keys(
+    rows: DataFrame, *keys: str, known_rows: int | None = None, heavy_rows: int = HEAVY_ROWS
+) -> dict[str, list[str]]:
+    """Per key column, every value that owns more than HEAVY_SHARE of the rows.
 
-    Counting combines before the shuffle, so a heavy key arrives as one row per map task.
+    ``freqItems`` keeps a bounded set of counters per task and misses no such value; what
+    it names in excess is sorted out by counting the named values alone. Both passes are
+    narrow and shuffle next to nothing.
     """
-    found = (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > heavy_key_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HEAVY_KEYS)
-        .select(key)
-    )
-    return [row[0] for row in found.collect() if row[0] is not None]
-
-
-def anti_join(
-    rows: DataFrame,
-    taken: DataFrame,
-    key: str,
-    known_rows: int | None = None,
-    heavy_key_rows: int = HEAVY_KEY_ROWS,
-) -> DataFrame:
-    """Rows whose key is not in ``taken``; rows without key stay.
+    if known_rows is not None and known_rows <= heavy_rows:
+        return {key: [] for key in keys}
+    total = rows.count() if known_rows is None else known_rows
+    named = rows.select(*keys).freqItems(list(keys), HEAVY_SHARE).first()
+    heavy = {}
+    for i, key in enumerate(keys):
+        counts = rows.where(F.col(key).isin(named[i])).groupBy(key).count()
+        heavy[key] = [row[0] for row in counts.where(F.col("count") > HEAVY_SHARE * total).collect()]
+    return heavy
+
+
+def anti_join(rows: DataFrame, taken: DataFrame, key: str, heavy: list[str]) -> DataFrame:
+    """Rows whose key is not in ``taken``; ``heavy`` names the keys of very many rows.
 
     Adaptive execution does not split a skewed join whose other side comes straight from an
-    aggregation on the same key, so heavy keys are found first (one narrow count, left out
-    where ``known_rows`` shows that no key can be heavy). Their rows are not shuffled: what
-    ``taken`` holds of the heavy keys has MAX_HEAVY_KEYS rows at most and is broadcast. All
-    other rows take the plain join, for which Spark picks shuffle or, where it measures a
-    small side, broadcast.
+    aggregation on the same key, so heavy keys are treated apart. Their rows are not
+    shuffled: what ``taken`` holds of the heavy keys is bounded by their number and is broadcast. All other rows take the plain join, for which Spark picks shuffle or, where
+    it measures a small side, broadcast.
     """
     taken = taken.select(key)
-    plenty = known_rows is None or known_rows > heavy_key_rows
-    heavy = heavy_keys(rows, key, heavy_key_rows) if plenty else []
     if not heavy:
         return rows.join(taken, key, "left_anti")
     is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))

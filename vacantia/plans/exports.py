@@ -102,7 +102,7 @@ def run_summary(
     ok = scores.where(F.col("score") >= 0).select(F.lit(0).alias("n"), F.lit(1).alias("s"))
     return new.unionByName(ok).agg(
         F.lit(version).cast("bigint").alias("version"),
-        F.first(run_at).alias("run_at"),
+        F.lit(run_at).alias("run_at"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("new_offers"),
         F.coalesce(F.sum("s"), F.lit(0)).alias("scored_offers"),
         F.lit(report_path).cast("string").alias("report_path"),

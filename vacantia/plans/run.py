@@ -18,7 +18,7 @@ from vacantia.operators.dedup import first_by_url, last_value_first_place
 from vacantia.operators.filters import has_forbidden_term, to_score, with_url
 from vacantia.operators.metrics import target_counters
 from vacantia.operators.scoring import score_offers, score_rows
-from vacantia.plans.exports import report_name, write_export, write_report
+from vacantia.plans.exports import report_name, run_summary, write_export, write_report
 from vacantia.plans.store import OfferStore
 from vacantia.schemas import ITEM_B, OFFER_TEXTS, PAGE_A, ROW_C
 from vacantia.sources.pages import ingest_pages
@@ -54,6 +54,7 @@ class RunResult:
     report_path: str | None
     export_path: str | None
     failed_sources: dict[str, str]
+    counters: DataFrame | None
 
 
 def moment(as_of: datetime) -> Column:
@@ -69,9 +70,9 @@ def typed_a(pages: DataFrame, config: Config) -> DataFrame:
     return _marked(normalise_a(marked, keep=("seq", "target_no", "raw_id")), config)
 
 
-def typed_external(parts: list[DataFrame], config: Config) -> DataFrame:
-    """Sources B and C as stored offers; they have no target."""
-    stored = external_to_stored(union_external(*parts), keep=("seq",))
+def typed_external(rows: DataFrame, config: Config) -> DataFrame:
+    """Source B or C as stored offers; they have no target."""
+    stored = external_to_stored(union_external(rows), keep=("seq",))
     target = F.lit(None).cast("bigint")
     return _marked(stored.withColumns({"target_no": target, "raw_id": F.lit(None).cast("string")}), config)
 
@@ -89,31 +90,24 @@ def _ordered(rows: DataFrame, source: str) -> DataFrame:
 def collect(
     spark: SparkSession, landing: Landing, config: Config, as_of: datetime
 ) -> tuple[DataFrame | None, dict[str, str]]:
-    """Offers of all sources that can be read, row by row, and the errors of the others."""
-    readers: dict[str, Callable[[], DataFrame]] = {}
-    if landing.pages_a:
-        readers["adzuna"] = lambda: good_rows(read_pages_a(spark, landing.pages_a))
-    if landing.items_b:
-        readers["apec"] = lambda: read_b(_ordered(good_rows(read_json(spark, landing.items_b, ITEM_B)), "apec"))
-    if landing.rows_c:
+    """Typed offers of all sources that can be read, written once, and the others' errors."""
+
+    def from_a() -> DataFrame:
+        return typed_a(good_rows(read_pages_a(spark, landing.pages_a)), config)
+
+    def from_b() -> DataFrame:
+        landed = good_rows(read_json(spark, landing.items_b, ITEM_B))
+        return typed_external(read_b(_ordered(landed, "apec")), config)
+
+    def from_c() -> DataFrame:
+        landed = _ordered(good_rows(read_json(spark, landing.rows_c, ROW_C)), "indeed")
         wanted = config.indeed.get("results_wanted", V.DEFAULT_RESULTS_WANTED)
         hours = config.indeed.get("hours_old", V.DEFAULT_HOURS_OLD)
+        return typed_external(read_c(newest_c(landed, moment(as_of), hours, wanted), keep=("seq",)), config)
 
-        def newest() -> DataFrame:
-            rows = _ordered(good_rows(read_json(spark, landing.rows_c, ROW_C)), "indeed")
-            return read_c(newest_c(rows, moment(as_of), hours, wanted), keep=("seq",))
-
-        readers["indeed"] = newest
-    read, failed = read_available(readers)
-    parts = []
-    if "adzuna" in read:
-        parts.append(typed_a(read["adzuna"], config))
-    external = [read[source] for source in ("apec", "indeed") if source in read]
-    if external:
-        parts.append(typed_external(external, config))
-    if not parts:
-        return None, failed
-    return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])), failed
+    sources = [("adzuna", landing.pages_a, from_a), ("apec", landing.items_b, from_b), ("indeed", landing.rows_c, from_c)]
+    read, failed = read_available({name: reader for name, path, reader in sources if path})
+    return (reduce(DataFrame.unionByName, read.values()) if read else None), failed
 
 
 def broken_records(spark: SparkSession, landing: Landing) -> DataFrame | None:
@@ -192,22 +186,16 @@ def run_batch(
     ``version`` grows by 2 or more between runs: offers take it, scores the one after.
     """
     typed, failed = collect(spark, landing, config, as_of)
-    new = scored_ok = 0
+    new, counters = 0, None
     if typed is not None:
-        new, _ = add_offers(store, stage(typed, "typed").table, as_of, version)
+        new, counters = add_offers(store, typed, as_of, version)
     if new > 0:
-        scores = score_waiting(store, config, make_scorer, as_of, version + 1)
-        scored_ok = scores.where(F.col("score") >= 0).count()
+        score_waiting(store, config, make_scorer, as_of, version + 1)
     offers = stage(store.current().where(F.col("score") >= 0), "scored").table
     report = write_report(offers, f"{out}/{report_name(as_of)}", as_of)
     export = write_export(offers, f"{out}/offres")
-    summary = spark.range(1).select(
-        F.lit(version).alias("version"),
-        moment(as_of).alias("run_at"),
-        F.lit(new).alias("new_offers"),
-        F.lit(scored_ok).alias("scored_offers"),
-        F.lit(report).cast("string").alias("report_path"),
-        F.lit(export).cast("string").alias("export_path"),
-    )
-    store.append("runs", summary, version)
-    return RunResult(new, scored_ok, report, export, failed)
+    inserted = store.read("offers").where(F.col("version") == version)
+    scores = store.read("scores").where(F.col("version") == version + 1)
+    store.append("runs", run_summary(inserted, scores, version, moment(as_of), report, export), version)
+    summary = store.read("runs").where(F.col("version") == version).first()
+    return RunResult(new, summary["scored_offers"], report, export, failed, counters)

@@ -13,6 +13,7 @@ from vacantia.functions.ids import id_from_raw, id_from_url
 from vacantia.functions.labels import contract_label, salary_label
 from vacantia.functions.text import or_default, or_empty
 from vacantia.schemas import EXTERNAL, PAGE_A, RAW_A, RAW_C
+from vacantia.staging import stage
 
 CORRUPT = "_corrupt_record"
 
@@ -184,16 +185,14 @@ def external_to_stored(offers: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
 def read_available(
     readers: dict[str, Callable[[], DataFrame]],
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Run each source's reader; a source that fails is reported and the others go on.
+    """Read each source into a written table; one that fails does not stop the others.
 
-    ``isEmpty`` makes a source fail here, where it can still be left out.
+    A source can fail anywhere in its data, so it only counts as read once it is written.
     """
     read, failed = {}, {}
     for source, reader in readers.items():
         try:
-            rows = reader()
-            rows.isEmpty()
-            read[source] = rows
-        except Exception as problem:  # any failure of one source must not stop the others
+            read[source] = stage(reader(), f"read-{source}").table
+        except Exception as problem:  # whatever stops one source is that source's problem
             failed[source] = str(problem)
     return read, failed
