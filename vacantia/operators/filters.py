@@ -12,8 +12,8 @@ from vacantia import fixed_values as V
 from vacantia.functions.labels import contract_filter_value, source_dashboard, status_or_default
 from vacantia.functions.text import or_empty
 
-# Up to here the terms become one generated boolean expression; longer lists are tested
-# from one constant array, which keeps the generated code small.
+# Up to here the terms become one boolean expression; more are tested from one constant
+# array, which keeps the plan small.
 _INLINE_TERMS = 200
 
 
@@ -22,15 +22,21 @@ def has_forbidden_term(title: Column, description: Column, terms: list[str | Non
 
     Terms are plain text and match inside words. Null terms are ignored; an empty term
     occurs in every text.
+
+    The lower-cased text is bound as the one element of an array: a filter would otherwise
+    build it again for each term, which dominates the cost on long texts.
     """
-    wanted = list(dict.fromkeys(t for t in terms if t is not None))
+    wanted = [F.lower(F.lit(t)) for t in dict.fromkeys(terms) if t is not None]
     if not wanted:
         return F.lit(False)
+
+    def any_in(text: Column) -> Column:
+        if len(wanted) <= _INLINE_TERMS:
+            return reduce(or_, [F.contains(text, term) for term in wanted])
+        return F.exists(F.array(*wanted), lambda term: F.contains(text, term))
+
     text = F.lower(F.concat(or_empty(title), F.lit(" "), or_empty(description)))
-    if len(wanted) <= _INLINE_TERMS:
-        return reduce(or_, [F.contains(text, F.lower(F.lit(t))) for t in wanted])
-    lowered = F.transform(F.array(*[F.lit(t) for t in wanted]), F.lower)
-    return F.exists(lowered, lambda term: F.contains(text, term))
+    return F.exists(F.array(text), any_in)
 
 
 def without_forbidden_terms(

@@ -32,12 +32,16 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def parse_json(rows: DataFrame, text: str, schema: T.StructType) -> DataFrame:
-    """JSON held in a text column, its fields as columns."""
+    """JSON held in a text column, its fields as columns.
+
+    The record goes through a one-element ``inline``: a later filter on its fields then
+    stays above the parsing and does not parse the text a second time.
+    """
     record = F.from_json(
         text, with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
     others = [c for c in rows.columns if c != text]
-    return rows.select(*others, record.alias("_record")).select(*others, "_record.*")
+    return rows.select(*others, F.inline(F.array(record)))
 
 
 def good_rows(read: DataFrame) -> DataFrame:
@@ -91,26 +95,24 @@ def raw_json(*fields: Column) -> Column:
 # --- source B ---------------------------------------------------------------------------
 
 
-def read_b(items: DataFrame, text: str = "item") -> DataFrame:
-    """Source B items, one JSON text each. The company is an object or a plain string."""
-    item = F.try_parse_json(text)
+def _item_b(item: Column) -> Column:
+    """One parsed item as (keep, common fields)."""
 
     def field(name: str) -> Column:
         return or_empty(F.try_variant_get(item, f"$.{name}", "string"))
 
-    id_kind = F.schema_of_variant(F.try_variant_get(item, "$.id", "variant"))
-    id_number = F.try_variant_get(item, "$.id", "double")
+    def kind(name: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
+
     has_id = (
-        F.when(id_kind == "STRING", field("id") != "")
-        .when(id_kind == "BOOLEAN", F.try_variant_get(item, "$.id", "boolean"))
-        .when(id_kind == "VOID", F.lit(False))
-        .otherwise(F.coalesce(id_number != 0, F.lit(True)))
+        F.when(kind("id") == "STRING", field("id") != "")
+        .when(kind("id") == "BOOLEAN", F.try_variant_get(item, "$.id", "boolean"))
+        .when(kind("id").isNull() | (kind("id") == "VOID"), F.lit(False))
+        .otherwise(F.coalesce(F.try_variant_get(item, "$.id", "double") != 0, F.lit(True)))
     )
-    company_kind = F.schema_of_variant(F.try_variant_get(item, "$.entreprise", "variant"))
-    company = F.when(company_kind.startswith("OBJECT"), field("entreprise.nom")).otherwise(field("entreprise"))
-    others = [c for c in items.columns if c != text]
-    return items.where(id_kind.isNotNull() & has_id).select(
-        *others,
+    company = F.when(kind("entreprise").startswith("OBJECT"), field("entreprise.nom")).otherwise(field("entreprise"))
+    return F.struct(
+        has_id.alias("keep"),
         field("intitule").alias("titre"),
         company.alias("entreprise"),
         field("lieuTexte").alias("localisation"),
@@ -123,6 +125,17 @@ def read_b(items: DataFrame, text: str = "item") -> DataFrame:
     )
 
 
+def read_b(items: DataFrame, text: str = "item") -> DataFrame:
+    """Source B items, one JSON text each. The company is an object or a plain string.
+
+    The parsed item is bound as the one element of an array; otherwise the filter on the id
+    and the projection would each parse the text.
+    """
+    parsed = F.transform(F.array(F.try_parse_json(text)), _item_b)
+    others = [c for c in items.columns if c != text]
+    return items.select(*others, F.inline(F.filter(parsed, lambda item: item["keep"]))).drop("keep")
+
+
 # --- source C ---------------------------------------------------------------------------
 
 
