@@ -32,15 +32,16 @@ def count_by(rows: DataFrame, key: str, name: str) -> DataFrame:
 def target_counters(found: DataFrame, inserted: DataFrame, target: str = "target") -> DataFrame:
     """Found, rejected and new offers per target, and in all (target null).
 
-    ``found`` carries the boolean ``rejected``. Both inputs shrink to counters before they
-    meet, so no join is needed.
+    ``found`` carries the boolean ``rejected``. Both inputs shrink to counters per target
+    before anything else, so no join is needed and the total is made of few rows.
     """
     zero = F.lit(0)
-    marks = found.select(target, F.lit(1).alias("f"), F.col("rejected").cast("int").alias("r"), zero.alias("n"))
-    marks = marks.unionByName(inserted.select(target, zero.alias("f"), zero.alias("r"), F.lit(1).alias("n")))
-    return marks.rollup(target).agg(
-        F.sum("f").alias("found"), F.sum("r").alias("rejected"), F.sum("n").alias("inserted")
+    marks = found.select(target, F.lit(1).alias("found"), F.col("rejected").cast("int").alias("rejected"), zero.alias("inserted"))
+    marks = marks.unionByName(
+        inserted.select(target, zero.alias("found"), zero.alias("rejected"), F.lit(1).alias("inserted"))
     )
+    sums = [F.sum(name).alias(name) for name in ("found", "rejected", "inserted")]
+    return marks.groupBy(target).agg(*sums).rollup(target).agg(*sums)
 
 
 def score_outcome(scores: DataFrame) -> DataFrame:
