@@ -15,10 +15,10 @@ from vacantia.config import Config
 from vacantia.functions.ids import arrival_order
 from vacantia.operators.admission import admit
 from vacantia.operators.dedup import first_by_url, last_value_first_place
-from vacantia.operators.filters import has_forbidden_term, to_score, with_url
+from vacantia.operators.filters import has_forbidden_term, scored, to_score, with_url
 from vacantia.operators.metrics import target_counters
 from vacantia.operators.scoring import score_offers, score_rows
-from vacantia.plans.exports import report_name, run_summary, write_export, write_report
+from vacantia.plans.exports import REPORT_COLUMNS, report_name, run_summary, write_export, write_report
 from vacantia.plans.store import OfferStore
 from vacantia.schemas import ITEM_B, OFFER_TEXTS, PAGE_A, ROW_C
 from vacantia.sources.pages import ingest_pages
@@ -124,18 +124,17 @@ def broken_records(spark: SparkSession, landing: Landing) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def decide(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """De-duplicated rows found, and those of them that are candidates.
+def deduplicated(typed: DataFrame) -> DataFrame:
+    """The rows found, without repeats, as narrow rows with their ``place`` in the order.
 
     Source A keeps the last value of a raw id per target, at the first place. Sources B and
-    C keep the first row of a URL, and only then reject: if that row is rejected, a later
-    clean copy is lost with it. All of this runs on narrow columns.
+    C keep the first row of a URL whether or not it is rejected: if it is, a later clean
+    copy is lost with it.
     """
     narrow = typed.select("seq", "target_no", "raw_id", "id", "url", "rejected")
     found_a = last_value_first_place(narrow.where(F.col("target_no").isNotNull()), "target_no", "raw_id")
     found_ext = first_by_url(narrow.where(F.col("target_no").isNull())).withColumn("place", F.col("seq"))
-    found = found_a.unionByName(found_ext)
-    return found, with_url(found.where(~F.col("rejected")))
+    return found_a.unionByName(found_ext)
 
 
 def add_offers(store: OfferStore, typed: DataFrame, as_of: datetime, version: int) -> tuple[int, DataFrame]:
@@ -145,7 +144,8 @@ def add_offers(store: OfferStore, typed: DataFrame, as_of: datetime, version: in
     the admitted rows are few enough to broadcast. Returns the number of new offers and the
     counters per target.
     """
-    found, candidates = decide(typed)
+    found = stage(deduplicated(typed), "found").table
+    candidates = with_url(found.where(~F.col("rejected")))
     admission = admit(candidates, store.alive_keys(before=version), order="place")
     new = stage(admission.offers.select("seq", "target_no"), "new")
     rows = typed.join(new.table.select("seq"), "seq", "left_semi").select(
@@ -191,7 +191,7 @@ def run_batch(
         new, counters = add_offers(store, typed, as_of, version)
     if new > 0:
         score_waiting(store, config, make_scorer, as_of, version + 1)
-    offers = stage(store.current().where(F.col("score") >= 0), "scored").table
+    offers = stage(scored(store.current()).select(*REPORT_COLUMNS), "scored").table
     report = write_report(offers, f"{out}/{report_name(as_of)}", as_of)
     export = write_export(offers, f"{out}/offres")
     inserted = store.read("offers").where(F.col("version") == version)

@@ -31,14 +31,13 @@ def ingest_pages(pages: DataFrame, max_results: int, request: str = "request_no"
         pages.where(F.col("page") <= last_page)
         .withColumn("_size", size)
         .withColumn("_ended", F.coalesce(F.max(ends).over(before), F.lit(False)))
-        .withColumn("_earlier", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .where(~F.col("_ended") & ~F.coalesce(failed, F.lit(True)))
+        .withColumn("_earlier", F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("int"))
+        .where(~F.col("_ended") & ~F.coalesce(failed, F.lit(True)) & (F.col("_earlier") < max_results))
         .select(
             *[c for c in pages.columns if c != "results"],
             "_earlier",
-            F.posexplode("results").alias("_at", "offer"),
+            F.posexplode(F.slice("results", 1, F.lit(max_results) - F.col("_earlier"))).alias("_at", "offer"),
         )
         .withColumn("position", F.col("_earlier") + F.col("_at"))
-        .where(F.col("position") < max_results)
         .drop("_earlier", "_at")
     )
