@@ -53,13 +53,7 @@ def _items(answer: Column, field: str) -> Column:
     return F.coalesce(F.try_variant_get(answer, f"$.{field}", "array<string>"), F.array().cast("array<string>"))
 
 
-def validated_answer(answer_json: Column) -> Column:
-    """Struct (score, explication, points_forts, points_faibles); null for a bad answer.
-
-    Neither a plain JSON schema nor a variant cast decides alone: the first refuses
-    ``"85"``, the second lets 85.5 through. So the kind of each field is tested first.
-    """
-    answer = F.try_parse_json(answer_json)
+def _checked(answer: Column) -> Column:
     score = _score(answer)
     fine = score.between(0, 100) & (_kind(answer, "explication") == "STRING")
     for field in ("points_forts", "points_faibles"):
@@ -73,3 +67,13 @@ def validated_answer(answer_json: Column) -> Column:
             _items(answer, "points_faibles").alias("points_faibles"),
         ),
     )
+
+
+def validated_answer(answer_json: Column) -> Column:
+    """Struct (score, explication, points_forts, points_faibles); null for a bad answer.
+
+    Neither a plain JSON schema nor a variant cast decides alone: the first refuses
+    ``"85"``, the second lets 85.5 through. So the kind of each field is tested first. The
+    parsed answer is bound as the one element of an array, so that it is parsed once.
+    """
+    return F.transform(F.array(F.try_parse_json(answer_json)), _checked)[0]

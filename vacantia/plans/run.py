@@ -142,7 +142,7 @@ def add_offers(store: OfferStore, typed: DataFrame, as_of: datetime, version: in
 
     Everything is decided on narrow rows; the wide rows cross one shuffle, or none where
     the admitted rows are few enough to broadcast. Returns the number of new offers and the
-    counters per target.
+    counters of source A, the one that has targets.
     """
     found = stage(deduplicated(typed), "found").table
     candidates = with_url(found.where(~F.col("rejected")))
@@ -152,7 +152,8 @@ def add_offers(store: OfferStore, typed: DataFrame, as_of: datetime, version: in
         *OFFER_TEXTS, moment(as_of).alias("collected_at"), F.lit(version).alias("version")
     )
     store.append("offers", rows, version)
-    return admission.count, target_counters(found, new.table, "target_no")
+    of_target = F.col("target_no").isNotNull()
+    return admission.count, target_counters(found.where(of_target), new.table.where(of_target), "target_no")
 
 
 def score_waiting(
