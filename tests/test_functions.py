@@ -150,6 +150,12 @@ def test_forbidden_terms_equal_python(spark, rows, terms):
     assert got == [any(term.lower() in f"{t} {d}".lower() for term in terms) for t, d in rows]
 
 
+def test_json_list_text_equals_python(spark):
+    lists = [[], ["a"], ["a", "é, \"b\""], ["x\ny\t\\", "/", "", "🙂", "'"]]
+    got = values(spark, [(v,) for v in lists], "v array<string>", text.json_list_text(F.col("v")))
+    assert got == [json.dumps(v, ensure_ascii=False) for v in lists]
+
+
 def test_line_count(spark):
     texts = ["", "a", "a\nb", "\n", "a\n\n"]
     assert values(spark, [(t,) for t in texts], "t string", text.line_count(F.col("t"))) == [len(t.split("\n")) for t in texts]

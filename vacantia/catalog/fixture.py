@@ -82,7 +82,7 @@ def duck_admit(source: str, name: str = "kept") -> str:
     and shares nothing with the rounds of the operator.
     """
     return f"""
-ordered_{name} as (select row_number() over (order by seq) as rn, seq, id, url from ({source})),
+ordered_{name} as materialized (select row_number() over (order by seq) as rn, seq, id, url from ({source})),
 walk_{name} as (
   select cast(0 as bigint) as rn, cast([] as varchar[]) as ids, cast([] as varchar[]) as urls, cast(null as bigint) as seq
   union all

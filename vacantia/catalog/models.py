@@ -158,7 +158,7 @@ def length_scorer() -> Callable[[str], str]:
         size = len(prompt)
         if size % 13 == 0:
             raise RuntimeError("indisponible")
-        answer = {"score": size % 127, "explication": f"{size} caractères", "points_forts": [str(size)]}
+        answer = {"score": size % 127, "explication": f"{size} caractères", "points_forts": [str(size), "é"]}
         return json.dumps(answer, ensure_ascii=False)
 
     return score
@@ -168,7 +168,7 @@ def length_scorer() -> Callable[[str], str]:
     "score_batch",
     with_offers(f"""select id, case when ok then n % 127 else -1 end as score,
   case when ok then n || ' caractères' when n % 13 = 0 then 'Erreur : indisponible' else 'Erreur : réponse invalide' end as score_explication,
-  case when ok then '["' || n || '"]' else '[]' end as score_points_forts, '[]' as score_points_faibles
+  case when ok then '["' || n || '", "é"]' else '[]' end as score_points_forts, '[]' as score_points_faibles
 from (select cast(seq as varchar) as id, length({_DUCK_PROMPT}) as n, n % 13 > 0 and n % 127 <= 100 as ok from stored_fx where score is null)"""),
 )
 def score_batch(t: Tables) -> DataFrame:

@@ -64,3 +64,13 @@ def line_count(text: Column) -> Column:
 def json_list(text: Column) -> Column:
     """JSON array of strings; null for null, empty or malformed text."""
     return F.from_json(F.nullif(text, F.lit("")), "array<string>")
+
+
+def json_list_text(items: Column) -> Column:
+    """List of strings as JSON text with ``", "`` between the items, as stored and exported."""
+
+    def quoted(item: Column) -> Column:
+        alone = F.to_json(F.array(item))
+        return F.substr(alone, F.lit(2), F.length(alone) - 2)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))

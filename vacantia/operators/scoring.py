@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as V
 from vacantia.functions.answers import validated_answer
 from vacantia.functions.prompts import profile_literal, score_prompt
+from vacantia.functions.text import json_list_text
 
 INVALID_ANSWER = "réponse invalide"
 
@@ -68,8 +69,8 @@ def score_rows(scores: DataFrame, scored_at: Column, version: int) -> DataFrame:
         "id",
         "score",
         "score_explication",
-        F.to_json("points_forts").alias("score_points_forts"),
-        F.to_json("points_faibles").alias("score_points_faibles"),
+        json_list_text(F.col("points_forts")).alias("score_points_forts"),
+        json_list_text(F.col("points_faibles")).alias("score_points_faibles"),
         scored_at.cast("timestamp").alias("score_date"),
         F.lit(version).cast("bigint").alias("version"),
     )
