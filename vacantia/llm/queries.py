@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, language, quality_classifier, quality_rules
+from vacantia.llm import (
+    decontaminate,
+    language,
+    mixing,
+    personal_data,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sharding,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,3 +51,23 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@query
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.summary(personal_data.find(_table(spark, folder, "documents")))
+
+
+@query
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.summary(secrets.scan(_table(spark, folder, "documents")))
+
+
+@query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_by_source(_table(spark, folder, "documents"))
+
+
+@query
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, folder, "documents"))
