@@ -7,31 +7,33 @@ the lineage of earlier rounds.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from dataclasses import dataclass
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; in local runs without one, a new temporary folder."""
+    """The folder that every executor reaches; a session without one cannot stage."""
     folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise ValueError(f"{_SETTING} must name a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="vacantia-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    if not folder:
+        raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
+    return folder.rstrip("/")
+
+
+_scopes: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/vacantia/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/vacantia/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 @dataclass(frozen=True)
@@ -39,15 +41,35 @@ class Staged:
     table: DataFrame
     rows: int
     path: str
+    seen: dict = field(default_factory=dict)
 
 
-def stage(df: DataFrame, label: str) -> Staged:
+def stage(df: DataFrame, label: str, **measures: Column) -> Staged:
     """Write ``df`` once and return the written table with its row count.
 
-    The count is observed by the writing job itself, so it costs no second pass.
+    The count, and any further aggregates named in ``measures``, are observed by the writing
+    job itself, so they cost no second pass.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return Staged(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path)
+    wanted = [F.count(F.lit(1)).alias("rows"), *(column.alias(name) for name, column in measures.items())]
+    df.observe(seen, *wanted).write.parquet(path)
+    return Staged(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path, seen.get)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end; what must outlive it has to be written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
