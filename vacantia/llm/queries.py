@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.llm import (
     decontaminate,
+    jaccard,
     language,
     mixing,
     personal_data,
@@ -71,3 +72,8 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.group(_table(spark, folder, "documents")).drop("class")
