@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.llm import (
+    chat,
     decontaminate,
     jaccard,
     language,
@@ -77,3 +78,8 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.group(_table(spark, folder, "documents")).drop("class")
+
+
+@query
+def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.link(chat.with_reply_calls(_table(spark, folder, "conversations")), chat.REPLY)
