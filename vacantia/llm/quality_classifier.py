@@ -29,7 +29,7 @@ SIZE = 1 << BITS
 # At most so many documents of each label are learned from.
 SAMPLE_PER_LABEL = 5000
 THRESHOLD = 0.7
-PENALTIES = ftrl.Penalties(alpha=1.0, beta=1.0, l1=0.002, l2=0.05)
+PENALTIES = ftrl.Penalties(alpha=4.0, beta=1.0, l1=0.002, l2=0.01)
 # A word followed by itself is one pair, whichever word it is.
 _SAME_TWICE = np.uint64(0x2545F4914F6CDD1D)
 
