@@ -284,11 +284,3 @@ def brute_text(html: str) -> str:
         else:
             current += event
     return "\n".join(n for n in nodes if n)
-
-
-def test_html_text(spark, small):
-    assert markup.text_of_html("<p>a&amp;b &copy;<b> c</b><!-- x -->d</p><script>var t='</p>';</script><style>q</style> e") == "a&b ©\nc\nd\ne"
-    assert markup.text_of_html("") == "" and markup.text_of_html(None) is None
-    pages = spark.read.parquet(f"{small}/pages.parquet")
-    for row in pages.select("html", markup.html_text("html").alias("text")).collect():
-        assert row.text == brute_text(row.html)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.functions.ids import arrival_order
-from vacantia.operators import admission, dedup, documents, filters, metrics, ranking, skew
+from vacantia.operators import admission, components, dedup, documents, filters, metrics, ranking
 from vacantia.sources import pages, readers, requests
 
 
@@ -61,21 +61,71 @@ def test_admission_of_a_hot_url_and_a_hot_id(spark):
     rows = [(i, f"i{i}", "hot") for i in range(60)] + [(100 + i, "hot", f"u{i}") for i in range(60)]
     rows += [(200 + i, f"i{i % 40}", f"u{i % 50}") for i in range(80)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    split = admission.admit(frame, heavy_rows=5)
-    assert kept(split) == sqlite_kept(rows)
+    assert kept(admission.admit(frame)) == sqlite_kept(rows)
 
 
-def test_long_chain_takes_rounds_then_finishes(spark):
-    # Each row conflicts with the one before, by id and by url in turn.
-    rows = [(i, f"i{(i + 1) // 2}", f"u{i // 2}") for i in range(60)]
-    frame = spark.createDataFrame(rows, SCHEMA)
-    finished = admission.admit(frame, rounds_before_finish=2)
-    assert finished.rounds == 3
-    assert kept(finished) == sqlite_kept(rows)
-    # A rest above the limit keeps going in rounds to the same end.
-    slow = admission.admit(spark.createDataFrame(rows[:20], SCHEMA), rounds_before_finish=2, finish_rows=0)
-    assert slow.rounds > 5
-    assert kept(slow) == sqlite_kept(rows[:20])
+def jobs_of(spark, run):
+    """Jobs that ``run`` starts."""
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("tests", "tests")
+
+
+def chain(length, start=0):
+    """Each row conflicts with the one before, by id and by url in turn."""
+    return [(start + i, f"i{start}-{(i + 1) // 2}", f"u{start}-{i // 2}") for i in range(length)]
+
+
+def test_long_chains_are_walked_by_component(spark):
+    rows = chain(60) + chain(31, 1000) + [(5000 + i, f"h{i}", "hot") for i in range(40)]
+    got = admission.admit(spark.createDataFrame(rows, SCHEMA), most_rounds=2)
+    assert got.rounds == 3
+    assert kept(got) == sqlite_kept(rows)
+
+
+def test_jobs_do_not_grow_with_the_chain(spark):
+    def jobs(length):
+        frame = spark.createDataFrame(chain(length), SCHEMA)
+        return jobs_of(spark, lambda: admission.admit(frame, most_rounds=1))
+
+    # Components take a few more rounds for a longer path: its logarithm, not its length.
+    assert jobs(400) <= jobs(50) + 60
+
+
+@pytest.mark.parametrize("rows", [[(1, "a", "u"), (1, "b", "u")], [(None, "a", "u"), (2, "b", "v")]])
+def test_order_must_be_set_and_unique(spark, rows):
+    with pytest.raises(ValueError):
+        admission.admit(spark.createDataFrame(rows, SCHEMA))
+
+
+def test_stored_rows_without_url_block_nothing_by_it(spark):
+    held = spark.createDataFrame([("x", "")] * 3 + [("y", None)], "id string, url string")
+    got = admission.admit(spark.createDataFrame([(1, "a", ""), (2, "x", "u")], SCHEMA), held)
+    assert kept(got) == [1]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_equal_union_find(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 260)] + [(300, 300 + i) for i in range(1, 30)]
+    parent = {n: n for pair in pairs for n in pair}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    in_pair = {n for a, b in pairs if a != b for n in (a, b)}
+    frame = spark.createDataFrame([*pairs, (None, 1)], "a int, b int")
+    got = [(r.node, r.component) for r in components.components(frame).collect()]
+    assert sorted(got) == sorted((n, root(n)) for n in in_pair)
 
 
 def test_admission_of_nothing(spark):
@@ -94,18 +144,12 @@ def test_admission_does_not_depend_on_partitions(spark):
 # --- anti joins -----------------------------------------------------------------------------
 
 
-def test_heavy_keys_do_not_change_the_anti_join(spark):
-    rows = spark.range(500).select(
-        F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "warm").otherwise(F.concat(F.lit("k"), "id")).alias("url")
-    )
-    taken = spark.createDataFrame([("hot",), ("k2",), ("k5",), ("k5",)], "url string")
-    plain = {r.seq for r in skew.anti_join(rows, taken, "url", []).collect()}
-    heavy = skew.heavy_keys(rows, "url")["url"]
-    assert {"hot", "warm"} <= set(heavy) and skew.heavy_keys(rows, "url", known_rows=500) == {"url": []}
-    split = skew.anti_join(rows, taken, "url", heavy)
-    assert {r.seq for r in split.collect()} == plain
-    # The branch of the heavy keys has no exchange of the rows themselves.
-    assert "Union" in plan_of(split) and "BroadcastHashJoin" in plan_of(split)
+def test_known_urls_are_planned_without_a_job(spark):
+    rows = spark.range(300).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("url"))
+    stored = spark.createDataFrame([("hot",), ("k3",), ("",), ("k3",)], "url string")
+    built = []
+    assert jobs_of(spark, lambda: built.append(admission.without_known_urls(rows, stored))) == 0
+    assert {r.seq for r in built[0].collect()} == {i for i in range(0, 300, 3) if i != 3}
 
 
 def test_known_urls(spark):

@@ -18,6 +18,7 @@ from vacantia.plans.run import Landing, broken_records, collect, run_batch, scor
 from vacantia.plans.store import OfferStore, with_status_column
 from vacantia.schemas import OFFER_TEXTS, PAGE_A
 from vacantia.sources import readers
+from vacantia.staging import shared_folder
 from vacantia.streaming.ingest import ingest_stream
 
 AS_OF = datetime(2024, 3, 5, 14, 7)
@@ -31,11 +32,14 @@ def offer_rows(spark, rows):
     return frame.select(*texts, F.lit("2024-01-01").cast("timestamp").alias("collected_at"))
 
 
-def put(store, rows, version):
+def put(store, rows, batch, writer="offers"):
+    version = store.begin(writer, batch)
     store.append("offers", offer_rows(store.spark, rows).withColumn("version", F.lit(version)), version)
+    return version
 
 
-def score(store, offer_id, value, version):
+def score(store, offer_id, value, batch):
+    version = store.begin("scores", batch)
     row = store.spark.createDataFrame([(offer_id, value)], "id string, score int").select(
         "id", "score", F.lit("e").alias("score_explication"), F.lit("[]").alias("score_points_forts"),
         F.lit("[]").alias("score_points_faibles"), F.lit(None).alias("score_date"), F.lit(version).alias("version"),
@@ -63,7 +67,7 @@ def test_change_delete_and_return(spark, tmp_path):
     assert state(store) == {"a": (None, "À postuler"), "b": (None, "À postuler")}
     assert [r.id for r in store.alive_keys(before=7).collect()] == ["b"]
     score(store, "a", 42, 8)
-    compact = store.compact(str(tmp_path / "t"), 9)
+    compact = store.compact(str(tmp_path / "t"))
     put(compact, [("c", "w")], 10)
     assert state(store) == {"a": (42, "À postuler"), "b": (None, "À postuler")}
     # Changes are kept as such, so the compacted store carries on from the same state.
@@ -77,7 +81,37 @@ def test_opening_again_and_replaying_change_nothing(spark, tmp_path):
     put(again, [("a", "u")], 1)
     assert again.read("offers").count() == 1
     with pytest.raises(ValueError):
-        put(again, [("b", "v")], 0)
+        again.append("offers", offer_rows(spark, [("b", "v")]).withColumn("version", F.lit(9)), 9)
+
+
+def test_writers_do_not_erase_each_other(spark, tmp_path):
+    store = OfferStore(spark, str(tmp_path / "s"))
+    other = OfferStore(spark, str(tmp_path / "s"))
+    assert put(store, [("a", "u"), ("b", "v")], 1, "one") != put(other, [("c", "w")], 1, "two")
+    assert store.begin("one", 1) == other.begin("one", 1)
+    one = spark.createDataFrame([("a", "Refusé")], "id string, statut string")
+    two = spark.createDataFrame([("b", "Postulé")], "id string, statut string")
+    assert store.set_status(one, 7, "left") != other.set_status(two, 7, "right")
+    assert state(store) == {"a": (None, "Refusé"), "b": (None, "Postulé"), "c": (None, "À postuler")}
+    with pytest.raises(ValueError):
+        store.set_status(one.unionByName(one), 8)
+    with pytest.raises(ValueError):
+        OfferStore(spark, str(tmp_path / "s")).compact(str(tmp_path / "s"))
+
+
+def test_state_reads_only_the_folders_it_needs(spark, tmp_path):
+    store = OfferStore(spark, str(tmp_path / "s"))
+    for batch in range(1, 4):
+        put(store, [(f"i{batch}", f"u{batch}")], batch)
+    score(store, "i1", 5, 1)
+    store.set_status(spark.createDataFrame([("i1", "Refusé")], "id string, statut string"), 1)
+
+    def plan(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    assert "PartitionFilters: [isnotnull(batch_id" in plan(store.read("offers", only=2))
+    assert "PartitionFilters: [isnotnull(batch_id" in plan(store.current(before=3))
+    assert "SortAggregate" not in plan(store.current())
 
 
 def test_older_generation_without_status(spark, tmp_path):
@@ -109,9 +143,10 @@ def offer_a(number, title="Ingénieur IA", **more):
 def landing(tmp_path):
     pages_a = [
         {"target_no": 0, "request_no": 0, "pays": "fr", "page": 1, "status": 200,
-         "results": [offer_a(1), offer_a(2, "Commercial"), offer_a(1, "Ingénieur IA bis", salary_min=45000)]},
+         "results": [offer_a(1), offer_a(2, "Commercial"), offer_a(1, "Ingénieur IA bis", salary_min="45000", latitude=48.5)]},
         {"target_no": 0, "request_no": 1, "pays": "fr", "page": 1, "status": 500, "results": [offer_a(9)]},
         {"target_no": 1, "request_no": 2, "pays": "gb", "page": 1, "status": 200, "results": [offer_a(1), offer_a(3, redirect_url=None)]},
+        {"target_no": 1, "request_no": None, "pays": "gb", "page": 1, "status": 200, "results": [offer_a(4)]},
     ]
 
     def item(position, **fields):
@@ -128,13 +163,25 @@ def landing(tmp_path):
             ("https://indeed.com/6", "2024-01-01T10:00:00"), (None, "2024-03-05T11:00:00"),
         ])
     ]
+    # Undated, without a place, and landed twice.
+    rows_c += [{"request_no": 0, "position": 9, "job_url": "https://indeed.com/7", "title": "Dev"}] * 2
+    rows_c += [{"job_url": "https://indeed.com/8", "title": "Dev"}]
     return Landing(landed(tmp_path, "a", pages_a, broken=1), landed(tmp_path, "b", items_b), landed(tmp_path, "c", rows_c))
 
 
 CONFIG = Config(PROFILE, {"adzuna": {"search_params": {"max_results_par_cible": 25}}, "indeed": {"hours_old": 72}})
 
 
+def staged_folders(spark):
+    """Staged tables there are; earlier tests leave theirs, so these are told apart by name."""
+    return [p for p in glob.glob(f"{shared_folder(spark)}/vacantia/*") if p not in _EARLIER]
+
+
+_EARLIER: set[str] = set()
+
+
 def test_full_run_twice(spark, tmp_path, landing):
+    _EARLIER.update(staged_folders(spark))
     store = OfferStore(spark, str(tmp_path / "s"))
     out = str(tmp_path / "out")
     first = run_batch(spark, landing, store, CONFIG, length_scorer, AS_OF, 1, out)
@@ -146,39 +193,52 @@ def test_full_run_twice(spark, tmp_path, landing):
     assert by_url["https://adzuna.fr/1"].salaire_libelle == "À partir de 45 000 €/an"
     assert json.loads(by_url["https://adzuna.fr/1"].raw_json)["title"] == "Ingénieur IA bis"
     assert sorted(by_url) == [
-        "https://adzuna.fr/1", "https://indeed.com/5", "https://www.apec.fr/candidat/recherche-emploi.html/emploi/11W",
+        "https://adzuna.fr/1", "https://indeed.com/5", "https://indeed.com/6", "https://indeed.com/7", "https://indeed.com/8",
+        "https://www.apec.fr/candidat/recherche-emploi.html/emploi/11W",
     ]
-    assert first.new_offers == 3 and first.failed_sources == {}
+    # The whole record is kept, fields that are not read included.
+    assert json.loads(by_url["https://adzuna.fr/1"].raw_json)["latitude"] == 48.5
+    assert first.new_offers == 6 and first.failed_sources == {}
+    assert first.broken_lines == {"adzuna": 2, "apec": 0, "indeed": 0}
+    assert spark.read.json(first.broken_path).count() == 2
     assert all(r.score is not None for r in offers.values())
     assert first.scored_offers == sum(r.score >= 0 for r in offers.values())
     assert {(r.target_no, r.found, r.rejected, r.inserted) for r in first.counters.collect()} == {
         (0, 2, 1, 1), (1, 2, 0, 0), (None, 4, 1, 1),
     }
     run = store.read("runs").first()
-    assert (run.new_offers, run.scored_offers, run.report_path) == (3, first.scored_offers, first.report_path)
+    assert (run.new_offers, run.scored_offers, run.report_path) == (6, first.scored_offers, first.report_path)
+    before = sorted(map(str, store.current().collect()))
+
+    # The same run again, as after a failure.
+    again = run_batch(spark, landing, store, CONFIG, length_scorer, AS_OF, 1, out)
+    assert (again.version, again.new_offers, again.scored_offers) == (first.version, 6, first.scored_offers)
+    assert sorted(map(str, store.current().collect())) == before
 
-    second = run_batch(spark, landing, store, CONFIG, length_scorer, AS_OF, 3, out)
-    assert second.new_offers == 0 and second.scored_offers == 0
-    assert store.current().count() == 3 and store.read("scores").count() == 3
+    second = run_batch(spark, landing, store, CONFIG, length_scorer, AS_OF, 2, out)
+    assert second.new_offers == 0 and second.scored_offers == 0 and second.version > first.version
+    assert store.current().count() == 6 and store.read("scores").count() == 6
+    # Nothing that a run stages outlives it.
+    assert staged_folders(spark) == []
 
     # A deleted offer comes back, unscored until the run scores it.
-    store.delete(spark.createDataFrame([("adzuna_fr_1",)], "id string"), 4)
-    third = run_batch(spark, landing, store, CONFIG, length_scorer, AS_OF, 5, out)
-    assert third.new_offers == 1 and store.current().count() == 3
+    store.delete(spark.createDataFrame([("adzuna_fr_1",)], "id string"), 1)
+    third = run_batch(spark, landing, store, CONFIG, length_scorer, AS_OF, 3, out)
+    assert third.new_offers == 1 and store.current().count() == 6
 
 
 def test_one_failing_source_leaves_the_others(spark, tmp_path, landing):
     broken = Landing(landing.pages_a, str(tmp_path / "nothing" / "here"), None)
-    typed, failed = collect(spark, broken, CONFIG, AS_OF)
-    assert list(failed) == ["apec"] and typed.count() > 0
-    nothing, failed = collect(spark, Landing(None, str(tmp_path / "no"), None), CONFIG, AS_OF)
-    assert nothing is None and list(failed) == ["apec"]
+    typed, got = collect(spark, broken, CONFIG)
+    assert list(got.failed) == ["apec"] and typed.count() > 0
+    nothing, got = collect(spark, Landing(None, str(tmp_path / "no"), None), CONFIG)
+    assert nothing is None and list(got.failed) == ["apec"]
 
 
 def test_broken_lines_are_set_aside(spark, landing):
-    assert readers.good_rows(readers.read_json(spark, landing.pages_a, PAGE_A)).count() == 3
+    assert readers.good_rows(readers.read_json(spark, landing.pages_a, PAGE_A)).count() == 4
     aside = broken_records(spark, landing).collect()
-    assert [(r.source, r.record) for r in aside] == [("adzuna", '{"oops": ')]
+    assert [r.source for r in aside] == ["adzuna"] * 2 and aside[0].record == '{"oops": ' and '"id":"4"' in aside[1].record
 
 
 def test_failed_scores_are_retried(spark, tmp_path):
@@ -186,19 +246,20 @@ def test_failed_scores_are_retried(spark, tmp_path):
     put(store, [("a", "u"), ("b", "v")], 1)
 
     def failing():
-        def ask(prompt):
+        def ask(prompts):
             raise RuntimeError("quota")
 
         return ask
 
     def good():
-        return lambda prompt: '{"score": "61", "explication": "é", "points_forts": ["p"]}'
+        return lambda prompts: ['{"score": "61", "explication": "é", "points_forts": ["p"]}' for _ in prompts]
 
-    scores = score_waiting(store, CONFIG, failing, AS_OF, 2)
+    scores = score_waiting(store, CONFIG, failing, AS_OF, 1)
     assert {(r.score, r.score_explication) for r in scores.collect()} == {(-1, "Erreur : quota")}
-    assert score_waiting(store, CONFIG, good, AS_OF, 3).count() == 0
+    assert score_waiting(store, CONFIG, good, AS_OF, 2).count() == 0
+    assert score_waiting(store, CONFIG, good, AS_OF, 3, retry_failed=True, limit=1).count() == 1
     again = score_waiting(store, CONFIG, good, AS_OF, 4, retry_failed=True).collect()
-    assert {(r.score, r.score_points_forts, r.score_points_faibles) for r in again} == {(61, '["p"]', "[]")}
+    assert [(r.score, r.score_points_forts, r.score_points_faibles) for r in again] == [(61, '["p"]', "[]")]
     assert {r.score for r in store.current().collect()} == {61}
 
 
@@ -269,6 +330,12 @@ def test_documents_with_one_slug(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "d").iterdir() if p.is_dir()) == [
         "name=cv_adapte_indeed_12345abc.html", "name=cv_adapte_indeed_12345xyz.html",
     ]
+    # A later call leaves them where they are, and replaces a document of the same name.
+    later = spark.createDataFrame([("indeed_12345xyz", "<p>new</p>"), ("apec_1", "<p>3</p>")], "id string, html string")
+    exports.write_documents(later, str(tmp_path / "d"), by_id=True)
+    assert {r.name[10:-5]: r.value for r in spark.read.text(str(tmp_path / "d")).collect()} == {
+        "indeed_12345abc": "<p>1</p>", "indeed_12345xyz": "<p>new</p>", "apec_1": "<p>3</p>",
+    }
 
 
 def test_base_documents_are_read_whole(spark, tmp_path):
@@ -296,14 +363,14 @@ def test_config_and_targets(spark, tmp_path, monkeypatch):
 # --- streams ------------------------------------------------------------------------------------------
 
 
-def run_stream(spark, folder, store, progress):
+def run_stream(spark, folder, store, progress, writer="one"):
     landed_rows = spark.readStream.schema("seq bigint, id string, url string, intitule string").option("maxFilesPerTrigger", 1).json(folder)
 
     def to_candidates(batch):
         texts = [F.col(c) if c in batch.columns else F.lit("").alias(c) for c in OFFER_TEXTS]
         return batch.select("seq", *texts, F.lit("2024-01-01").cast("timestamp").alias("collected_at"))
 
-    ingest_stream(landed_rows, to_candidates, store, ["non"], progress).awaitTermination()
+    ingest_stream(landed_rows, to_candidates, store, ["non"], progress, writer).awaitTermination()
 
 
 def test_stream_equals_batch_and_survives_a_replay(spark, tmp_path):
@@ -330,3 +397,13 @@ def test_stream_equals_batch_and_survives_a_replay(spark, tmp_path):
     run_stream(spark, str(folder), store, str(tmp_path / "p"))
     run_stream(spark, str(folder), store, str(tmp_path / "p2"))
     assert store.read("offers").count() == len(expected)
+
+
+def test_two_streams_share_a_store(spark, tmp_path):
+    for name in ("left", "right"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "0.json").write_text(json.dumps({"seq": 0, "id": name, "url": f"u-{name}", "intitule": "oui"}))
+    store = OfferStore(spark, str(tmp_path / "s"))
+    for name in ("left", "right"):
+        run_stream(spark, str(tmp_path / name), store, str(tmp_path / f"p-{name}"), name)
+    assert sorted(r.id for r in store.current().collect()) == ["left", "right"]

@@ -18,7 +18,7 @@ _COLUMNS = """
   doc_id as seq,
   concat(case cast(doc_id%4 as int) when 0 then 'adzuna' when 1 then 'apec' when 2 then 'indeed' else 'other' end,
          '_', cast(doc_id - doc_id%24 + doc_id%12 as string)) as id,
-  substring(text,1,60) as intitule, text as description, source as entreprise_nom, lang as lieu_travail,
+  text as intitule, text as description, source as entreprise_nom, lang as lieu_travail,
   case lang when 'en' then 'gb' else lang end as pays,
   case cast(doc_id%5 as int) when 0 then 'CDI' when 1 then 'CDD/Contrat' when 2 then '' when 3 then 'Temps plein' else null end as type_contrat,
   case cast(doc_id%3 as int) when 0 then 'full_time' when 1 then 'part_time' else null end as contract_time,

@@ -267,12 +267,6 @@ def strip_fence(t: Tables) -> DataFrame:
     return p.select("page_id", markup.strip_fence(fenced).alias("html"))
 
 
-@query("html_text")
-def html_text(t: Tables) -> DataFrame:
-    p = t["pages"]
-    return p.select("page_id", markup.html_text(p.html).alias("text"))
-
-
 @query(
     "artifact_slug",
     with_offers("""select seq, left(case when x like 'adzuna_%' then substr(x, 8) else x end, 12) as slug from

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.catalog.fixture import offers, stored_offers, with_offers
@@ -146,22 +146,49 @@ _OVERLAP = """cast(floor(40.0 * (contains(t, 'the'))::int + 30.0 * (contains(t,
   + 15.0 * contains(lower(coalesce(type_contrat, '')), 'cdi')::int + 5.0 * (contains(lower(lieu_travail), 'fr')::int + contains(lower(lieu_travail), 'en')::int) / 2.0) as int)"""
 
 
+def overlap_score(profile: dict) -> Column:
+    """Stand-in score for tests and dry runs; not what a model would answer.
+
+    It follows the order of the scoring criteria: job title 40, skills 30, contract 15,
+    sector 10, place 5. A list counts by the share of its entries found in the offer.
+    """
+    text = F.lower(F.concat_ws(" ", "intitule", "description"))
+    criteria = profile.get("criteres") or {}
+
+    def share(values: list[str] | None, within: Column) -> Column:
+        wanted = [v for v in values or [] if v]
+        if not wanted:
+            return F.lit(0.0)
+        hits = [F.contains(within, F.lower(F.lit(v))).cast("int") for v in wanted]
+        return sum(hits[1:], hits[0]) / F.lit(float(len(wanted)))
+
+    parts = [
+        (40, share([(profile.get("candidat") or {}).get("poste_cible")], text)),
+        (30, share((profile.get("competences") or {}).get("techniques"), text)),
+        (15, share(criteria.get("types_contrat"), F.lower(F.coalesce("type_contrat", F.lit(""))))),
+        (10, share(criteria.get("secteurs_preferes"), text)),
+        (5, share(criteria.get("localisations_acceptees"), F.lower(F.coalesce("lieu_travail", F.lit(""))))),
+    ]
+    weighted = [F.coalesce(part, F.lit(0.0)) * weight for weight, part in parts]
+    return F.floor(sum(weighted[1:], weighted[0])).cast("int")
+
+
 @query("stub_score", with_offers(f"select seq, {_OVERLAP} as score from (select *, lower(intitule || ' ' || description) as t from offers_fx)"))
 def stub_score(t: Tables) -> DataFrame:
-    return offers(t).select("seq", scoring.overlap_score(PROFILE_EXAMPLE).alias("score"))
+    return offers(t).select("seq", overlap_score(PROFILE_EXAMPLE).alias("score"))
 
 
-def length_scorer() -> Callable[[str], str]:
+def length_scorer() -> Callable[[list[str]], list[str | Exception]]:
     """Deterministic stand-in for a model: the prompt's length decides."""
 
-    def score(prompt: str) -> str:
+    def score(prompt: str) -> str | Exception:
         size = len(prompt)
         if size % 13 == 0:
-            raise RuntimeError("indisponible")
+            return RuntimeError("indisponible")
         answer = {"score": size % 127, "explication": f"{size} caractères", "points_forts": [str(size), "é"]}
         return json.dumps(answer, ensure_ascii=False)
 
-    return score
+    return lambda asked: [score(prompt) for prompt in asked]
 
 
 @query(
@@ -173,7 +200,7 @@ from (select cast(seq as varchar) as id, length({_DUCK_PROMPT}) as n, n % 13 > 0
 )
 def score_batch(t: Tables) -> DataFrame:
     waiting = filters.to_score(stored_offers(t)).withColumn("id", F.col("seq").cast("string"))
-    scores = scoring.score_offers(waiting, PROFILE_EXAMPLE, length_scorer)
+    scores = scoring.score_offers(waiting, PROFILE_EXAMPLE, length_scorer, partitions=8)
     return scoring.score_rows(scores, F.lit(None), 1).drop("score_date", "version")
 
 
@@ -182,15 +209,13 @@ def score_batch(t: Tables) -> DataFrame:
 
 @query(
     "assemble_chunks",
-    """select conv_id as key, trim(string_agg(text, '' order by turn), ' ' || chr(9) || chr(10) || chr(13)) as text
-from (select conv_id, turn, case when turn % 3 = 1 then '' else text end as text from conversations) group by conv_id""",
+    """select conv_id as key, trim(string_agg(text, '' order by turn), ' ' || chr(9) || chr(10) || chr(13)) as text from conversations group by conv_id""",
 )
 def assemble_chunks(t: Tables) -> DataFrame:
+    """Whole conversations as chunks, with an empty and a missing chunk after each turn."""
     c = t["conversations"]
-    chunks = c.select(
-        F.col("conv_id").alias("key"), F.col("turn").alias("chunk_no"),
-        F.when(F.col("turn") % 3 == 1, "").otherwise(F.col("text")).alias("text"),
-    )
+    pieces = F.posexplode(F.array("text", F.lit(""), F.lit(None).cast("string"))).alias("_at", "text")
+    chunks = c.select(F.col("conv_id").alias("key"), "turn", pieces).select("key", (F.col("turn") * 3 + F.col("_at")).alias("chunk_no"), "text")
     return documents.assemble_chunks(chunks)
 
 

@@ -83,12 +83,23 @@ sized as (select request_no, page, case when tax >= 0.08 and quantity % 2 = 0 th
 first_bad as (select request_no, min(page) as page from sized where status <> 200 or size = 0 group by 1),
 first_short as (select request_no, min(page) as page from sized where size < 50 group by 1),
 accepted as (select s.* from sized s left join first_bad b using (request_no) left join first_short f using (request_no)
-  where s.page < coalesce(b.page, 99) and s.page <= coalesce(f.page, 99)),
+  where s.page < coalesce(b.page, 99) and s.page <= coalesce(f.page, 99) and (s.request_no % 5 > 0 or s.page < 2)),
 items as (select request_no, page, unnest(range(1, size + 1)) as n from accepted),
 placed as (select request_no, page, n, row_number() over (partition by request_no order by page, n) as place from items)"""
 
 
 def _pages(t: Tables) -> DataFrame:
+    """Landed pages: every fifth request lacks its second page, and of every third some pages are landed twice or three times,
+    as a failed copy, as a short one and as they are."""
+    first = _landed_once(t)
+    gap = F.when((F.col("request_no") % 5 == 0) & (F.col("page") >= 2), F.col("page") + 1).otherwise(F.col("page"))
+    first = first.withColumn("page", gap)
+    again = first.where(F.col("request_no") % 3 == 0)
+    failed = again.withColumns({"status": F.lit(500), "results": F.slice("results", 1, 1)})
+    return first.unionByName(failed).unionByName(again.where(F.col("page") % 2 == 1))
+
+
+def _landed_once(t: Tables) -> DataFrame:
     return t.sql(
         """select request_no, page, case when tax >= 0.08D and quantity % 2 = 0 then 500 else 200 end as status,
   case when discount <= 0.0D then array() else transform(sequence(1, case when quantity >= 15 then 50 else quantity end),
@@ -121,19 +132,22 @@ _RAW_A = """select doc_id as seq, case lang when 'en' then 'gb' else lang end as
   'contract_time', case cast(doc_id % 3 as int) when 0 then 'full_time' when 1 then 'part_time' end,
   'contract_type', case cast(doc_id % 5 as int) when 0 then 'permanent' when 1 then 'contract' end,
   'salary_min', case when doc_id % 3 = 0 then null else cast(n_chars as double) * 10.5D end,
-  'salary_max', case when doc_id % 2 = 0 then null else cast(n_chars as double) * 14.25D end,
+  'salary_max', case when doc_id % 2 = 0 then null else cast(n_chars as double) * 14.25D end, 'latitude', doc_id / 8, 'category', array(lang, source),
   'created', '2024-01-01T00:00:00Z', 'redirect_url', case when doc_id % 50 = 49 then null else concat('https://x/', doc_id) end)) as record
 from {documents}"""
+# A salary may come as text, which is a number all the same, or as an object, which is none.
+_MISTYPED = """select seq, pays, case when seq % 7 = 2 then regexp_replace(record, '"salary_min":([0-9.]+)', '"salary_min":"$1"')
+  when seq % 7 = 3 then regexp_replace(record, '"salary_min":([0-9.]+)', '"salary_min":{{"bas":$1}}') else record end as record from {landed}"""
 _DUCK_A = """a as (select doc_id as seq, case lang when 'en' then 'gb' else lang end as pays,
   case when doc_id % 9 > 0 then source || ' ' || lang end as title, text as description,
   case when doc_id % 4 > 1 then source end as company, case when doc_id % 3 > 0 then lang end as place,
-  case when doc_id % 3 > 0 then n_chars * 10.5::double end as salary_min, case when doc_id % 2 > 0 then n_chars * 14.25::double end as salary_max,
-  case when doc_id % 50 < 49 then 'https://x/' || doc_id end as url from documents)"""
+  case when doc_id % 3 > 0 and doc_id % 7 <> 3 then n_chars * 10.5::double end as salary_min, case when doc_id % 2 > 0 then n_chars * 14.25::double end as salary_max,
+  case when doc_id % 50 < 49 then 'https://x/' || doc_id end as url, doc_id / 8 as latitude, lang || '|' || source as category from documents)"""
 
 
 def _raw_a(t: Tables) -> DataFrame:
-    landed = t.sql(_RAW_A, documents=t["documents"])
-    return readers.good_rows(readers.parse_json(landed, "record", RAW_A))
+    landed = t.sql(_MISTYPED, landed=t.sql(_RAW_A, documents=t["documents"]))
+    return readers.read_a(landed.withColumn("offer", F.try_parse_json("record")).drop("record"))
 
 
 @query(
@@ -161,15 +175,16 @@ def normalize_a(t: Tables) -> DataFrame:
 
 @query(
     "raw_json",
-    f"""with {_DUCK_A} select seq, title as title, description, company, salary_min, url from a""",
+    f"""with {_DUCK_A} select seq, title as title, description, company, salary_min, url, latitude, category from a""",
 )
 def raw_json(t: Tables) -> DataFrame:
-    """The kept JSON holds the landed values; they are compared after parsing it again."""
-    stored = readers.normalise_a(_raw_a(t), keep=("seq",)).select("seq", "raw_json")
-    again = readers.parse_json(stored, "raw_json", RAW_A)
+    """The kept JSON holds all landed values, known or not; they are compared after parsing it again."""
+    stored = readers.normalise_a(_raw_a(t), keep=("seq",)).select("seq", F.parse_json("raw_json").alias("offer"))
+    again = readers.read_a(stored.withColumn("whole", F.col("offer")))
     return again.select(
         "seq", "title", "description", F.col("company.display_name").alias("company"), "salary_min",
-        F.col("redirect_url").alias("url"),
+        F.col("redirect_url").alias("url"), F.variant_get("whole", "$.latitude", "double").alias("latitude"),
+        F.array_join(F.variant_get("whole", "$.category", "array<string>"), "|").alias("category"),
     )
 
 
@@ -220,13 +235,17 @@ def read_c(t: Tables) -> DataFrame:
 
 @query(
     "newest_c",
-    """select seq, age from (select doc_id as seq, doc_id % 200 as age from documents)
-where age >= 199 - 72 order by age desc, seq limit 50""",
+    """select seq, age from (select *, row_number() over (partition by request_no order by age desc, seq) as n
+  from (select doc_id as seq, doc_id % 200 as age, doc_id % 4 as request_no from documents where doc_id % 11 > 0) where age >= 199 - 72) where n <= 10
+union all select doc_id, null from documents where doc_id % 11 = 0""",
 )
 def newest_c(t: Tables) -> DataFrame:
+    """Four requests of ten rows each; undated rows are kept."""
     as_of = F.lit("2024-01-09 07:00:00").cast("timestamp")
-    kept = readers.newest_c(_rows_c(t), as_of, 72, 50)
-    return kept.select("seq", (F.col("seq") % 200).alias("age"))
+    dated = F.when(F.col("seq") % 11 > 0, F.col("posted_at"))
+    rows = _rows_c(t).withColumns({"posted_at": dated, "request_no": F.col("seq") % 4})
+    kept = readers.newest_c(rows, as_of, 72, 10)
+    return kept.select("seq", F.when(F.col("posted_at").isNotNull(), F.col("seq") % 200).alias("age"))
 
 
 _DUCK_BOTH = f"""{_DUCK_B}, {_DUCK_C}, both_sources as (select * from b union all

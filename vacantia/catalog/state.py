@@ -114,6 +114,21 @@ def _clean_candidates(t: Tables) -> DataFrame:
 _CLEAN_KEPT = duck_admit(f"select seq, id, url from offers_fx where url <> '' and {DUCK_CLEAN}")
 
 
+_CHAIN = """select doc_id as seq, 'i' || cast((doc_id + 1) // 2 as varchar) as id,
+  case when doc_id % 10 = 9 then 'hot' else 'u' || cast(doc_id // 2 as varchar) end as url from documents"""
+
+
+@query("admit_chain", f"with recursive {duck_admit(_CHAIN).lstrip()} select seq from kept")
+def admit_chain(t: Tables) -> DataFrame:
+    """Every row conflicts with the one before, by id and by url in turn; a tenth of all rows share one URL."""
+    chain = t["documents"].select(
+        F.col("doc_id").alias("seq"),
+        F.concat(F.lit("i"), F.floor((F.col("doc_id") + 1) / 2)).alias("id"),
+        F.when(F.col("doc_id") % 10 == 9, "hot").otherwise(F.concat(F.lit("u"), F.floor(F.col("doc_id") / 2))).alias("url"),
+    )
+    return admission.admit(chain).offers.select("seq")
+
+
 @query(
     "new_by_source",
     with_offers(f", {_CLEAN_KEPT} select split_part(id, '_', 1) as source, count(*) as inserted from kept join offers_fx using (seq) group by 1", recursive=True),
@@ -177,8 +192,8 @@ _DUCK_STATE = """inserted as (
   union all select 'adzuna_fr_' || o_orderkey, o_orderpriority, 20 from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'O'),
 dropped as (select 'adzuna_fr_' || o_orderkey as id, 15 as version from orders where o_orderpriority = '1-URGENT'),
 scored as (select 'adzuna_fr_' || l_orderkey as id, max(l_quantity)::int * 2 - 1 as score, 9 + l_linenumber * 2 as version from lineitem group by l_orderkey, l_linenumber),
-moved as (select 'adzuna_fr_' || l_orderkey as id, case when max(l_returnflag) = 'R' then 'Refusé' else 'Postulé' end as statut, 8 + l_linenumber * 2 as version
-  from lineitem where l_returnflag <> 'N' group by l_orderkey, l_linenumber)"""
+moved as (select 'adzuna_fr_' || l_orderkey as id, case max(l_returnflag) when 'R' then 'Refusé' when 'N' then 'Entretien' else 'Postulé' end as statut, 8 + l_linenumber * 2 as version
+  from lineitem group by l_orderkey, l_linenumber)"""
 
 
 def _state(t: Tables) -> DataFrame:
@@ -199,12 +214,11 @@ def _state(t: Tables) -> DataFrame:
         (F.col("l_linenumber") * 2 + 9).alias("version"),
     )
     moves = (
-        lines.where(F.col("l_returnflag") != "N")
-        .groupBy(line_key.alias("id"), "l_linenumber")
+        lines.groupBy(line_key.alias("id"), "l_linenumber")
         .agg(F.max("l_returnflag").alias("flag"))
         .select(
             "id",
-            F.when(F.col("flag") == "R", "Refusé").otherwise("Postulé").alias("statut"),
+            F.when(F.col("flag") == "R", "Refusé").when(F.col("flag") == "N", "Entretien").otherwise("Postulé").alias("statut"),
             (F.col("l_linenumber") * 2 + 8).alias("version"),
         )
     )
@@ -336,5 +350,5 @@ def stream_ingest(t: Tables) -> DataFrame:
         return derived.select("seq", *texts, F.col("collected_at").cast("timestamp").alias("collected_at"))
 
     state = store.OfferStore(t.spark, new_path(t.spark, "stream-store"))
-    ingest_stream(landed, to_candidates, state, TERMS, new_path(t.spark, "stream-progress")).awaitTermination()
+    ingest_stream(landed, to_candidates, state, TERMS, new_path(t.spark, "stream-progress"), "documents").awaitTermination()
     return state.current().select("id", "url", "intitule", "statut")

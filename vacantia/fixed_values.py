@@ -107,3 +107,9 @@ EXPORT_COLUMNS = [
     "Analyse", "Points forts", "Points faibles", "URL",
 ]
 SCORING_ERROR = "Erreur : "
+
+# Tasks that ask the model at once, unless a caller says otherwise.
+SCORING_TASKS = 8
+
+# Place of sources B and C where the configuration names none.
+DEFAULT_PLACE = "France"

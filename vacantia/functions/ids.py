@@ -23,14 +23,22 @@ def artifact_slug(offer_id: Column) -> Column:
     return F.substring(F.replace(offer_id, F.lit("adzuna_"), F.lit("")), 1, 12)
 
 
+# Requests below this number are given by a plan; this one holds rows that came without a place.
+UNPLACED_REQUEST = (1 << 30) - 1
+
+
 def arrival_order(source_rank: Column, request_no: Column, position: Column) -> Column:
     """One sortable number from (source, request, position).
 
     A single bigint keeps ``min`` and ``max`` inside hash aggregation; a struct would fall
-    back to sorting. Limits: source below 4, request below 2**30, position below 2**31.
+    back to sorting. The source must be below 4, the request below 2**30, the position below 2**31; a value outside its
+    limits raises an error, since two rows would share one number. Null gives null.
     """
-    return (
+    fits = source_rank.between(0, 3) & request_no.between(0, UNPLACED_REQUEST) & position.between(0, (1 << 31) - 1)
+    number = (
         F.shiftleft(source_rank.cast("bigint"), 61)
         .bitwiseOR(F.shiftleft(request_no.cast("bigint"), 31))
         .bitwiseOR(position.cast("bigint"))
     )
+    outside = F.raise_error(F.concat(F.lit("no order for request "), request_no.cast("string"), F.lit(", position "), position.cast("string")))
+    return F.when(~fits, outside.cast("bigint")).otherwise(number)

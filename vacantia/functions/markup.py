@@ -1,13 +1,9 @@
-"""Generated and landed documents: fences and markup."""
+"""Generated documents: fences."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vacantia.functions.text import strip
 
@@ -31,73 +27,3 @@ def strip_fence(text: Column) -> Column:
         F.endswith(opened, F.lit(_FENCE)), F.left(opened, F.length(opened) - len(_FENCE))
     ).otherwise(opened)
     return strip(closed)
-
-
-class _TextNodes(HTMLParser):
-    """Collects stripped text nodes outside style and script."""
-
-    _HIDDEN = ("script", "style")
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[str] = []
-        self._open: list[str] = []
-        self._hidden: str | None = None
-
-    def _end_node(self) -> None:
-        node = "".join(self._open).strip()
-        self._open.clear()
-        if node:
-            self.nodes.append(node)
-
-    def handle_starttag(self, tag, attrs):
-        self._end_node()
-        if tag in self._HIDDEN and self._hidden is None:
-            self._hidden = tag
-
-    def handle_startendtag(self, tag, attrs):
-        self._end_node()
-
-    def handle_endtag(self, tag):
-        self._end_node()
-        if tag == self._hidden:
-            self._hidden = None
-
-    def handle_data(self, data):
-        if self._hidden is None:
-            self._open.append(data)
-
-    def handle_comment(self, data):
-        self._end_node()
-
-    def handle_decl(self, decl):
-        self._end_node()
-
-    def handle_pi(self, data):
-        self._end_node()
-
-    def unknown_decl(self, data):
-        self._end_node()
-
-    def finish(self) -> str:
-        self.close()
-        self._end_node()
-        return "\n".join(self.nodes)
-
-
-def text_of_html(html: str | None) -> str | None:
-    if html is None:
-        return None
-    parser = _TextNodes()
-    parser.feed(html)
-    return parser.finish()
-
-
-@F.pandas_udf(T.StringType())
-def html_text(html: pd.Series) -> pd.Series:
-    """Visible text of HTML, one line per text node.
-
-    Entities and broken markup need a real tokenizer, which Spark has no built-in for;
-    whole documents pass in Arrow batches.
-    """
-    return html.map(text_of_html)

@@ -10,35 +10,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.operators.skew import HEAVY_ROWS, anti_join, heavy_keys
+from vacantia.operators.components import components
 from vacantia.staging import Staged, stage
 
-# After this many rounds a small rest (long chains of conflicts) is finished in one task.
-ROUNDS_BEFORE_FINISH = 6
-FINISH_ROWS = 200_000
+# Chains of conflicts that are longer than this are walked component by component.
+ROUNDS = 4
 
 
-def _stored_matches(candidates: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Stored values of ``key`` that candidates hold as well.
+def without_known_urls(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """Candidates with a URL that no stored offer has.
 
-    The stored table is the large side of a daily run: it is only scanned and filtered by
-    the candidates' distinct keys, and not shuffled while those are small.
+    One join of two scans, planned lazily: Spark picks broadcast or shuffle, and splits the candidates of a
+    URL that very many share. Stored rows without a URL match nothing and are left out.
     """
-    wanted = candidates.select(key).where(F.col(key).isNotNull()).distinct()
-    return stored.select(key).join(wanted, key, "left_semi").distinct()
-
-
-def without_known_urls(
-    candidates: DataFrame,
-    stored: DataFrame,
-    known_rows: int | None = None,
-    heavy_rows: int = HEAVY_ROWS,
-) -> DataFrame:
-    """Candidates with a URL that no stored offer has."""
-    with_url = candidates.where(F.col("url") != "")
-    known = _stored_matches(with_url, stored, "url")
-    heavy = heavy_keys(with_url, "url", known_rows=known_rows, heavy_rows=heavy_rows)
-    return anti_join(with_url, known, "url", heavy["url"])
+    known = stored.where(F.col("url") != "").select("url")
+    return candidates.where(F.col("url") != "").join(known, "url", "left_anti")
 
 
 @dataclass(frozen=True)
@@ -51,49 +37,48 @@ class Admission:
     rounds: int
 
 
-def admit(
-    candidates: DataFrame,
-    stored: DataFrame | None = None,
-    order: str = "seq",
-    finish_rows: int = FINISH_ROWS,
-    rounds_before_finish: int = ROUNDS_BEFORE_FINISH,
-    heavy_rows: int = HEAVY_ROWS,
-) -> Admission:
+def admit(candidates: DataFrame, stored: DataFrame | None = None, order: str = "seq", most_rounds: int = ROUNDS) -> Admission:
     """Keep, in ``order``, each row whose id and url no kept or stored row holds.
 
-    A null key never conflicts. Two chained de-duplications would be wrong, because a row
+    A null key never conflicts, nor does a stored empty URL. Two chained de-duplications would be wrong, because a row
     refused for its url must not block others by its id. Instead, rounds: a row that comes
     first both in its id group and in its url group is kept; rows sharing a key with it
-    fall out; the rest goes on. The first undecided row is decided in every round, so the
-    loop ends, and conflicts between unrelated rows are settled at the same time.
+    fall out; the rest goes on. What is open after a fixed number of rounds hangs together in
+    long chains; rows are then labelled by connected component, dealt by component and walked in order, so the
+    number of jobs does not grow with a chain.
+
+    The rounds carry (order, id, url) only. Groups are reduced to their first row by aggregation, the group
+    tables meet on the unique order column, and every table that meets the rows is written first, so that adaptive
+    execution can split the rows of a hot key. ``count`` comes from those writes.
 
-    The rounds carry (order, id, url) only. Groups are reduced to their first row by
-    aggregation, the two group tables meet on the unique order column, and heavy keys are
-    split off in the anti joins, so no step gathers a group in one task. Each round is
-    written to the shared folder. ``count`` comes from those writes.
+    ``order`` must be neither null nor repeated; either raises an error.
     """
+    unplaced = F.count_if(F.col("_unplaced"))
     # Of several rows with the same two keys only the first can ever be kept.
     undecided = stage(
         candidates.groupBy(_marked("id", order).alias("id"), _marked("url", order).alias("url")).agg(
-            F.min(order).alias(order)
+            F.min(order).alias(order), F.bool_or(F.col(order).isNull()).alias("_unplaced")
         ),
         "admit-open",
+        unplaced=unplaced,
     )
-    # A key that is not heavy now will not become so, as the rows only get fewer.
-    heavy = heavy_keys(undecided.table, "id", "url", known_rows=undecided.rows, heavy_rows=heavy_rows)
+    repeated = undecided.table.groupBy(order).count().where(F.col("count") > 1)
+    if undecided.seen["unplaced"] or not repeated.isEmpty():
+        raise ValueError(f"{order} must be set and unique to say which row comes first")
+    undecided = Staged(undecided.table.drop("_unplaced"), undecided.rows, undecided.path)
     if stored is not None and undecided.rows:
+        held = stage(stored.select("id", "url"), "admit-held").table
         rest = undecided.table
         for key in ("id", "url"):
-            held = stored.where(F.col(key).isNotNull()).select(F.concat(F.lit("="), F.col(key)).alias(key))
-            known = _stored_matches(undecided.table, held, key)
-            rest = anti_join(rest, known, key, heavy[key])
-        undecided = stage(rest, "admit-open")
+            known = held.where(F.col(key).isNotNull() & ((F.col(key) != "") | F.lit(key == "id")))
+            rest = rest.join(known.select(F.concat(F.lit("="), F.col(key)).alias(key)), key, "left_anti")
+        undecided = stage(rest.select(order, "id", "url"), "admit-open")
     kept: list[Staged] = []
     rounds = 0
     while undecided.rows:
         rounds += 1
-        if rounds > rounds_before_finish and undecided.rows <= finish_rows:
-            kept.append(stage(_finish(undecided.table, order), "admit-finish"))
+        if rounds > most_rounds:
+            kept.append(stage(_walked(undecided.table, order), "admit-walked"))
             break
         winners = stage(_first_in_both(undecided.table, order), "admit-kept")
         kept.append(winners)
@@ -101,8 +86,8 @@ def admit(
             break
         rest = undecided.table
         for key in ("id", "url"):
-            rest = anti_join(rest, winners.table, key, heavy[key])
-        undecided = stage(rest, "admit-open")
+            rest = rest.join(winners.table.select(key), key, "left_anti")
+        undecided = stage(rest.select(order, "id", "url"), "admit-open")
 
     if not kept:
         return Admission(candidates.limit(0), candidates.select(order).limit(0), 0, rounds)
@@ -114,31 +99,36 @@ def admit(
 def _marked(key: str, order: str) -> Column:
     """The key with a mark, or a value no other row has where the key is null."""
     return F.when(F.col(key).isNotNull(), F.concat(F.lit("="), F.col(key))).otherwise(
-        F.concat(F.lit("#"), F.col(order).cast("string"))
+        F.concat(F.lit("#"), F.coalesce(F.col(order).cast("string"), F.lit("?")))
     )
 
 
 def _first_in_both(undecided: DataFrame, order: str) -> DataFrame:
     first_of_id = undecided.groupBy("id").agg(F.min(order).alias(order))
     first_of_url = undecided.groupBy("url").agg(F.min(order).alias(order))
-    return first_of_id.join(first_of_url, order).select(order, "id", "url")
+    first_of_both = first_of_id.join(first_of_url, order)
+    return first_of_both.select(order, "id", "url")
 
 
-def _finish(undecided: DataFrame, order: str) -> DataFrame:
-    """The remaining rows one after the other; the caller has checked their number."""
+def _walked(undecided: DataFrame, order: str) -> DataFrame:
+    """The rows of each component one after the other, many components at a time."""
+    keyed = undecided.withColumns({"_i": F.concat(F.lit("i"), "id"), "_u": F.concat(F.lit("u"), "url")})
+    found = stage(components(keyed, "_i", "_u"), "admit-components").table
+    labelled = keyed.join(found.withColumnRenamed("node", "_i"), "_i")
 
     def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: set[str] = set()
-        urls: set[str] = set()
+        now, ids, urls = None, set(), set()
         for batch in batches:
             keep = []
-            for offer_id, url in zip(batch["id"], batch["url"]):
+            for component, offer_id, url in zip(batch["component"], batch["id"], batch["url"]):
+                if component != now:
+                    now, ids, urls = component, set(), set()
                 free = offer_id not in ids and url not in urls
                 if free:
                     ids.add(offer_id)
                     urls.add(url)
                 keep.append(free)
-            yield batch[keep]
+            yield batch.loc[keep, [order, "id", "url"]]
 
-    ordered = undecided.select(order, "id", "url").coalesce(1).sortWithinPartitions(order)
-    return ordered.mapInPandas(in_order, ordered.schema)
+    dealt = labelled.select("component", order, "id", "url").repartition("component").sortWithinPartitions("component", order)
+    return dealt.mapInPandas(in_order, undecided.select(order, "id", "url").schema)

@@ -62,3 +62,18 @@ def adapt_documents(
         prompts = prompts.repartition(partitions)
     answers = prompts.mapInPandas(generate, "id string, answer string, error string")
     return answers.select("id", artifact_slug(F.col("id")).alias("slug"), strip_fence(F.col("answer")).alias("html"), "error")
+
+
+def adapt_offers(
+    offers: DataFrame,
+    ids: DataFrame,
+    document: DataFrame,
+    make_generator: Callable[[], Callable[[str], Iterable[str]]],
+    partitions: int | None = None,
+) -> DataFrame:
+    """Adapt the one base document (html) of ``document`` for the offers named by ``ids``; unknown ids give no row."""
+    base = document.select("html").first()
+    if base is None:
+        raise ValueError("no base document")
+    chosen = offers.join(ids.select("id").distinct(), "id", "left_semi")
+    return adapt_documents(chosen, base["html"], make_generator, partitions)

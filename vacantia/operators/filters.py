@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +9,6 @@ from vacantia import fixed_values as V
 from vacantia.functions.labels import contract_filter_value, source_dashboard, status_or_default
 from vacantia.functions.text import or_empty
 
-# Up to here the terms become one boolean expression; more are tested from one constant
-# array, which keeps the plan small.
-_INLINE_TERMS = 200
-
-
 def has_forbidden_term(title: Column, description: Column, terms: list[str | None]) -> Column:
     """True where a term occurs anywhere in title and description, whatever its case.
 
@@ -31,8 +23,6 @@ def has_forbidden_term(title: Column, description: Column, terms: list[str | Non
         return F.lit(False)
 
     def any_in(text: Column) -> Column:
-        if len(wanted) <= _INLINE_TERMS:
-            return reduce(or_, [F.contains(text, term) for term in wanted])
         return F.exists(F.array(*wanted), lambda term: F.contains(text, term))
 
     text = F.lower(F.concat(or_empty(title), F.lit(" "), or_empty(description)))

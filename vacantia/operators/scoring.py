@@ -19,32 +19,35 @@ INVALID_ANSWER = "réponse invalide"
 def score_offers(
     offers: DataFrame,
     profile: dict,
-    make_scorer: Callable[[], Callable[[str], str]],
-    partitions: int | None = None,
+    make_scorer: Callable[[], Callable[[list[str]], list[str | Exception]]],
+    partitions: int,
+    prompts_per_call: int = V.DEFAULT_SCORING_LIMIT,
 ) -> DataFrame:
     """(id, score, explication, points_forts, points_faibles) of each offer.
 
     ``make_scorer`` runs once per task, so a client lives as long as its partition, and
-    returns a function from prompt to raw JSON answer. Only id and prompt cross to Python.
-    A failing call and an answer that does not validate both give score -1.
+    returns a function from up to ``prompts_per_call`` prompts to as many raw JSON answers, where an exception stands for a
+    call that failed. ``partitions`` is how many tasks ask at once; what the join before left says nothing about what a
+    model can bear. Only id and prompt cross to Python. A failing call and an answer that does not validate both give score -1.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for batch in batches:
-            answers, errors = [], []
-            for prompt in batch["prompt"]:
+            for first in range(0, len(batch), prompts_per_call):
+                part = batch.iloc[first : first + prompts_per_call]
                 try:
-                    answers.append(scorer(prompt))
-                    errors.append(None)
-                except Exception as problem:  # one offer must not fail the batch
-                    answers.append(None)
-                    errors.append(str(problem))
-            yield pd.DataFrame({"id": batch["id"], "answer": answers, "error": errors})
-
-    prompts = offers.select("id", score_prompt(profile_literal(profile)).alias("prompt"))
-    if partitions:
-        prompts = prompts.repartition(partitions)
+                    got = list(scorer(part["prompt"].tolist()))
+                    if len(got) != len(part):
+                        raise ValueError("one answer per prompt")
+                except Exception as problem:  # one call must not fail the batch
+                    got = [problem] * len(part)
+                failed = [isinstance(answer, Exception) for answer in got]
+                answers = [None if bad else answer for answer, bad in zip(got, failed)]
+                errors = [str(answer) if bad else None for answer, bad in zip(got, failed)]
+                yield pd.DataFrame({"id": part["id"], "answer": answers, "error": errors})
+
+    prompts = offers.select("id", score_prompt(profile_literal(profile)).alias("prompt")).repartition(partitions)
     asked = prompts.mapInPandas(ask, "id string, answer string, error string")
     return scored_answers(asked)
 
@@ -74,30 +77,3 @@ def score_rows(scores: DataFrame, scored_at: Column, version: int) -> DataFrame:
         scored_at.cast("timestamp").alias("score_date"),
         F.lit(version).cast("bigint").alias("version"),
     )
-
-
-def overlap_score(profile: dict) -> Column:
-    """Stand-in score for tests and dry runs; not what a model would answer.
-
-    It follows the order of the scoring criteria: job title 40, skills 30, contract 15,
-    sector 10, place 5. A list counts by the share of its entries found in the offer.
-    """
-    text = F.lower(F.concat_ws(" ", "intitule", "description"))
-    criteria = profile.get("criteres") or {}
-
-    def share(values: list[str] | None, within: Column) -> Column:
-        wanted = [v for v in values or [] if v]
-        if not wanted:
-            return F.lit(0.0)
-        hits = [F.contains(within, F.lower(F.lit(v))).cast("int") for v in wanted]
-        return sum(hits[1:], hits[0]) / F.lit(float(len(wanted)))
-
-    parts = [
-        (40, share([(profile.get("candidat") or {}).get("poste_cible")], text)),
-        (30, share((profile.get("competences") or {}).get("techniques"), text)),
-        (15, share(criteria.get("types_contrat"), F.lower(F.coalesce("type_contrat", F.lit(""))))),
-        (10, share(criteria.get("secteurs_preferes"), text)),
-        (5, share(criteria.get("localisations_acceptees"), F.lower(F.coalesce("lieu_travail", F.lit(""))))),
-    ]
-    weighted = [F.coalesce(part, F.lit(0.0)) * weight for weight, part in parts]
-    return F.floor(sum(weighted[1:], weighted[0])).cast("int")

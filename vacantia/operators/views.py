@@ -20,8 +20,8 @@ from vacantia.functions.text import json_list, or_default, or_empty
 
 
 def dashboard_table(offers: DataFrame) -> DataFrame:
-    """The dashboard's ten columns, and the text colour of the row."""
-    return offers.select(
+    """The dashboard's ten columns, and the text colour of the row, best score first."""
+    return offers.orderBy(F.desc("score"), "id").select(
         F.col("score").alias("Score"),
         priority_dashboard(F.col("score")).alias("Priorité"),
         F.col("intitule").alias("Poste"),

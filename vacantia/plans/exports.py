@@ -86,7 +86,9 @@ def write_documents(documents: DataFrame, path: str, by_id: bool = False) -> str
         raise ValueError("several offers share a slug: write by id")
     short = F.col("id") if by_id else artifact_slug(F.col("id"))
     name = F.concat(F.lit("cv_adapte_"), short, F.lit(".html")).alias("name")
-    done.select(name, "html").write.mode("overwrite").partitionBy("name").text(path)
+    # Only the folders of these names are replaced; documents of earlier calls stay.
+    writer = done.select(name, "html").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("name").text(path)
     return path
 
 

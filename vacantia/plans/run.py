@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as V
@@ -17,17 +17,22 @@ from vacantia.operators.admission import admit
 from vacantia.operators.dedup import first_by_url, last_value_first_place
 from vacantia.operators.filters import has_forbidden_term, scored, to_score, with_url
 from vacantia.operators.metrics import target_counters
+from vacantia.operators.ranking import scoring_queue
 from vacantia.operators.scoring import score_offers, score_rows
 from vacantia.plans.exports import REPORT_COLUMNS, report_name, run_summary, write_export, write_report
 from vacantia.plans.store import OfferStore
 from vacantia.schemas import ITEM_B, OFFER_TEXTS, PAGE_A, ROW_C
 from vacantia.sources.pages import ingest_pages
 from vacantia.sources.readers import (
+    CORRUPT,
+    Collected,
     external_to_stored,
     good_rows,
-    newest_c,
     normalise_a,
+    observed,
+    placed,
     quarantined,
+    read_a,
     read_available,
     read_b,
     read_c,
@@ -35,7 +40,7 @@ from vacantia.sources.readers import (
     read_pages_a,
     union_external,
 )
-from vacantia.staging import stage
+from vacantia.staging import stage, staging_scope
 
 
 @dataclass(frozen=True)
@@ -49,11 +54,16 @@ class Landing:
 
 @dataclass(frozen=True)
 class RunResult:
+    """``broken_lines`` counts, per source, the landed lines that could not be read; they are written to ``broken_path``."""
+
+    version: int
     new_offers: int
     scored_offers: int
     report_path: str | None
     export_path: str | None
     failed_sources: dict[str, str]
+    broken_lines: dict[str, int]
+    broken_path: str | None
     counters: DataFrame | None
 
 
@@ -65,7 +75,7 @@ def moment(as_of: datetime) -> Column:
 def typed_a(pages: DataFrame, config: Config) -> DataFrame:
     """Source A: accepted results as stored offers, with what later decisions need."""
     order = arrival_order(F.lit(V.SOURCE_RANK["adzuna"]), F.col("request_no"), F.col("position"))
-    results = ingest_pages(pages, config.max_results).select("target_no", "pays", order.alias("seq"), "offer.*")
+    results = read_a(ingest_pages(pages, config.max_results).select("target_no", "pays", order.alias("seq"), "offer"))
     marked = results.withColumn("raw_id", F.col("id"))
     return _marked(normalise_a(marked, keep=("seq", "target_no", "raw_id")), config)
 
@@ -82,36 +92,41 @@ def _marked(offers: DataFrame, config: Config) -> DataFrame:
     return offers.select("seq", "target_no", "raw_id", *OFFER_TEXTS, rejected.alias("rejected"))
 
 
-def _ordered(rows: DataFrame, source: str) -> DataFrame:
+def _ordered(read: DataFrame, seen: Observation, source: str) -> DataFrame:
+    """Landed rows in order; a row landed again, at one place with one content, counts once."""
     order = arrival_order(F.lit(V.SOURCE_RANK[source]), F.col("request_no"), F.col("position"))
+    rows = placed(observed(read, seen).dropDuplicates(), good_rows(read).dropDuplicates())
     return rows.withColumn("seq", order).drop("request_no", "position")
 
 
-def collect(
-    spark: SparkSession, landing: Landing, config: Config, as_of: datetime
-) -> tuple[DataFrame | None, dict[str, str]]:
-    """Typed offers of all sources that can be read, written once, and the others' errors."""
+def _no_place() -> Column:
+    """A page that belongs to no request, or has no number, cannot be put in order."""
+    return F.col("request_no").isNull() | F.col("page").isNull()
+
 
-    def from_a() -> DataFrame:
-        return typed_a(good_rows(read_pages_a(spark, landing.pages_a)), config)
+def collect(spark: SparkSession, landing: Landing, config: Config) -> tuple[DataFrame | None, Collected]:
+    """Typed offers of all sources that can be read, each written once, and how reading went.
+
+    Every landed row counts: limits on number and age are part of a request, not of its answer.
+    """
 
-    def from_b() -> DataFrame:
-        landed = good_rows(read_json(spark, landing.items_b, ITEM_B))
-        return typed_external(read_b(_ordered(landed, "apec")), config)
+    def from_a(seen: Observation) -> DataFrame:
+        return typed_a(observed(read_pages_a(spark, landing.pages_a), seen, _no_place()), config)
 
-    def from_c() -> DataFrame:
-        landed = _ordered(good_rows(read_json(spark, landing.rows_c, ROW_C)), "indeed")
-        wanted = config.indeed.get("results_wanted", V.DEFAULT_RESULTS_WANTED)
-        hours = config.indeed.get("hours_old", V.DEFAULT_HOURS_OLD)
-        return typed_external(read_c(newest_c(landed, moment(as_of), hours, wanted), keep=("seq",)), config)
+    def from_b(seen: Observation) -> DataFrame:
+        return typed_external(read_b(_ordered(read_json(spark, landing.items_b, ITEM_B), seen, "apec")), config)
+
+    def from_c(seen: Observation) -> DataFrame:
+        landed = _ordered(read_json(spark, landing.rows_c, ROW_C), seen, "indeed")
+        return typed_external(read_c(landed, keep=("seq",)), config)
 
     sources = [("adzuna", landing.pages_a, from_a), ("apec", landing.items_b, from_b), ("indeed", landing.rows_c, from_c)]
-    read, failed = read_available({name: reader for name, path, reader in sources if path})
-    return (reduce(DataFrame.unionByName, read.values()) if read else None), failed
+    got = read_available({name: reader for name, path, reader in sources if path})
+    return (reduce(DataFrame.unionByName, got.tables.values()) if got.tables else None), got
 
 
-def broken_records(spark: SparkSession, landing: Landing) -> DataFrame | None:
-    """(source, record) of every landed line that is not readable JSON.
+def broken_records(spark: SparkSession, landing: Landing, only: Iterable[str] = ("adzuna", "apec", "indeed")) -> DataFrame | None:
+    """(source, record) of every landed line that cannot be used.
 
     This is a pass of its own over the landed text, for whoever wants to see the lines.
     """
@@ -120,7 +135,14 @@ def broken_records(spark: SparkSession, landing: Landing) -> DataFrame | None:
         ("apec", landing.items_b, ITEM_B),
         ("indeed", landing.rows_c, ROW_C),
     ]
-    parts = [quarantined(read_json(spark, path, schema), name) for name, path, schema in sources if path]
+    parts = []
+    for name, path, schema in sources:
+        if path and name in only:
+            read = read_json(spark, path, schema)
+            parts.append(quarantined(read, name))
+            if name == "adzuna":
+                lost = read.where(F.col(CORRUPT).isNull() & _no_place()).drop(CORRUPT)
+                parts.append(lost.select(F.lit(name).alias("source"), F.to_json(F.struct(*lost.columns)).alias("record")))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
@@ -159,17 +181,26 @@ def add_offers(store: OfferStore, typed: DataFrame, as_of: datetime, version: in
 def score_waiting(
     store: OfferStore,
     config: Config,
-    make_scorer: Callable[[], Callable[[str], str]],
+    make_scorer: Callable[[], Callable[[list[str]], list[str]]],
     as_of: datetime,
-    version: int,
+    batch: int,
     retry_failed: bool = False,
-    partitions: int | None = None,
+    partitions: int = V.SCORING_TASKS,
+    limit: int | None = None,
+    writer: str = "score",
 ) -> DataFrame:
-    """Score every offer that waits; the write calls the model once per offer."""
-    waiting = to_score(store.current(), retry_failed)
+    """Score the offers that wait, or the newest ``limit`` of them; the write calls the model once per offer.
+
+    What waits is judged by the state before this batch's own version, so a batch that runs again
+    finds the same offers and writes the same scores.
+    """
+    version = store.begin(writer, batch)
+    waiting = to_score(store.current(before=version), retry_failed)
+    if limit is not None:
+        waiting = scoring_queue(waiting, limit)
     scores = score_offers(waiting, config.profile, make_scorer, partitions)
     store.append("scores", score_rows(scores, moment(as_of), version), version)
-    return store.read("scores").where(F.col("version") == version)
+    return store.read("scores", only=version)
 
 
 def run_batch(
@@ -177,26 +208,35 @@ def run_batch(
     landing: Landing,
     store: OfferStore,
     config: Config,
-    make_scorer: Callable[[], Callable[[str], str]],
+    make_scorer: Callable[[], Callable[[list[str]], list[str]]],
     as_of: datetime,
-    version: int,
+    batch: int,
     out: str,
+    writer: str = "run",
 ) -> RunResult:
     """Collect, admit, score if anything is new, then report.
 
-    ``version`` grows by 2 or more between runs: offers take it, scores the one after.
+    The store gives the run its version by (writer, batch): a run that is repeated with its number writes the same rows again.
     """
-    typed, failed = collect(spark, landing, config, as_of)
-    new, counters = 0, None
-    if typed is not None:
-        new, counters = add_offers(store, typed, as_of, version)
-    if new > 0:
-        score_waiting(store, config, make_scorer, as_of, version + 1)
-    offers = stage(scored(store.current()).select(*REPORT_COLUMNS), "scored").table
-    report = write_report(offers, f"{out}/{report_name(as_of)}", as_of)
-    export = write_export(offers, f"{out}/offres")
-    inserted = store.read("offers").where(F.col("version") == version)
-    scores = store.read("scores").where(F.col("version") == version + 1)
-    store.append("runs", run_summary(inserted, scores, version, moment(as_of), report, export), version)
-    summary = store.read("runs").where(F.col("version") == version).first()
-    return RunResult(new, summary["scored_offers"], report, export, failed, counters)
+    with staging_scope(spark):
+        version = store.begin(writer, batch)
+        typed, got = collect(spark, landing, config)
+        new, counters = 0, None
+        if typed is not None:
+            new, counters = add_offers(store, typed, as_of, version)
+            rows = counters.collect()  # a row per target and one for all
+            counters = spark.createDataFrame(rows, counters.schema)
+        scoring = store.begin(f"{writer}/scores", batch)
+        if new > 0:
+            score_waiting(store, config, make_scorer, as_of, batch, writer=f"{writer}/scores")
+        offers = stage(scored(store.current(before=scoring + 1)).select(*REPORT_COLUMNS), "scored").table
+        report = write_report(offers, f"{out}/{report_name(as_of)}", as_of)
+        export = write_export(offers, f"{out}/offres")
+        broken = [name for name, lines in got.broken.items() if lines]
+        broken_path = f"{out}/broken" if broken else None
+        if broken:
+            broken_records(spark, landing, broken).write.mode("overwrite").json(broken_path)
+        inserted, scores = store.read("offers", only=version), store.read("scores", only=scoring)
+        store.append("runs", run_summary(inserted, scores, version, moment(as_of), report, export), version)
+        summary = store.read("runs", only=version).first()
+        return RunResult(version, new, summary["scored_offers"], report, export, got.failed, got.broken, broken_path, counters)

@@ -1,12 +1,14 @@
 """Append-only state: offers, scores, status changes, deletions, runs.
 
 Plain Parquet has no row updates, so a change is a new row with a version, and the current
-table is a view. Each batch writes its own ``batch_id=`` folder in overwrite mode, which
-makes a replayed batch harmless.
+table is a view. The store itself gives out versions: a commit log holds one entry per version, named by
+(writer, batch). The same writer's same batch gets its version again and overwrites its own ``batch_id=`` folder, which
+makes a replayed batch harmless; two writers never share a version.
 """
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,12 +27,14 @@ _BATCH = "batch_id"
 
 
 def latest_change(changes: DataFrame, *columns: str) -> DataFrame:
-    """The change with the highest version of each id."""
-    picked = F.struct(*columns)
-    latest = changes.groupBy("id").agg(
-        F.max_by(picked, "version").alias("_change"), F.max("version").alias("_changed_at")
-    )
-    return latest.select("id", "_changed_at", "_change.*")
+    """The change with the highest version of each id.
+
+    Only (id, version) is aggregated; the wide columns then meet the one version that counts. A batch holds
+    one change per id, see ``OfferStore.set_status``.
+    """
+    newest = changes.groupBy("id").agg(F.max("version").alias("version"))
+    latest = changes.select("id", "version", *columns).join(newest, ["id", "version"])
+    return latest.select("id", F.col("version").alias("_changed_at"), *columns)
 
 
 def current_offers(
@@ -71,32 +75,90 @@ def with_status_column(offers: DataFrame) -> DataFrame:
     return offers.withColumn("statut", status_or_default(status))
 
 
+class CommitLog:
+    """Versions by (writer, batch): entry ``n`` is the file ``n`` with the two as text.
+
+    Creating a file that must not exist is what decides between two writers that want one number.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._jvm = spark._jvm
+        self._folder = self._jvm.org.apache.hadoop.fs.Path(folder)
+        self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._known: dict[int, str] = {}
+
+    def _entry(self, version: int):
+        return self._jvm.org.apache.hadoop.fs.Path(self._folder, f"{version:012d}")
+
+    def _refresh(self) -> None:
+        if not self._files.exists(self._folder):
+            return
+        for status in self._files.listStatus(self._folder):
+            name = status.getPath().getName()
+            if name.isdigit() and int(name) not in self._known:
+                stream = self._files.open(status.getPath())
+                text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+                self._known[int(name)] = text
+
+    def last(self) -> int:
+        self._refresh()
+        return max(self._known, default=0)
+
+    def version(self, writer: str, batch: int, at_least: int = 1) -> int:
+        """The version of a writer's batch; a new one, above all others, the first time."""
+        name = f"{writer}\n{batch}"
+        while True:
+            last = self.last()
+            for version, text in self._known.items():
+                if text == name:
+                    return version
+            wanted = max(last + 1, at_least)
+            try:
+                stream = self._files.create(self._entry(wanted), False)
+            except Py4JJavaError:
+                if not self._files.exists(self._entry(wanted)):
+                    raise
+                continue  # another writer was first
+            stream.write(bytearray(name.encode()))
+            stream.close()
+            self._known[wanted] = name
+            return wanted
+
+
 class OfferStore:
     """The state tables under one folder."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
-        for table, schema in TABLES.items():
-            empty = spark.createDataFrame([], schema)
-            empty.write.mode("ignore").parquet(self._path(table, 0))
+        self._log = CommitLog(spark, f"{self.root}/_commits")
+
+    def _path(self, table: str, version: int) -> str:
+        return f"{self.root}/{table}/{_BATCH}={version}"
 
-    def _path(self, table: str, batch_id: int) -> str:
-        return f"{self.root}/{table}/{_BATCH}={batch_id}"
+    def begin(self, writer: str, batch: int) -> int:
+        """The version under which this writer's batch writes, now and whenever it runs again."""
+        return self._log.version(writer, batch)
 
-    def append(self, table: str, rows: DataFrame, batch_id: int) -> None:
-        """Write one batch, from 1 on; the same batch written again replaces itself."""
-        if batch_id < 1:
-            raise ValueError("batch 0 is the empty table")
+    def append(self, table: str, rows: DataFrame, version: int) -> None:
+        """Write one batch under a version that ``begin`` gave; the same batch written again replaces itself."""
+        if not 1 <= version <= self._log.last():
+            raise ValueError("write under a version that begin() gave")
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]])
-        typed.write.mode("overwrite").parquet(self._path(table, batch_id))
+        typed.write.mode("overwrite").parquet(self._path(table, version))
 
-    def read(self, table: str, before: int | None = None) -> DataFrame:
-        """A table, or what it held before a batch."""
+    def read(self, table: str, before: int | None = None, only: int | None = None) -> DataFrame:
+        """A table, what it held before a version, or one version; only the folders asked for are opened."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], TABLES[table])
         schema = T.StructType([*TABLES[table].fields, T.StructField(_BATCH, T.LongType())])
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
         if before is not None:
             rows = rows.where(F.col(_BATCH) < before)
+        if only is not None:
+            rows = rows.where(F.col(_BATCH) == only)
         return rows.drop(_BATCH)
 
     def current(self, before: int | None = None) -> DataFrame:
@@ -115,24 +177,37 @@ class OfferStore:
             .select("id", "url")
         )
 
-    def set_status(self, changes: DataFrame, batch_id: int) -> None:
-        """Append (id, statut) changes."""
-        self.append("status_changes", changes.withColumn("version", F.lit(batch_id)), batch_id)
-
-    def delete(self, ids: DataFrame, batch_id: int) -> None:
-        """Append deletions by id. A deleted offer may be collected again later."""
-        self.append("tombstones", ids.select("id", F.lit(batch_id).alias("version")), batch_id)
-
-    def compact(self, new_root: str, batch_id: int) -> OfferStore:
-        """Write the current state into a new folder; the old one stays as it is."""
+    def set_status(self, changes: DataFrame, batch: int, writer: str = "status") -> int:
+        """Append (id, statut) changes, one per id; returns their version."""
+        if not changes.groupBy("id").count().where(F.col("count") > 1).isEmpty():
+            raise ValueError("one batch changes an id once")
+        version = self.begin(writer, batch)
+        self.append("status_changes", changes.withColumn("version", F.lit(version)), version)
+        return version
+
+    def delete(self, ids: DataFrame, batch: int, writer: str = "delete") -> int:
+        """Append deletions by id; returns their version. A deleted offer may be collected again later."""
+        version = self.begin(writer, batch)
+        self.append("tombstones", ids.select("id", F.lit(version).alias("version")).distinct(), version)
+        return version
+
+    def compact(self, new_root: str) -> OfferStore:
+        """Write the current state into a new, empty folder; the old one stays as it is.
+
+        The copy is one version, above every version of the old store, so that all changes still follow the offers they belong to.
+        """
         fresh = OfferStore(self.spark, new_root)
+        if fresh._log.last():
+            raise ValueError("compact into an empty folder")
+        offers_at = fresh._log.version("compact", 0, at_least=self._log.last() + 1)
+        changes_at = fresh._log.version("compact", 1)
         current = self.current()
-        fresh.append("offers", current.select(*schemas.OFFER.fieldNames()), batch_id)
-        latest = F.lit(batch_id).alias("version")
+        fresh.append("offers", current.select(*[c for c in schemas.OFFER.fieldNames() if c != "version"], F.lit(offers_at).alias("version")), offers_at)
+        latest = F.lit(changes_at).alias("version")
         scored = current.where(F.col("score").isNotNull()).select(
             *[c for c in schemas.SCORE.fieldNames() if c != "version"], latest
         )
-        fresh.append("scores", scored, batch_id)
-        fresh.append("status_changes", current.select("id", "statut", latest), batch_id)
-        fresh.append("runs", self.read("runs"), batch_id)
+        fresh.append("scores", scored, changes_at)
+        fresh.append("status_changes", current.select("id", "statut", latest), changes_at)
+        fresh.append("runs", self.read("runs"), offers_at)
         return fresh

@@ -24,7 +24,7 @@ RAW_A = T.StructType(
     ]
 )
 
-# Source A: one landed result page.
+# Source A: one landed result page; its offers are read field by field.
 PAGE_A = T.StructType(
     [
         T.StructField("target_no", T.LongType()),
@@ -32,7 +32,7 @@ PAGE_A = T.StructType(
         *_strings("pays", "localisation", "mot_cle"),
         T.StructField("page", T.IntegerType()),
         T.StructField("status", T.IntegerType()),
-        T.StructField("results", T.ArrayType(RAW_A)),
+        T.StructField("results", T.ArrayType(T.VariantType())),
     ]
 )
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantia import fixed_values as V
-from vacantia.functions.ids import id_from_raw, id_from_url
+from vacantia.functions.ids import UNPLACED_REQUEST, id_from_raw, id_from_url
 from vacantia.functions.labels import contract_label, salary_label
 from vacantia.functions.text import or_default, or_empty
+from vacantia.operators.ranking import rank_rows
 from vacantia.schemas import EXTERNAL, PAGE_A, RAW_A, RAW_C
 from vacantia.staging import stage
 
@@ -66,9 +68,30 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
 # --- source A ---------------------------------------------------------------------------
 
 
+def fields_a(offer: Column) -> list[Column]:
+    """The fields of one landed offer, each read for itself: one of another kind is null and costs no other.
+
+    Text that holds a number counts as that number, and a number counts as its text.
+    """
+
+    def read(path: str, kind: T.DataType, name: str) -> Column:
+        if isinstance(kind, T.StructType):
+            inner = [read(f"{path}.{f.name}", f.dataType, f.name) for f in kind.fields]
+            return F.struct(*inner).alias(name)
+        return F.try_variant_get(offer, path, kind.simpleString()).alias(name)
+
+    return [read(f"$.{f.name}", f.dataType, f.name) for f in RAW_A.fields]
+
+
+def read_a(rows: DataFrame, offer: str = "offer") -> DataFrame:
+    """Variants as columns of source A, with the whole record as JSON in ``record``. The variant is bound once."""
+    one = F.struct(*fields_a(F.col(offer)), F.to_json(F.col(offer)).alias("record"))
+    others = [c for c in rows.columns if c != offer]
+    return rows.select(*others, one.alias("_offer")).select(*others, "_offer.*")
+
+
 def normalise_a(raw: DataFrame, country: str = "pays", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Source A offers as stored offers, with the salary bounds kept as numbers."""
-    fields = [F.col(f) for f in RAW_A.fieldNames()]
+    """Source A offers, as ``read_a`` gives them, as stored offers, with the salary bounds kept as numbers."""
     place = F.col(country)
     return raw.select(
         *keep,
@@ -81,7 +104,7 @@ def normalise_a(raw: DataFrame, country: str = "pays", keep: tuple[str, ...] = (
         salary_label(F.col("salary_min"), F.col("salary_max"), place).alias("salaire_libelle"),
         or_empty(F.col("created")).alias("date_creation"),
         or_empty(F.col("redirect_url")).alias("url"),
-        raw_json(*fields).alias("raw_json"),
+        F.col("record").alias("raw_json"),
         "salary_min",
         "salary_max",
     )
@@ -157,11 +180,16 @@ def read_c(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def newest_c(
-    rows: DataFrame, as_of: Column, hours_old: int, results_wanted: int, posted: str = "posted_at", tie: str = "seq"
+    rows: DataFrame, as_of: Column, hours_old: int, results_wanted: int, request: str = "request_no", posted: str = "posted_at", tie: str = "seq"
 ) -> DataFrame:
-    """What source C is asked for: posted within ``hours_old``, the newest ``results_wanted``."""
+    """What one request asks source C for: posted within ``hours_old``, the newest ``results_wanted``; undated rows stay.
+
+    This stands for the source's own side of a request. Landed rows are an answer already and are not cut again.
+    """
     recent = F.col(posted) >= as_of - F.make_dt_interval(hours=F.lit(hours_old))
-    return rows.where(recent).orderBy(F.desc(posted), tie).limit(results_wanted)
+    newest = Window.partitionBy(request).orderBy(F.desc(posted), tie)
+    dated = rows.where(recent).withColumn("_newest", F.row_number().over(newest)).where(F.col("_newest") <= results_wanted).drop("_newest")
+    return dated.unionByName(rows.where(F.col(posted).isNull()))
 
 
 # --- common shape -------------------------------------------------------------------------
@@ -195,17 +223,48 @@ def external_to_stored(offers: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     )
 
 
-def read_available(
-    readers: dict[str, Callable[[], DataFrame]],
-) -> tuple[dict[str, DataFrame], dict[str, str]]:
+@dataclass(frozen=True)
+class Collected:
+    """What each source gave: written tables, the errors of the sources that failed, and how many of its lines were broken."""
+
+    tables: dict[str, DataFrame]
+    failed: dict[str, str]
+    broken: dict[str, int]
+
+
+def read_available(readers: dict[str, Callable[[Observation], DataFrame]]) -> Collected:
     """Read each source into a written table; one that fails does not stop the others.
 
-    A source can fail anywhere in its data, so it only counts as read once it is written.
+    A source can fail anywhere in its data, so it only counts as read once it is written. A reader observes how many
+    lines are ``broken``; the writing pass counts them.
     """
-    read, failed = {}, {}
+    out = Collected({}, {}, {})
     for source, reader in readers.items():
+        seen = Observation()
         try:
-            read[source] = stage(reader(), f"read-{source}").table
+            out.tables[source] = stage(reader(seen), f"read-{source}").table
+            out.broken[source] = seen.get["broken"]
         except Exception as problem:  # whatever stops one source is that source's problem
-            failed[source] = str(problem)
-    return read, failed
+            out.failed[source] = str(problem)
+    return out
+
+
+def observed(read: DataFrame, seen: Observation, also_broken: Column | None = None) -> DataFrame:
+    """Good rows of parsed lines, and their number of broken ones in ``seen``."""
+    broken = F.col(CORRUPT).isNotNull()
+    if also_broken is not None:
+        broken = broken | also_broken
+    return read.observe(seen, F.count_if(broken).alias("broken")).where(~broken).drop(CORRUPT)
+
+
+def placed(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows with a request number and a position: those that lack one are numbered behind all others, by content.
+
+    ``again`` holds the same rows without an observation: numbering is a job of its own, before the one that counts.
+    """
+    lacks = F.col("request_no").isNull() | F.col("position").isNull()
+    names = [c for c in rows.columns if c not in ("request_no", "position")]
+    content = F.to_json(F.struct(*names))
+    late = rank_rows(again.where(lacks).select(*names), content, rank="_rank")
+    late = late.withColumns({"request_no": F.lit(UNPLACED_REQUEST).cast("bigint"), "position": F.col("_rank") - 1}).drop("_rank")
+    return rows.where(~lacks).unionByName(late)

@@ -12,7 +12,7 @@ from vacantia.operators.admission import admit
 from vacantia.operators.filters import with_url, without_forbidden_terms
 from vacantia.plans.store import OfferStore
 from vacantia.schemas import OFFER_TEXTS
-from vacantia.staging import stage
+from vacantia.staging import stage, staging_scope
 
 
 def ingest_stream(
@@ -21,24 +21,28 @@ def ingest_stream(
     store: OfferStore,
     forbidden_terms: list[str],
     checkpoint: str,
+    writer: str,
 ) -> StreamingQuery:
     """Feed a stream of landed rows into the store, one micro-batch after the other.
 
     ``to_candidates`` turns landed rows into stored offers with ``seq`` and
-    ``collected_at``. A batch is admitted against what earlier batches stored and written
-    to its own folder, so a replay after a failure gives the same folder again. Batches
-    without a new row write nothing. The trigger takes all data there is, then stops.
+    ``collected_at``. A batch is admitted against what earlier versions stored and written
+    under the version the store gives (``writer``, batch), so a replay after a failure gives the same folder again, and
+    a stream of another name never meets it. Admission sees the narrow rows; the admitted ones are then picked
+    from the batch. Batches without a new row write nothing. The trigger takes all data there is, then stops.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        candidates = without_forbidden_terms(with_url(to_candidates(batch)), forbidden_terms)
-        staged = stage(candidates.select("seq", *OFFER_TEXTS, "collected_at"), "stream")
-        if not staged.rows:
-            return
-        admission = admit(staged.table, store.alive_keys(before=version))
-        if admission.count:
-            store.append("offers", admission.offers.withColumn("version", F.lit(version)), version)
+        with staging_scope(batch.sparkSession):
+            version = store.begin(writer, batch_id)
+            candidates = without_forbidden_terms(with_url(to_candidates(batch)), forbidden_terms)
+            staged = stage(candidates.select("seq", "id", "url"), "stream")
+            if not staged.rows:
+                return
+            admission = admit(staged.table, store.alive_keys(before=version))
+            if admission.count:
+                new = to_candidates(batch).select("seq", *OFFER_TEXTS, "collected_at").join(admission.kept, "seq", "left_semi")
+                store.append("offers", new.withColumn("version", F.lit(version)), version)
 
     return (
         rows.writeStream.foreachBatch(add)
