@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     single = met.where(F.col(_NEW).isNull())
     # Repeated rows, of one id and one text, leave one.
     first = met.where(F.col(_NEW)).withColumn(f"{_NEW}_text", F.xxhash64("text")).dropDuplicates([f"{_NEW}_id", f"{_NEW}_text"])
-    return apart.unionByName(single.unionByName(first).select(*docs.columns))
+    return apart.unionByName(single.select(*docs.columns)).unionByName(first.select(*docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
