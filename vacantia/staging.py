@@ -29,10 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def new_path(spark: SparkSession, label: str) -> str:
+def new_path(spark: SparkSession, label: str, outlives: bool = False) -> str:
+    """A new folder; the innermost staging scope removes it, or the one around that where it ``outlives`` the first."""
     path = f"{shared_folder(spark)}/vacantia/{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    around = _scopes[:-1] if outlives else _scopes
+    if around:
+        around[-1].append(path)
     return path
 
 
@@ -44,14 +46,14 @@ class Staged:
     seen: dict = field(default_factory=dict)
 
 
-def stage(df: DataFrame, label: str, **measures: Column) -> Staged:
+def stage(df: DataFrame, label: str, outlives: bool = False, **measures: Column) -> Staged:
     """Write ``df`` once and return the written table with its row count.
 
     The count, and any further aggregates named in ``measures``, are observed by the writing
-    job itself, so they cost no second pass.
+    job itself, so they cost no second pass. ``outlives`` is for the result of a staging scope.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = new_path(spark, label, outlives)
     seen = Observation()
     wanted = [F.count(F.lit(1)).alias("rows"), *(column.alias(name) for name, column in measures.items())]
     df.observe(seen, *wanted).write.parquet(path)
