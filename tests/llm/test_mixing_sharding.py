@@ -126,7 +126,7 @@ def test_shards_of_hard_texts(documents, no_documents):
     assert sharding.shard_documents(no_documents).collect() == []
 
 
-@pytest.mark.parametrize("limits", [{}, {"MOST_LARGE": 5, "BUNDLES": 40}])
+@pytest.mark.parametrize("limits", [{}, {"MOST_LARGE": 5, "BUNDLES": 600}])
 def test_loads_are_even_and_plain_schedule(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(sharding, name, value)
