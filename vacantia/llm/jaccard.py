@@ -7,10 +7,12 @@ recursively:
    shingles and at 1 from all others, so all its shingles are equally near; the rarest counts as home. A linked document
    may lack that one, but by the bound on its distance it cannot lack more than ``size - ceil(0.75 * size)`` shingles:
    the document is replicated into the regions of that many of its next rarest shingles. Any two linked
-   documents therefore meet in the region of the rarest shingle they share. Regions of one document end here.
+   documents therefore meet in the region of the rarest shingle they share. Regions of one document end here, and
+   a member whose size and shared regions rule out every other member leaves its region.
 2. Every region takes a document as its pivot and measures its members' distances. Members within ``EPSILON`` are linked
-   to the pivot and need not be compared with each other, as they already are one component.
-3. A region whose members are not all one component takes several pivots and is cut into Voronoi cells. A
+   to the pivot and need not be compared with each other, as they already are one component. Regions that hang together by their
+   members then count as one, so that a group of copies is not worked through once for each of its shingles.
+3. A large region whose members are not all one component takes several pivots and is cut into Voronoi cells. A
    member also goes into the cell of another pivot if it is at most ``2 * EPSILON`` further from it than from its own: by the
    triangle inequality no link is lost. Cells are regions again, down to ``DEPTH``.
 4. What is small, or what pivots no longer cut, is compared pair by pair, block against block of ``BLOCK`` members,
@@ -35,19 +37,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.words import PLAIN, joined, lowered, slices, split_words, within_rows
+from vacantia.llm.words import PLAIN, joined, lowered, mixed, slices, split_words
 from vacantia.operators.components import components
-from vacantia.staging import stage
+from vacantia.staging import stage, staging_scope
 
 SHINGLE = 5
 SIMILAR = 75  # per cent
 EPSILON = 1 - SIMILAR / 100
 BLOCK = 128
 PIVOTS = 4
-DEPTH = 2
+DEPTH = 1
+LARGE = 1024
+FAMILY = 16 * BLOCK
+# A shingle that is not frequent and whose hash is among this part of all hashes is low.
+_LOW_SHARE = 0.2
+_LOW = np.uint64(int(_LOW_SHARE * 2**64))
 # A shingle is counted as frequent where it is in this many of a chunk's documents.
 _CHUNK = 1 << 20
 _FREQUENT = 4
@@ -146,9 +153,9 @@ def _frequent(kind: pa.DataType, token: np.ndarray, count: np.ndarray) -> pa.Rec
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, class): each document in the regions of its rarest shingles.
+    """(region, class): each document in the regions of its rarest shingles.
 
-    ``frequent`` holds the frequent shingles from the rarest up; it is of bounded size and broadcast.
+    One more row per document, in a region of its own, tells in ``low`` how many of its shingles are ``_is_low``. ``frequent`` holds the frequent shingles from the rarest up; it is of bounded size and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -159,7 +166,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         slot[(known >> np.uint64(44)).astype(np.int64)] = True
         seen: set[int] = set()
         for batch in batches:
-            tokens, classes, lengths = [], [], []
+            tokens, classes, lengths, lows = [], [], [], []
             for _, shingles in _sets(batch["text"]):
                 size = len(shingles)
                 number = _class(_digest(shingles))
@@ -174,41 +181,190 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     hit = known[at] == shingles[place]
                     common[place] = hit
                     order = np.argsort(ranked[at[hit]], kind="stable")
-                    shingles = np.concatenate((shingles[~common], shingles[place[hit]][order]))
-                tokens.append(shingles[:room])
+                    often = shingles[place[hit]][order]
+                    shingles = shingles[~common]
+                else:
+                    often = shingles[:0]
+                lows.append(int(np.searchsorted(shingles, _LOW)))
+                tokens.append(np.concatenate((shingles, often))[:room])
                 classes.append(number)
                 lengths.append(room)
             if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), lengths))], ["region", "class"]
-                )
+                numbers = np.array(classes, np.int64)
+                told = pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(numbers), pa.array(lows, pa.int32())], ["region", "class", "low"])
+                met = [np.concatenate(tokens).view(np.int64), np.repeat(numbers, lengths)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, met), pa.nulls(len(met[0]), pa.int32())], ["region", "class", "low"])
+                yield told
+
+    return docs.select("text").mapInArrow(read, "region long, class long, low int")
+
+
+_BITS = ("b0", "b1", "b2", "b3")
+
+
+def _traits(met: DataFrame, told: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per class what ``_may_link`` needs: size, low, ``known`` (its low regions that it shares), ``unknown`` (low shingles
+    beyond its regions), ``shared`` (all its shared regions), and a 256-bit map of the low regions that it shares."""
+    slot = F.pmod(F.xxhash64("region"), F.lit(256))
+    is_low = F.col("region").between(0, int(_LOW))
+    bit = F.expr("shiftleft(1L, int(pmod(xxhash64(region), 64)))")
+    bits = [F.bit_or(F.when(is_low & (F.floor(slot / 64) == i), bit).otherwise(F.lit(0).cast("long"))).alias(b) for i, b in enumerate(_BITS)]
+    sums = met.groupBy("class").agg(F.count(F.lit(1)).alias("shared"), F.count_if(is_low).alias("known"), *bits)
+    room = F.col("size") - F.ceil(F.col("size") * SIMILAR / 100) + 1
+    low = F.col("low").cast("long")
+    return (
+        sums.join(told.groupBy("class").agg(F.max("low").alias("low")), "class")
+        .join(classes.select("class", "size"), "class")
+        .withColumns({"low": low, "unknown": F.greatest(low - room, F.lit(0)).cast("long")})
+        .select("class", "size", "low", "known", "unknown", "shared", *_BITS)
+    )
+
+
+def _may_link(x: dict, y: dict):
+    """Can two classes of these traits reach the overlap that their sizes ask for? Columns or arrays alike.
+
+    A low shingle that both have is in regions of both, or beyond the regions of one. The first kind is bounded by the low
+    regions of either, less one for each slot of its bit map in which the other has none; all of the second kind and all
+    that is not low of the smaller rest are granted.
+    """
+    least, most, bits_without = x["least"], x["most"], x["without"]
+    met = least(x["known"] - bits_without(x, y), y["known"] - bits_without(y, x))
+    overlap = met + x["unknown"] + y["unknown"] + least(x["size"] - x["low"], y["size"] - y["low"])
+    sized = 100 * least(x["size"], y["size"]) >= SIMILAR * most(x["size"], y["size"])
+    return sized & ((100 + SIMILAR) * overlap >= SIMILAR * (x["size"] + y["size"]))
+
+
+_IN_SQL = {
+    "least": F.least,
+    "most": F.greatest,
+    "without": lambda p, q: sum((F.bit_count(p[b].bitwiseAND(F.bitwise_not(q[b]))) for b in _BITS[1:]), F.bit_count(p[_BITS[0]].bitwiseAND(F.bitwise_not(q[_BITS[0]])))),
+}
+_IN_NUMPY = {
+    "least": np.minimum,
+    "most": np.maximum,
+    "without": lambda p, q: np.bitwise_count(p["bits"] & ~q["bits"]).sum(axis=1, dtype=np.int64),
+}
+_NUMBERS = ("size", "low", "known", "unknown")
+
+
+def _possible_pairs(pairs: DataFrame, traits: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that may link by their traits."""
+    for side in ("a", "b"):
+        named = [F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in (*_NUMBERS, *_BITS))]
+        pairs = pairs.join(traits.select(*named), side)
+    x, y = ({c: F.col(f"{side}_{c}") for c in (*_NUMBERS, *_BITS)} for side in ("a", "b"))
+    return pairs.where(_may_link({**x, **_IN_SQL}, y)).select("a", "b")
+
+
+def _promising(met: DataFrame, traits: DataFrame) -> DataFrame:
+    """(region, class, pivot): members of a region that may link with another member; the others leave it.
+
+    A region falls apart into the components of its possible links. This drops documents that meet by a chance phrase or a
+    common passage before any set is read, and keeps groups that meet by chance apart. The pivot is the member
+    that shares most of itself, as the least edited copy of a text does. Regions of more than ``LARGE`` members stay whole, with
+    the best pivot among the first of them.
+    """
+    columns = ["region", "class", *_NUMBERS, *_BITS, "shared"]
+    rows = met.join(traits, "class").select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, len(columns)), np.int64)
+        large = pivot = None
+        for batch in batches:
+            table = np.stack([batch[name].to_numpy(zero_copy_only=False) for name in columns], axis=1)
+            if large is not None:
+                same = table[:, 0] == large
+                yield _members(table[same], pivot)
+                if same.all():
+                    continue
+                large, table = None, table[~same]
+            held = np.concatenate((held, table))
+            last = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
+            yield _members(_split(held[:last]))
+            held = held[last:]
+            if len(held) > LARGE:
+                large, pivot = held[0, 0], _pivots(held)[0]
+                yield _members(held, pivot)
+                held = held[:0]
+        if len(held):
+            yield _members(_split(held))
+
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, class long, pivot long")
+
+
+def _pivots(table: np.ndarray) -> np.ndarray:
+    """For each row of a table sorted by region, the class that stands as its region's pivot."""
+    if not len(table):
+        return table[:, 1]
+    order = np.lexsort((table[:, 1], -table[:, -1] / table[:, 2], table[:, 0]))
+    begins = np.searchsorted(table[:, 0], table[:, 0])
+    return table[order, 1][begins]
+
+
+def _members(table: np.ndarray, pivot: int | None = None) -> pa.RecordBatch:
+    pivots = _pivots(table) if pivot is None else np.full(len(table), pivot, np.int64)
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(table[:, i])) for i in (0, 1)), pa.array(pivots)], ["region", "class", "pivot"])
+
+
+def _split(table: np.ndarray) -> np.ndarray:
+    """Rows (region, class, numbers, bits, shared), sorted by region, that have a possible partner in their region.
 
-    return docs.select("text").mapInArrow(read, "region long, class long")
+    The region becomes a number for the component of possible links within it; the result is sorted by that.
+    """
+    if not len(table):
+        return table
+    end = np.searchsorted(table[:, 0], table[:, 0], "right")
+    traits = {name: table[:, 2 + i] for i, name in enumerate(_NUMBERS)}
+    traits["bits"] = np.ascontiguousarray(table[:, 2 + len(_NUMBERS) : 2 + len(_NUMBERS) + len(_BITS)]).view(np.uint64)
+    first, step = np.arange(len(table)), 1
+    ones, others = [], []
+    while len(first := first[first + step < end[first]]):
+        other = first + step
+        fits = _may_link({**{k: v[first] for k, v in traits.items()}, **_IN_NUMPY}, {k: v[other] for k, v in traits.items()})
+        ones.append(first[fits])
+        others.append(other[fits])
+        step += 1
+    one, other = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, others))
+    label = np.arange(len(table))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, one, label[other])
+        np.minimum.at(label, other, label[one])
+        label = label[label]
+        if (label == before).all():
+            break
+    alive = np.zeros(len(table), bool)
+    alive[one] = alive[other] = True
+    out = table[alive].copy()
+    root = table[label[alive], 1]
+    out[:, 0] = mixed(out[:, 0].view(np.uint64) * np.uint64(3) + root.view(np.uint64)).view(np.int64)
+    return out[np.argsort(out[:, 0], kind="stable")]
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
+def _bloom(ids: DataFrame, key: str) -> np.ndarray:
     """A bit per slot that some id falls into; 2 ** _BLOOM_BITS bits whatever the number of ids."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _BLOOM_BITS))
-    words = ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {1 << _BLOOM_BITS}) & 63))")).alias("bits"))
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << _BLOOM_BITS))
+    bit = F.expr(f"shiftleft(1L, int(pmod(xxhash64(`{key}`), {1 << _BLOOM_BITS}) & 63))")
+    words = ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     out = np.zeros(1 << (_BLOOM_BITS - 6), np.int64)
     for row in words.collect():
         out[row["word"]] = row["bits"]
     return out.view(np.uint64)
 
 
-def may_be_in(docs: DataFrame, ids: DataFrame):
-    """A condition on doc_id that holds for every id of ``ids`` and for few others.
+def may_be_in(docs: DataFrame, ids: DataFrame, key: str = "doc_id"):
+    """A condition on ``key`` that holds for every one of ``ids`` and for few others.
 
     It needs no shuffle of the documents and a broadcast of fixed size; what passes still has to be joined.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids, key))
 
     @F.arrow_udf("boolean")
     def test(slot: pa.Array) -> pa.Array:
         at = slot.to_numpy(zero_copy_only=False).astype(np.uint64)
         return pa.array(((bits.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool))
 
-    return test(F.pmod(F.xxhash64("doc_id"), F.lit(1 << _BLOOM_BITS)))
+    return test(F.pmod(F.xxhash64(key), F.lit(1 << _BLOOM_BITS)))
 
 
 def _shingled(docs: DataFrame) -> DataFrame:
@@ -225,11 +381,6 @@ def _shingled(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(read, "class long, shingles array<long>")
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Can sets of these sizes link?"""
-    return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
-
-
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, distance) of (a, b), exact."""
     other = sets.select(F.col("class").alias("b"), F.col("shingles").alias("_b"))
@@ -259,7 +410,8 @@ def _cells(regions: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, D
     asked = regions.join(stage(chosen, "jaccard-pivots").table, "region").select("region", "class", "members", F.explode("pivots").alias("pivot"))
     asked = stage(asked, "jaccard-asked").table
     pairs = asked.where(F.col("class") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    known = stage(_distances(pairs, sets), "jaccard-distances").table
+    needed = sets.where(may_be_in(sets, regions.select("class"), "class"))
+    known = stage(_distances(pairs, needed), "jaccard-distances").table
     measured = asked.join(known.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "distance"), ["pivot", "class"], "left")
     measured = measured.withColumn("distance", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
     per_member = measured.groupBy("region", "class", "members").agg(F.collect_list(F.struct("distance", "pivot")).alias("at"))  # PIVOTS entries
@@ -315,16 +467,27 @@ def _compare(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, in
 
 
 def _blocks(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of regions of any size: every block of members meets every other one, and itself."""
+    """Links (a, b) of regions of any size, in tasks of bounded size.
+
+    Members of a region's main component, that of its pivot, need not meet each other. They are dealt over blocks,
+    and the others, if they fit one block, go to every block. Where they do not, every block meets every other one, and itself.
+    """
+    main = stage(regions.groupBy("region").agg(F.min_by("label", F.struct(F.xxhash64("class"), "class")).alias("main")), "jaccard-main").table
+    marked = regions.join(main, "region").withColumn("_out", F.col("label") != F.col("main"))
+    few = stage(marked.groupBy("region").agg((F.count_if("_out") <= BLOCK).alias("_few")), "jaccard-few").table
     count = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = regions.withColumn("_of", count).withColumn("_in", F.pmod(F.xxhash64("label", "class"), F.col("_of")).cast("int"))
-    met = placed.select("region", "class", "label", "_in", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_with")).select(
-        F.xxhash64("region", F.least("_in", "_with"), F.greatest("_in", "_with")).alias("task"),
-        "class",
-        "label",
-        F.when(F.col("_in") == F.col("_with"), 2).when(F.col("_in") < F.col("_with"), 0).otherwise(1).alias("side"),
+    placed = marked.join(few, "region").withColumn("_of", count).withColumn("_in", F.pmod(F.xxhash64("class"), F.col("_of")).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.col("_of") - 1)
+    with_all = F.when(F.col("_few") & ~F.col("_out"), F.array("_in")).otherwise(everywhere)
+    met = placed.select("region", "class", "label", "_few", "_out", "_in", F.explode(with_all).alias("_with"))
+    pairwise = [F.least("_in", "_with"), F.greatest("_in", "_with")]
+    task = F.when(F.col("_few"), F.xxhash64("region", "_with")).otherwise(F.xxhash64("region", *pairwise))
+    side = (
+        F.when(F.col("_few"), F.when(F.col("_out"), 2).otherwise(0))
+        .when(F.col("_in") == F.col("_with"), 2).when(F.col("_in") < F.col("_with"), 0).otherwise(1)
     )
-    rows = met.join(sets, "class")
+    needed = sets.where(may_be_in(sets, regions.select("class"), "class"))
+    rows = met.select(task.alias("task"), "class", "label", side.alias("side")).join(needed, "class")
 
     def run(table: pa.Table) -> pa.Table:
         held = list(zip(*(table[c].to_pylist() for c in ("class", "label", "side")), (s.values.to_numpy(zero_copy_only=False) for s in table["shingles"])))
@@ -334,30 +497,44 @@ def _blocks(regions: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
+def _families(regions: DataFrame, near_pivot: DataFrame) -> DataFrame:
+    """(region, class) to go on with, where a region stands for all regions of one family of documents.
+
+    Regions that share members overlap almost wholly where documents are copies of each other, and would repeat each
+    other's work once per shingle. Members of regions that hang together are a family; one of up to ``FAMILY`` members is a region. Of larger
+    ones the regions stay as they are, but for those with the same members. In a family of two the only pair is done.
+    """
+    member = stage(components(near_pivot).select(F.col("node").alias("class"), F.col("component").alias("family")), "jaccard-member").table
+    sizes = stage(member.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2), "jaccard-families").table
+    small = member.join(sizes.where(F.col("n") <= FAMILY), "family").select(F.col("family").alias("region"), "class")
+    in_large = member.join(sizes.where(F.col("n") > FAMILY).select("family"), "family", "left_semi").select("class")
+    large = stage(regions.join(in_large, "class", "left_semi"), "jaccard-large").table
+    counted = large.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("mark"))
+    distinct = counted.where(F.col("n") > 2).groupBy("n", "mark").agg(F.min("region").alias("region")).select("region")
+    return small.unionByName(large.join(stage(distinct, "jaccard-distinct").table, "region", "left_semi"))
+
+
 def link_classes(docs: DataFrame, frequent: np.ndarray, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes whose components are those of all links.
 
     ``classes`` is a written table of (class, doc_id, size), doc_id naming a document that holds the class.
     """
     token = Window.partitionBy("region")
-    regions = _prefixes(docs, frequent).withColumns({"low": F.min("class").over(token), "high": F.max("class").over(token)})
-    regions = stage(regions.where(F.col("low") != F.col("high")).select("region", "class").distinct(), "jaccard-regions").table
+    met = _prefixes(docs, frequent).withColumns({"_first": F.min("class").over(token), "_last": F.max("class").over(token)})
+    met = met.where((F.col("_first") != F.col("_last")) | F.col("low").isNotNull()).select("region", "class", "low").distinct()
+    met = stage(met, "jaccard-met").table
+    told, met = met.where(F.col("low").isNotNull()), met.where(F.col("low").isNull()).select("region", "class")
+    traits = stage(_traits(met, told, classes), "jaccard-traits").table
+    regions = stage(_promising(met, traits), "jaccard-regions").table
     involved = stage(regions.select("class").distinct().join(classes.select("class", "doc_id", "size"), "class"), "jaccard-involved").table
     near = docs.select("doc_id", "text").where(may_be_in(docs, involved.select("doc_id")))
     sets = stage(_shingled(near).join(involved.select("class"), "class", "left_semi").dropDuplicates(["class"]), "jaccard-sets").table
 
-    # One document pivot for each region: of all its members the first in a seeded order.
-    first = stage(regions.groupBy("region").agg(F.min_by("class", F.struct(F.xxhash64("class"), "class")).alias("pivot")), "jaccard-pivot").table
-    size = involved.select("class", "size")
-    pairs = regions.join(first, "region").where(F.col("class") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    pairs = pairs.join(size.select(F.col("class").alias("a"), F.col("size").alias("_a")), "a").join(size.select(F.col("class").alias("b"), F.col("size").alias("_b")), "b")
-    pairs = pairs.where(_alike(F.col("_a"), F.col("_b"))).select("a", "b")
+    near_pivot = regions.where(F.col("class") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+    near_pivot = stage(near_pivot, "jaccard-near").table
+    pairs = stage(_possible_pairs(near_pivot, traits), "jaccard-pairs").table
     found = [stage(_distances(pairs, sets).where("linked").select("a", "b"), "jaccard-links").table]
-    # In a region of two the only pair is done.
-    counted = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("mark"))
-    # Regions of the same members are one.
-    distinct = counted.where(F.col("n") > 2).groupBy("n", "mark").agg(F.min("region").alias("region")).select("region")
-    open_ = regions.join(stage(distinct, "jaccard-distinct").table, "region", "left_semi")
+    open_ = _families(regions.select("region", "class"), near_pivot)
     waiting = []
     for depth in range(DEPTH + 1):
         so_far = found[0]
@@ -383,7 +560,15 @@ def link_classes(docs: DataFrame, frequent: np.ndarray, classes: DataFrame) -> D
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), class."""
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), class.
+
+    The result is written; everything staged on the way is removed.
+    """
+    with staging_scope(docs.sparkSession):
+        return stage(_grouped(docs), "jaccard-groups", outlives=True).table
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     scan = stage(_scan(docs), "jaccard-scan").table
     per_token = scan.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("n"))
     top = per_token.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()

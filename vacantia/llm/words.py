@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _SEED = 20240229
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
