@@ -51,7 +51,6 @@ BLOCK = 128
 PIVOTS = 4
 DEPTH = 1
 LARGE = 1024
-FAMILY = 16 * BLOCK
 # A shingle that is not frequent and whose hash is among this part of all hashes is low.
 _LOW_SHARE = 0.2
 _LOW = np.uint64(int(_LOW_SHARE * 2**64))
@@ -497,21 +496,16 @@ def _blocks(regions: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def _families(regions: DataFrame, near_pivot: DataFrame) -> DataFrame:
+def _families(near_pivot: DataFrame) -> DataFrame:
     """(region, class) to go on with, where a region stands for all regions of one family of documents.
 
     Regions that share members overlap almost wholly where documents are copies of each other, and would repeat each
-    other's work once per shingle. Members of regions that hang together are a family; one of up to ``FAMILY`` members is a region. Of larger
-    ones the regions stay as they are, but for those with the same members. In a family of two the only pair is done.
+    other's work once per shingle. Members of regions that hang together are a family, of whatever size, and a family is one
+    region. In a family of two the only pair is done.
     """
-    member = stage(components(near_pivot).select(F.col("node").alias("class"), F.col("component").alias("family")), "jaccard-member").table
-    sizes = stage(member.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2), "jaccard-families").table
-    small = member.join(sizes.where(F.col("n") <= FAMILY), "family").select(F.col("family").alias("region"), "class")
-    in_large = member.join(sizes.where(F.col("n") > FAMILY).select("family"), "family", "left_semi").select("class")
-    large = stage(regions.join(in_large, "class", "left_semi"), "jaccard-large").table
-    counted = large.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("mark"))
-    distinct = counted.where(F.col("n") > 2).groupBy("n", "mark").agg(F.min("region").alias("region")).select("region")
-    return small.unionByName(large.join(stage(distinct, "jaccard-distinct").table, "region", "left_semi"))
+    member = stage(components(near_pivot).select(F.col("node").alias("class"), F.col("component").alias("region")), "jaccard-member").table
+    sizes = stage(member.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2), "jaccard-families").table
+    return member.join(sizes.select("region"), "region", "left_semi")
 
 
 def link_classes(docs: DataFrame, frequent: np.ndarray, classes: DataFrame) -> DataFrame:
@@ -534,7 +528,7 @@ def link_classes(docs: DataFrame, frequent: np.ndarray, classes: DataFrame) -> D
     near_pivot = stage(near_pivot, "jaccard-near").table
     pairs = stage(_possible_pairs(near_pivot, traits), "jaccard-pairs").table
     found = [stage(_distances(pairs, sets).where("linked").select("a", "b"), "jaccard-links").table]
-    open_ = _families(regions.select("region", "class"), near_pivot)
+    open_ = _families(near_pivot)
     waiting = []
     for depth in range(DEPTH + 1):
         so_far = found[0]
