@@ -28,23 +28,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id, once; documents without words all stay.
 
-    Only documents that are in some group are looked up, so the texts of all others do not move.
+    Rows are told apart by doc_id and class, as rows of one id may differ in text and null ids are many documents. Null
+    ids come last, the least class decides between rows of one id. Only documents whose id is in some group are looked
+    up, so the texts of all others do not move.
     """
     ship_package(spark)
-    groups = stage(jaccard.group(docs), "pipeline-groups").table
-    shared = groups.where(F.col("class").isNotNull()).groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    grouped = groups.join(shared.select("component_id"), "component_id", "left_semi").where(F.col("class").isNotNull())
-    ids = stage(
-        grouped.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias(_NEW)), "pipeline-grouped"
-    ).table
-    maybe = jaccard.may_be_in(docs, ids)
+    groups = stage(jaccard.group(docs), "pipeline-groups").table.where(F.col("class").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")
+    shared = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where(F.col("n") > 1)
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class"))
+    grouped = groups.join(shared.select("component", "first"), "component").select("doc_id", "class", is_first.alias(_NEW)).distinct()
+    ids = stage(grouped, "pipeline-grouped").table
+    # Rows without words are in no group and need no look-up.
+    maybe = jaccard.may_be_in(docs, ids) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     apart = docs.where(~maybe)
-    met = docs.where(maybe).withColumn(f"{_NEW}_id", F.col("doc_id"))
-    met = met.join(ids.withColumnRenamed("doc_id", f"{_NEW}_of"), F.col(f"{_NEW}_id").eqNullSafe(F.col(f"{_NEW}_of")), "left")
+    met = docs.where(maybe).withColumns({f"{_NEW}_id": F.col("doc_id"), f"{_NEW}_class": jaccard.class_of(F.col("text"))})
+    known = ids.select(F.col("doc_id").alias(f"{_NEW}_of"), F.col("class").alias(f"{_NEW}_in"), _NEW)
+    same = F.col(f"{_NEW}_id").eqNullSafe(F.col(f"{_NEW}_of")) & (F.col(f"{_NEW}_class") == F.col(f"{_NEW}_in"))
+    met = met.join(known, same, "left")
     single = met.where(F.col(_NEW).isNull())
-    # Repeated rows, of one id and one text, leave one.
-    first = met.where(F.col(_NEW)).withColumn(f"{_NEW}_text", F.xxhash64("text")).dropDuplicates([f"{_NEW}_id", f"{_NEW}_text"])
-    return apart.unionByName(single.select(*docs.columns)).unionByName(first.select(*docs.columns))
+    # Repeated rows, of one id and one set, leave one: that of the least text hash.
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias(_NEW)
+    first = met.where(F.col(_NEW)).groupBy(f"{_NEW}_id", f"{_NEW}_class").agg(one).select(f"{_NEW}.*")
+    return apart.unionByName(single.select(*docs.columns)).unionByName(first)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import collections
 import json
+import random
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 from vacantia.llm import chat, queries
 
+from .conftest import sentence
 from .test_jaccard import expected
 from .test_text_operators import hits_by_hand
 
@@ -107,3 +109,40 @@ def test_stages_against_plain_rules(spark, small, stages):
     assert len(sharded) == len(mixed)
     assert all(sorted(s) == list(range(len(s))) for _, s in sharded.groupby("shard").slot)
     assert (sharded.groupby("text").shard.nunique() == 1).all()
+
+
+def row_groups(rows):
+    """Of (doc_id, text) the row numbers of each component, and of the rows without words."""
+    numbered = [(i, text or "") for i, (_, text) in enumerate(rows)]
+    component = {i: c for i, n, c in expected(numbered) if n}
+    members = collections.defaultdict(list)
+    for i, c in component.items():
+        members[c].append(i)
+    return list(members.values()), [i for i in range(len(rows)) if i not in component]
+
+
+def test_near_duplicates_by_id_and_text(spark, documents):
+    rng = random.Random(8)
+    shared, other, lone, again = (sentence(rng, 30) for _ in range(4))
+    more = [
+        (None, shared), (500, shared),  # a null id linked to an id
+        (None, lone), (None, "nulls alone"), (None, "nulls alone"), (None, None), (None, " "),
+        (501, other), (502, other), (502, again), (502, None), (502, ""),  # a repeated id: in a foreign group, unique, without words
+        (1, sentence(rng, 5)), (503, shared + " end"), (503, other + " end"), (504, other),
+        (490, again + " x"), (490, other + " y"),  # least of one group and of another
+        (505, "Same set"), (505, "same SET"),
+    ]
+    extra = spark.createDataFrame([(i, t, "en", "a", 1, 0.0, "mine", 1) for i, t in more], documents.schema)
+    docs = documents.unionByName(extra).repartition(3).cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    left = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    groups, wordless = row_groups(rows)
+    assert sum(left.values()) == len(groups) + len(wordless)
+    assert sum(n for (_, text), n in left.items() if not (text or "").strip()) == len(wordless)
+    for group in groups:
+        mine = {rows[i] for i in group}
+        least = min(((i is None, i) for i, _ in mine), key=lambda x: (x[0], x[1] or 0))[1]
+        stay = [row for row in mine if left[row]]
+        assert len(stay) == 1 and left[stay[0]] == 1 and stay[0][0] == least

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.words import PLAIN, joined, lowered, mixed, slices, split_words
@@ -87,6 +87,16 @@ def _class(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def class_of(text: Column) -> Column:
+    """The class that ``group`` gives a text; null without words."""
+
+    @F.arrow_udf("long")
+    def number(column: pa.Array) -> pa.Array:
+        return pa.array([_class(_digest(shingles)) if len(shingles) else None for _, shingles in _sets(column)], pa.int64())
+
+    return number(text)
+
+
 def _flush(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not held:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -554,9 +564,9 @@ def link_classes(docs: DataFrame, frequent: np.ndarray, classes: DataFrame) -> D
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), class.
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), class, component.
 
-    The result is written; everything staged on the way is removed.
+    ``component`` is the least class reachable by links; it and ``class`` are null without words. The result is written; everything staged on the way is removed.
     """
     with staging_scope(docs.sparkSession):
         return stage(_grouped(docs), "jaccard-groups", outlives=True).table
@@ -580,11 +590,12 @@ def _grouped(docs: DataFrame) -> DataFrame:
     of_class = classes.table.select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class", "left")
     of_class = of_class.select("class", F.coalesce("component", "class").alias("component"), "doc_id")
     least = stage(of_class.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-least").table
-    named = stage(of_class.select("class", "component").join(least, "component").select("class", "component_id"), "jaccard-named").table
+    named = stage(of_class.select("class", "component").join(least, "component").select("class", "component", "component_id"), "jaccard-named").table
     told = rows.join(named, "class", "left")
     return told.select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("size") > 0, F.col("class")).alias("class"),
+        F.when(F.col("size") > 0, F.col("component")).alias("component"),
     )

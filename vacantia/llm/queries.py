@@ -77,7 +77,7 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.group(_table(spark, folder, "documents")).drop("class")
+    return jaccard.group(_table(spark, folder, "documents")).drop("class", "component")
 
 
 @query
