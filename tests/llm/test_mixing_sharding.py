@@ -93,6 +93,27 @@ def test_overlapping_sources(spark):
     assert targets["a"] + targets["b"] == pytest.approx(3000)
 
 
+def test_more_patterns_than_the_driver_holds(spark, documents, monkeypatch):
+    rng = random.Random(6)
+    sets = [["a"], ["b"], [None], ["a", "b"], ["c", None], ["d"], ["e", "f", "g"], ["g"], [], ["h"]]
+    rows = [(i, rng.choice(sets), rng.randint(0, 40)) for i in range(400)] + [(400 + i, [f"s{i}"], i % 3) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, members array<string>, size long").repartition(3)
+
+    def mixed():
+        mix = mixing.plan(docs, F.col("members"), F.col("size"))
+        timed = mixing.with_times(docs, F.col("members"), F.col("size"), mix, "times")
+        targets = {r.source: (r.source_size, r.target) for r in mix.sources.collect()}
+        return mix.bounded, targets, sorted(map(str, timed.select("doc_id", "times").collect()))
+
+    whole = sorted(map(str, mixing.mix_by_source(documents).drop("target").collect()))
+    bounded, want, times = mixed()
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    assert sorted(map(str, mixing.mix_by_source(documents).drop("target").collect())) == whole
+    many, got, again = mixed()
+    assert (bounded, many) == (True, False) and again == times and got.keys() == want.keys()
+    assert all(got[s][0] == want[s][0] and got[s][1] == pytest.approx(want[s][1]) for s in want)
+
+
 # --- sharding ------------------------------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 A document belongs to one or more sources. Documents are summed up by the set of their sources
 (the pattern); patterns are the supply of a flow network and sources its demand. A pattern offers
 its tokens once at no cost, a second time at cost 1 and a third time at cost 2, so the cheapest
-flow repeats as little as it can. The table of patterns is all the driver sees; more than
-``MOST_PATTERNS`` raise an error.
+flow repeats as little as it can. The table of patterns is all the driver sees, up to
+``MOST_PATTERNS`` of them. Beyond that patterns stay on Spark: sources are ranked and share out there, a source that
+shares no document with others needs no flow, sources that hang together are a flow in one task, and rows meet their pattern by a shuffle.
 
 A pattern's flow is ``r`` whole passes plus a rest. Every document is taken ``r`` times, and
 documents in seeded hash order once more until the rest is used up (or once less of ``r + 1``, if that
@@ -20,9 +21,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.operators.components import components
+from vacantia.operators.ranking import rank_rows
 from vacantia.staging import stage
 
 WEIGHTS = (1, 2, 3)
@@ -147,10 +151,15 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, most: int = MOST_TIME
 
 @dataclass(frozen=True)
 class Mix:
-    """Per source (source, source_size, target); per pattern the passes and the runs. Both are of bounded size."""
+    """Per source (source, source_size, target); per pattern the passes and the runs. Both may be broadcast if ``bounded``."""
 
     sources: DataFrame
     patterns: DataFrame
+    bounded: bool = True
+
+
+def _beside(table: DataFrame, bounded: bool) -> DataFrame:
+    return F.broadcast(table) if bounded else table  # MOST_PATTERNS rows at most
 
 
 def _order(doc_id: Column) -> Column:
@@ -175,9 +184,10 @@ def plan(docs: DataFrame, members: Column, size: Column, weights: tuple[int, ...
     """Decide the mix from (doc_id, members array<string>, size); texts are read once."""
     spark = docs.sparkSession
     rows = stage(_narrow(docs, members, size), "mix").table
-    sums = rows.groupBy("pattern", "members").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    per_pattern = rows.groupBy("pattern", "members").agg(F.sum("size").alias("size"))
+    sums = per_pattern.limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} combinations of sources")
+        return _plan_of_many(rows, stage(per_pattern, "mix-patterns").table, weights)
     sums.sort(key=lambda row: row["pattern"])
     sizes: dict = {}
     for row in sums:
@@ -198,6 +208,64 @@ def plan(docs: DataFrame, members: Column, size: Column, weights: tuple[int, ...
     return Mix(sources, stage(_cuts(rows, passes), "mix-cuts").table)
 
 
+def _share_out(sources: DataFrame, total: int, most: int = MOST_TIMES) -> Column:
+    """The targets of ``by_weight`` for (own, weight), as a column; each step is one sum over all sources."""
+    left, open_, capped = 0.0, 1, -1
+    while True:
+        share = F.lit(left) * F.col("weight") / F.lit(open_)
+        over = share > most * F.col("own")
+        seen = sources.agg(
+            F.count_if(over).alias("n"), F.sum(F.when(over, most * F.col("own"))).alias("held"), F.sum(F.when(~over, F.col("weight"))).alias("open")
+        ).first()
+        if seen["n"] <= capped or not seen["open"]:
+            return F.when(over, most * F.col("own")).otherwise(share)
+        left, open_, capped = float(total) - (seen["held"] or 0.0), seen["open"], seen["n"]
+
+
+def _flows(table: pa.Table) -> pa.Table:
+    """(pattern, given) of one connected part."""
+    mine = sorted(table.select(["pattern", "size", "at"]).to_pylist(), key=lambda row: row["pattern"])
+    quotas = {m["place"]: m["quota"] for row in mine for m in row["at"]}
+    given = route([(tuple(m["place"] for m in row["at"]), row["size"]) for row in mine], quotas)
+    return pa.table({"pattern": pa.array([row["pattern"] for row in mine], pa.string()), "size": pa.array([row["size"] for row in mine], pa.int64()), "given": pa.array(given, pa.int64())})
+
+
+def _plan_of_many(rows: DataFrame, sums: DataFrame, weights: tuple[int, ...]) -> Mix:
+    """``plan`` for any number of patterns; ``sums`` is a written table of (pattern, members, size)."""
+    each = sums.select("pattern", "size", F.explode("members").alias("source"))
+    ranked = rank_rows(each.groupBy("source").agg(F.sum("size").alias("source_size")), F.col("source").isNull(), "source", rank="place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    total = sums.agg(F.sum("size")).first()[0]
+    counted = ranked.agg(F.sum("source_size")).first()[0]
+    scale = total / counted if counted else 1.0
+    sources = stage(ranked.select("source", "source_size", "place", weight.alias("weight"), (F.col("source_size") * F.lit(scale)).alias("own")), "mix-sources").table
+    sources = stage(sources.withColumn("target", _share_out(sources, total)), "mix-targets").table
+    asked = sources.select(F.col("source").alias("_source"), "place", F.bround("target", 0).cast("long").alias("quota"))
+    patterns = (
+        each.join(asked, F.col("source").eqNullSafe(F.col("_source")))
+        .groupBy("pattern", "size")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "quota"))).alias("at"))  # the sources of one document
+    )
+    patterns = stage(patterns, "mix-asked").table
+    first = F.col("at")[0]["place"]
+    pairs = patterns.where(F.size("at") > 1).select(first.alias("a"), F.explode("at.place").alias("b"))
+    tied = patterns.join(components(pairs), first == F.col("node"), "left")
+    alone = tied.where(F.col("component").isNull()).select("pattern", "size", F.least(MOST_TIMES * F.col("size"), F.col("at")[0]["quota"]).alias("given"))
+    together = tied.where(F.col("component").isNotNull()).select("component", "pattern", "size", "at")
+    flows = alone.unionByName(together.groupBy("component").applyInArrow(_flows, "pattern string, size long, given long"))
+    whole = F.expr("given div greatest(size, 1)")
+    rest = F.col("given") - F.col("_whole") * F.col("size")
+    less = 2 * F.col("_rest") > F.col("size")
+    passes = flows.withColumn("_whole", whole).withColumn("_rest", rest).select(
+        "pattern",
+        (F.col("_whole") + less.cast("long")).alias("passes"),
+        F.when(less, -1).otherwise(1).alias("step"),
+        F.when(less, F.col("size") - F.col("_rest")).otherwise(F.col("_rest")).alias("rest"),
+    )
+    passes = stage(passes, "mix-passes").table
+    return Mix(sources.select("source", "source_size", "target"), stage(_cuts(rows, passes, bounded=False), "mix-cuts").table, bounded=False)
+
+
 def _at(order: Column, doc_id: Column) -> Column:
     return F.struct(order.alias("order"), doc_id.alias("id"))
 
@@ -208,13 +276,13 @@ def _passes(flow: int, size: int) -> tuple[int, int, int]:
     return (passes + 1, -1, size - rest) if 2 * rest > size else (passes, 1, rest)
 
 
-def _next_run(rows: DataFrame, state: DataFrame) -> DataFrame:
+def _next_run(rows: DataFrame, state: DataFrame, bounded: bool) -> DataFrame:
     """Go on in the order from ``begin`` with documents of at most ``cap`` words until one does not fit ``rest``.
 
     Adds ``end``, the place of the one that does not fit (null: all fit), and ``gap``, what is left then.
     """
     place = _at(F.col("order"), F.col("id"))
-    open_ = rows.join(F.broadcast(state), "pattern").where(  # MOST_PATTERNS rows at most
+    open_ = rows.join(_beside(state, bounded), "pattern").where(
         (F.col("size") > 0) & (F.col("size") <= F.col("cap")) & (F.col("begin").isNull() | (place >= F.col("begin")))
     )
     upto = Window.partitionBy("pattern").orderBy("range")
@@ -232,7 +300,7 @@ def _next_run(rows: DataFrame, state: DataFrame) -> DataFrame:
     # Rows of one id have one sum: they fit together or not at all.
     within = Window.partitionBy("pattern").orderBy("order", "id")
     edge = (
-        open_.join(F.broadcast(ranges), "pattern")
+        open_.join(_beside(ranges, bounded), "pattern")
         .where(_range(F.col("order")) == F.col("cut.range"))
         .withColumn("sum", F.sum("size").over(within))
         .groupBy("pattern")
@@ -242,13 +310,13 @@ def _next_run(rows: DataFrame, state: DataFrame) -> DataFrame:
         )
     )
     return (
-        state.join(F.broadcast(ranges.select("pattern", "over")), "pattern", "left")
-        .join(F.broadcast(edge), "pattern", "left")
+        state.join(_beside(ranges.select("pattern", "over"), bounded), "pattern", "left")
+        .join(_beside(edge, bounded), "pattern", "left")
         .select("pattern", "passes", "step", "runs", "begin", "cap", "end", F.coalesce("gap", "over", "rest").alias("gap"))
     )
 
 
-def _cuts(rows: DataFrame, passes: DataFrame) -> DataFrame:
+def _cuts(rows: DataFrame, passes: DataFrame, bounded: bool = True) -> DataFrame:
     """Per pattern the passes, and the runs of the order that are taken once more: ``RUNS`` of them.
 
     A run ends at the first document that does not fit; the next one begins there and passes over
@@ -260,7 +328,7 @@ def _cuts(rows: DataFrame, passes: DataFrame) -> DataFrame:
         F.array().cast(f"array<struct<begin: {place}, cap: bigint, end: {place}>>").alias("runs"),
     )
     for _ in range(RUNS):
-        done = stage(_next_run(rows, state), "mix-run").table
+        done = stage(_next_run(rows, state, bounded), "mix-run").table
         runs = F.concat("runs", F.array(F.struct("begin", "cap", "end")))
         # Where all documents fitted there is nothing to go on with.
         state = done.select(
@@ -271,9 +339,9 @@ def _cuts(rows: DataFrame, passes: DataFrame) -> DataFrame:
 
 
 def with_times(docs: DataFrame, members: Column, size: Column, mix: Mix, into: str) -> DataFrame:
-    """``docs`` with how often each row is taken; no row moves."""
+    """``docs`` with how often each row is taken; no row moves where the mix is bounded."""
     key = F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"})
-    cut = mix.patterns.select(F.struct(*mix.patterns.columns).alias(f"_{into}"))  # MOST_PATTERNS rows at most
+    cut = mix.patterns.select(F.struct(*mix.patterns.columns).alias(f"_{into}"))
     here = _at(_order(F.col("doc_id")), F.coalesce(F.col("doc_id"), F.lit(_LEAST)))
     c = F.col(f"_{into}")
     more = F.exists(
@@ -281,7 +349,7 @@ def with_times(docs: DataFrame, members: Column, size: Column, mix: Mix, into: s
         lambda run: (size <= run["cap"]) & (run["begin"].isNull() | (here >= run["begin"])) & (run["end"].isNull() | (here < run["end"])),
     )
     return (
-        docs.join(F.broadcast(cut), key == c.pattern, "left")
+        docs.join(_beside(cut, mix.bounded), key == c.pattern, "left")
         .withColumn(into, F.coalesce(c.passes, F.lit(0)) + F.coalesce(c.step * more.cast("int"), F.lit(0)))
         .drop(f"_{into}")
     )
@@ -295,6 +363,6 @@ def mix_by_source(docs: DataFrame) -> DataFrame:
     sources = decided.sources.select(F.col("source").alias("_name"), "source_size", "target")
     return (
         with_times(rows, members, F.col("size"), decided, "times")
-        .join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_name")), "left")
+        .join(_beside(sources, decided.bounded), F.col("source").eqNullSafe(F.col("_name")), "left")
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
     )
