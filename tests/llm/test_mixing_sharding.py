@@ -93,6 +93,29 @@ def test_overlapping_sources(spark):
     assert targets["a"] + targets["b"] == pytest.approx(3000)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_document_is_left_that_fits(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.randint(2000, 9000) if rng.random() < 0.3 else rng.randint(1, 400), rng.choice("abc")) for i in range(300)]
+    rows += [(1000 + i // 2, 3, "a") for i in range(40)]  # two rows of one id fit together or not at all
+    docs = spark.createDataFrame(rows, "doc_id long, size long, source string")
+    members, size = F.array("source"), F.col("size")
+    mix = mixing.plan(docs, members, size)
+    targets = {r.source: round(r.target) for r in mix.sources.collect()}
+    taken = collections.Counter()
+    times, sizes = collections.defaultdict(dict), collections.defaultdict(collections.Counter)
+    for r in mixing.with_times(docs, members, size, mix, "times").collect():
+        taken[r.source] += r.times * r.size
+        times[r.source][r.doc_id] = r.times
+        sizes[r.source][r.doc_id] += r.size
+    step = {r.pattern: (r.passes, r.step) for r in mix.patterns.collect()}
+    for source, target in targets.items():
+        passes, sign = step[f'["{source}"]']
+        remaining = [sizes[source][i] for i, n in times[source].items() if n == passes]
+        gap = sign * (target - taken[source])
+        assert gap == 0 or 0 < gap < min(remaining)
+
+
 def test_more_patterns_than_the_driver_holds(spark, documents, monkeypatch):
     rng = random.Random(6)
     sets = [["a"], ["b"], [None], ["a", "b"], ["c", None], ["d"], ["e", "f", "g"], ["g"], [], ["h"]]

@@ -9,7 +9,7 @@ shares no document with others needs no flow, sources that hang together are a f
 
 A pattern's flow is ``r`` whole passes plus a rest. Every document is taken ``r`` times, and
 documents in seeded hash order once more until the rest is used up (or once less of ``r + 1``, if that
-is the shorter way); one that does not fit is passed over and the next that do are chosen, ``RUNS - 1`` times. The runs are written down as cuts in the order
+is the shorter way); one that does not fit is passed over and the next that do are chosen, until none fits. The runs are written down as cuts in the order
 per pattern, so whether a row is taken is a plain expression on the row and no text moves.
 
 Defined results: sources weigh by their place in code point order, null last. A null text has size 0
@@ -20,6 +20,7 @@ is taken. Other columns of the input are kept and not used.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +36,6 @@ SEED = 17
 MOST_PATTERNS = 100_000
 # The order is cut first into so many ranges of the hash, then within one of them.
 RANGE_BITS = 12
-RUNS = 4
 _LEAST = -(1 << 63)
 
 
@@ -276,6 +276,10 @@ def _passes(flow: int, size: int) -> tuple[int, int, int]:
     return (passes + 1, -1, size - rest) if 2 * rest > size else (passes, 1, rest)
 
 
+def _from(place: Column, begin: Column, past: Column) -> Column:
+    return begin.isNull() | (place > begin) | (~past & (place == begin))
+
+
 def _next_run(rows: DataFrame, state: DataFrame, bounded: bool) -> DataFrame:
     """Go on in the order from ``begin`` with documents of at most ``cap`` words until one does not fit ``rest``.
 
@@ -283,7 +287,7 @@ def _next_run(rows: DataFrame, state: DataFrame, bounded: bool) -> DataFrame:
     """
     place = _at(F.col("order"), F.col("id"))
     open_ = rows.join(_beside(state, bounded), "pattern").where(
-        (F.col("size") > 0) & (F.col("size") <= F.col("cap")) & (F.col("begin").isNull() | (place >= F.col("begin")))
+        (F.col("size") > 0) & (F.col("size") <= F.col("cap")) & _from(place, F.col("begin"), F.col("past"))
     )
     upto = Window.partitionBy("pattern").orderBy("range")
     ranges = (
@@ -312,30 +316,35 @@ def _next_run(rows: DataFrame, state: DataFrame, bounded: bool) -> DataFrame:
     return (
         state.join(_beside(ranges.select("pattern", "over"), bounded), "pattern", "left")
         .join(_beside(edge, bounded), "pattern", "left")
-        .select("pattern", "passes", "step", "runs", "begin", "cap", "end", F.coalesce("gap", "over", "rest").alias("gap"))
+        .select("pattern", "passes", "step", "runs", "begin", "past", "cap", "end", F.coalesce("gap", "over", "rest").alias("gap"))
     )
 
 
 def _cuts(rows: DataFrame, passes: DataFrame, bounded: bool = True) -> DataFrame:
-    """Per pattern the passes, and the runs of the order that are taken once more: ``RUNS`` of them.
+    """Per pattern the passes, and the runs of the order that are taken once more.
 
     A run ends at the first document that does not fit; the next one begins there and passes over
-    whatever is larger than what is left.
+    whatever is larger than what is left. Where the rows of one id fit one by one but not together it begins behind
+    them. Every run gets further in the order, and patterns go on until nothing is left to fill or no document fits.
     """
     place = "struct<order: bigint, id: bigint>"
+    run = F.array(F.struct("begin", "past", "cap", "end"))
     state = passes.select(
-        "pattern", "passes", "step", "rest", F.lit(None).cast(place).alias("begin"), F.lit((1 << 63) - 1).alias("cap"),
-        F.array().cast(f"array<struct<begin: {place}, cap: bigint, end: {place}>>").alias("runs"),
+        "pattern", "passes", "step", "rest", F.lit(None).cast(place).alias("begin"), F.lit(False).alias("past"), F.lit((1 << 63) - 1).alias("cap"),
+        F.array().cast(f"array<struct<begin: {place}, past: boolean, cap: bigint, end: {place}>>").alias("runs"),
     )
-    for _ in range(RUNS):
-        done = stage(_next_run(rows, state, bounded), "mix-run").table
-        runs = F.concat("runs", F.array(F.struct("begin", "cap", "end")))
-        # Where all documents fitted there is nothing to go on with.
-        state = done.select(
+    columns = ["pattern", "passes", "step", "runs"]
+    goes_on = F.col("end").isNotNull() & (F.col("gap") > 0)
+    settled = []
+    while True:
+        done = stage(_next_run(rows, state, bounded).withColumn("runs", F.concat("runs", run)), "mix-run", open=F.count_if(goes_on))
+        settled.append(done.table.where(~goes_on).select(columns))
+        if not done.seen["open"]:
+            return reduce(DataFrame.unionByName, settled)
+        state = done.table.where(goes_on).select(
             "pattern", "passes", "step", F.col("gap").alias("rest"), F.col("end").alias("begin"),
-            F.when(F.col("end").isNull(), F.lit(0)).otherwise(F.col("gap")).cast("long").alias("cap"), runs.alias("runs"),
+            F.coalesce(F.col("end") == F.col("begin"), F.lit(False)).alias("past"), F.col("gap").alias("cap"), "runs",
         )
-    return state.select("pattern", "passes", "step", "runs")
 
 
 def with_times(docs: DataFrame, members: Column, size: Column, mix: Mix, into: str) -> DataFrame:
@@ -346,7 +355,7 @@ def with_times(docs: DataFrame, members: Column, size: Column, mix: Mix, into: s
     c = F.col(f"_{into}")
     more = F.exists(
         c.runs,
-        lambda run: (size <= run["cap"]) & (run["begin"].isNull() | (here >= run["begin"])) & (run["end"].isNull() | (here < run["end"])),
+        lambda run: (size <= run["cap"]) & _from(here, run["begin"], run["past"]) & (run["end"].isNull() | (here < run["end"])),
     )
     return (
         docs.join(_beside(cut, mix.bounded), key == c.pattern, "left")
