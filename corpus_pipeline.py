@@ -73,13 +73,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and their place in it."""
+    """All rows with their shard and their place in it; ``shard`` and ``slot`` replace columns of these names, all others stay."""
     ship_package(spark)
-    narrow = stage(docs.select("doc_id", sharding.group().alias("group"), sharding.size().alias("size")), "pipeline-shard").table
-    decided = sharding.plan(narrow.select("group", "size"))
-    counted = sharding.with_shard(narrow, decided, F.col("group"))
-    placed = sharding.with_shard(docs.withColumn("group", sharding.group()), decided, F.col("group"))
-    return sharding.with_slot(placed, counted, "doc_id", "group").drop("group")
+    key = f"{_NEW}_group"
+    narrow = stage(docs.select("doc_id", sharding.group().alias(key), sharding.size().alias("size")), "pipeline-shard").table
+    decided = sharding.plan(narrow.select(F.col(key).alias("group"), "size"))
+    counted = sharding.with_shard(narrow, decided, F.col(key))
+    placed = sharding.with_shard(docs.withColumn(key, sharding.group()), decided, F.col(key))
+    return sharding.with_slot(placed, counted, "doc_id", key).drop(key)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -146,3 +146,12 @@ def test_near_duplicates_by_id_and_text(spark, documents):
         least = min(((i is None, i) for i, _ in mine), key=lambda x: (x[0], x[1] or 0))[1]
         stay = [row for row in mine if left[row]]
         assert len(stay) == 1 and left[stay[0]] == 1 and stay[0][0] == least
+
+
+def test_shard_keeps_other_columns(spark):
+    rows = [(i, f"text {i % 7}", f"g{i}", "old", "old") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, group string, shard string, slot string")
+    got = corpus_pipeline.shard(spark, docs, "")
+    assert sorted(got.columns) == sorted(docs.columns)
+    assert sorted((r.doc_id, r.group) for r in got.collect()) == [(i, f"g{i}") for i in range(40)]
+    assert dict(got.dtypes)["shard"] == "int" and dict(got.dtypes)["slot"] == "bigint"
