@@ -11,6 +11,7 @@ from vacantia.llm import (
     decontaminate,
     jaccard,
     language,
+    line_dedup,
     mixing,
     personal_data,
     quality_classifier,
@@ -83,3 +84,11 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.link(chat.with_reply_calls(_table(spark, folder, "conversations")), chat.REPLY)
+
+
+@query
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.summary(line_dedup.without_repeated_lines(_table(spark, folder, "documents")))
+
+
+ORACLES["op12_line_dedup"] = line_dedup.ORACLE
