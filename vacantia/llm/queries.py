@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.llm import (
     chat,
+    collocations,
     decontaminate,
     jaccard,
     language,
@@ -18,6 +19,7 @@ from vacantia.llm import (
     quality_rules,
     secrets,
     sharding,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +94,16 @@ def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_line_dedup"] = line_dedup.ORACLE
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+@query
+def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+ORACLES["op11_phrase_mining"] = collocations.ORACLE
