@@ -303,3 +303,39 @@ def test_contract_groups_are_optional(spark):
     grouped = filters.dashboard_filter(frame, contract_groups={"CDD/Contrat": "CDD"})
     assert [r.id for r in grouped.collect()] == ["a", "b", "c"]
     assert [r.id for r in filters.dashboard_filter(frame, contracts=["N/A"]).collect()] == ["c"]
+
+
+def test_giant_component_is_decided_block_by_block(spark, monkeypatch):
+    """One component of 6,000 rows, blocks of 700: no task walks more, and the result is that of one walk."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, f"i{(i + 1) // 2}", "hot" if i % 10 == 9 else f"u{i // 2}") for i in range(4000)]
+    rows += [(i, f"i{rng.randrange(2000)}", f"u{rng.randrange(2000)}") for i in range(4000, 6000)] + [(9000 + i, f"x{i % 2}", f"y{i}") for i in range(5)]
+    rng.shuffle(rows)
+    ids, urls, expected = set(), set(), []
+    for seq, offer_id, url in sorted(rows):
+        if offer_id not in ids and url not in urls:
+            ids.add(offer_id)
+            urls.add(url)
+            expected.append(seq)
+    walked = []
+    walk = admission._walked
+
+    def watched(part, order):
+        walked.append(part.groupBy("component").count().agg({"count": "max"}).first()[0] or 0)
+        return walk(part, order)
+
+    monkeypatch.setattr(admission, "_walked", watched)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = admission.admit(frame, most_rounds=1, block_rows=700)
+    assert sorted(r.seq for r in got.offers.collect()) == expected and got.count == len(expected)
+    assert max(walked) <= 700 and len(walked) > 5
+
+
+@pytest.mark.parametrize("block_rows", [1, 3])
+def test_admission_does_not_depend_on_blocks(spark, block_rows):
+    rows = [(i, f"i{i * 7 % 13}", f"u{i * 5 % 11}") for i in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(r.seq for r in admission.admit(frame, most_rounds=1).offers.collect())
+    assert sorted(r.seq for r in admission.admit(frame, most_rounds=1, block_rows=block_rows).offers.collect()) == whole

@@ -13,8 +13,10 @@ from vacantia.catalog.models import length_scorer
 from vacantia.config import Config, load_config, search_targets
 from vacantia.operators import scoring
 from vacantia.operators.admission import admit
+from vacantia.operators.ranking import sort_ranges
 from vacantia.plans import exports
 from vacantia.plans.run import Landing, broken_records, collect, run_batch, score_waiting
+from vacantia.plans.sinks import DocumentSink
 from vacantia.plans.store import OfferStore, with_status_column
 from vacantia.schemas import OFFER_TEXTS, PAGE_A
 from vacantia.sources import readers
@@ -33,18 +35,15 @@ def offer_rows(spark, rows):
 
 
 def put(store, rows, batch, writer="offers"):
-    version = store.begin(writer, batch)
-    store.append("offers", offer_rows(store.spark, rows).withColumn("version", F.lit(version)), version)
-    return version
+    return store.insert(writer, batch, lambda keys_for: offer_rows(store.spark, rows))
 
 
 def score(store, offer_id, value, batch):
-    version = store.begin("scores", batch)
     row = store.spark.createDataFrame([(offer_id, value)], "id string, score int").select(
         "id", "score", F.lit("e").alias("score_explication"), F.lit("[]").alias("score_points_forts"),
-        F.lit("[]").alias("score_points_faibles"), F.lit(None).alias("score_date"), F.lit(version).alias("version"),
+        F.lit("[]").alias("score_points_faibles"), F.lit(None).alias("score_date"),
     )
-    store.append("scores", row, version)
+    store.commit("scores", batch, scores=row)
 
 
 def state(store):
@@ -81,14 +80,14 @@ def test_opening_again_and_replaying_change_nothing(spark, tmp_path):
     put(again, [("a", "u")], 1)
     assert again.read("offers").count() == 1
     with pytest.raises(ValueError):
-        again.append("offers", offer_rows(spark, [("b", "v")]).withColumn("version", F.lit(9)), 9)
+        again.commit("offers", 9, offers=offer_rows(spark, [("b", "v")]))
 
 
 def test_writers_do_not_erase_each_other(spark, tmp_path):
     store = OfferStore(spark, str(tmp_path / "s"))
     other = OfferStore(spark, str(tmp_path / "s"))
     assert put(store, [("a", "u"), ("b", "v")], 1, "one") != put(other, [("c", "w")], 1, "two")
-    assert store.begin("one", 1) == other.begin("one", 1)
+    assert store.version_of("one", 1) == other.version_of("one", 1) is not None
     one = spark.createDataFrame([("a", "Refusé")], "id string, statut string")
     two = spark.createDataFrame([("b", "Postulé")], "id string, statut string")
     assert store.set_status(one, 7, "left") != other.set_status(two, 7, "right")
@@ -327,15 +326,46 @@ def test_documents_with_one_slug(spark, tmp_path):
     with pytest.raises(ValueError):
         exports.write_documents(made, str(tmp_path / "d"))
     exports.write_documents(made, str(tmp_path / "d"), by_id=True)
-    assert sorted(p.name for p in (tmp_path / "d").iterdir() if p.is_dir()) == [
+    assert sorted(p.name for p in (tmp_path / "d" / "batch=1").iterdir() if p.is_dir()) == [
         "name=cv_adapte_indeed_12345abc.html", "name=cv_adapte_indeed_12345xyz.html",
     ]
-    # A later call leaves them where they are, and replaces a document of the same name.
+    # A later call leaves them where they are, and a document of the same name counts instead of the earlier one.
     later = spark.createDataFrame([("indeed_12345xyz", "<p>new</p>"), ("apec_1", "<p>3</p>")], "id string, html string")
     exports.write_documents(later, str(tmp_path / "d"), by_id=True)
-    assert {r.name[10:-5]: r.value for r in spark.read.text(str(tmp_path / "d")).collect()} == {
-        "indeed_12345abc": "<p>1</p>", "indeed_12345xyz": "<p>new</p>", "apec_1": "<p>3</p>",
-    }
+    expected = {"indeed_12345abc": "<p>1</p>\n", "indeed_12345xyz": "<p>new</p>\n", "apec_1": "<p>3</p>\n"}
+
+    def now():
+        return {r.name[10:-5]: r.html for r in DocumentSink(spark, str(tmp_path / "d")).read().collect()}
+
+    assert now() == expected
+
+    # A write that is killed changes nothing; one that is killed right after publishing is finished by whoever comes next.
+    dying = spark.range(3).select(F.concat(F.lit("apec_"), "id").alias("id"), F.when(F.col("id") < 2, "<p>half</p>").otherwise(F.raise_error(F.lit("killed"))).alias("html"))
+    with pytest.raises(Exception, match="killed"):
+        exports.write_documents(dying, str(tmp_path / "d"), by_id=True)
+    assert now() == expected
+    sink = DocumentSink(spark, str(tmp_path / "d"))
+    spark.createDataFrame([("cv_adapte_apec_1.html", "<p>4</p>")], "name string, html string").write.partitionBy("name").text(str(tmp_path / "d" / "_new-x"))
+    assert sink._log.publish("x", 0, sink.last(), folder="_new-x") == 3
+    assert now() == {**expected, "apec_1": "<p>4</p>\n"} == now()
+
+
+def test_report_is_sorted_once(spark, tmp_path):
+    rows = spark.range(3000).select(F.concat(F.lit("i"), "id").alias("id"), (F.col("id") % 3 * 40).cast("int").alias("score"), F.lit("[]").alias("score_points_forts"))
+    fixed = {"intitule": "Dev", "entreprise_nom": "é", "lieu_travail": "Paris", "type_contrat": None, "salaire_libelle": "",
+             "url": "https://apec", "score_explication": "Bien", "score_points_faibles": None}
+    offers = rows.withColumns({k: F.lit(v).cast("string") for k, v in fixed.items()})
+    ranges = sort_ranges(offers.select(*exports.REPORT_COLUMNS), F.desc("score"), "id")
+    plan = exports.report_parts(ranges, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" not in plan and "Exchange hashpartitioning" not in plan
+    path = exports.write_report(offers, str(tmp_path / "r"), AS_OF)
+    text = text_of(path)
+    blocks = exports.report_blocks(offers).orderBy("rank").collect()
+    assert text.startswith(exports._head(3000, AS_OF)) and text.endswith(exports._foot() + "\n")
+    assert text == exports._head(3000, AS_OF) + "".join(r.block + "\n" for r in blocks)[:-1] + exports._foot() + "\n"
+    # A later report takes its place.
+    exports.write_report(offers.limit(1), str(tmp_path / "r"), AS_OF)
+    assert text_of(path).startswith(exports._head(1, AS_OF)) and not glob.glob(str(tmp_path / "_r*"))
 
 
 def test_base_documents_are_read_whole(spark, tmp_path):

@@ -201,7 +201,7 @@ from (select cast(seq as varchar) as id, length({_DUCK_PROMPT}) as n, n % 13 > 0
 def score_batch(t: Tables) -> DataFrame:
     waiting = filters.to_score(stored_offers(t)).withColumn("id", F.col("seq").cast("string"))
     scores = scoring.score_offers(waiting, PROFILE_EXAMPLE, length_scorer, partitions=8)
-    return scoring.score_rows(scores, F.lit(None), 1).drop("score_date", "version")
+    return scoring.score_rows(scores, F.lit(None)).drop("score_date")
 
 
 # --- documents --------------------------------------------------------------------------------------

@@ -112,15 +112,13 @@ def run_replayed(t: Tables) -> DataFrame:
 def score_newest(t: Tables) -> DataFrame:
     """A report of the newest twenty: of all waiting offers only these are scored."""
     state = OfferStore(t.spark, new_path(t.spark, "score-store"))
-    version = state.begin("offers", 1)
     key = F.concat(F.lit("d"), F.col("doc_id"))
     values = {"id": key, "url": key, "description": F.col("text")}
     rows = t["documents"].select(
         *[values.get(c, F.lit("x")).alias(c) for c in OFFER_TEXTS],
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 977).alias("collected_at"),
-        F.lit(version).alias("version"),
     )
-    state.append("offers", rows, version)
+    state.insert("offers", 1, lambda keys_for: rows)
     runs.score_waiting(state, CONFIG, _answers, AS_OF, 1, limit=20)
     return state.current().where(F.col("score").isNotNull()).select("id", "score")
 

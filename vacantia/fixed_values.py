@@ -87,8 +87,12 @@ CV_REQUEST = "Adapte ce CV HTML pour cette offre en respectant toutes les règle
 # --- fixed values: report and export layouts ------------------------------------------------
 REPORT_WIDTH = 70
 REPORT_TITLE = "  RAPPORT DE RECHERCHE D'EMPLOI — "
+REPORT_MOMENT = "%d/%m/%Y à %H:%M"
 REPORT_COUNT = " offres scorées"
 REPORT_END = "  FIN DU RAPPORT"
+REPORT_NAME = "offres_%Y%m%d_%H%M.txt"
+DOCUMENT_PREFIX = "cv_adapte_"
+DOCUMENT_SUFFIX = ".html"
 # (line label, column, text when the column is missing or empty)
 REPORT_FIELDS = [
     ("  ID         : ", "id", None),

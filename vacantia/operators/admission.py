@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.operators.components import components
+from vacantia.operators.ranking import rank_rows
 from vacantia.staging import Staged, stage
 
 # Chains of conflicts that are longer than this are walked component by component.
 ROUNDS = 4
+# No task walks more rows of one component than this; a larger component is decided block after block of its order.
+BLOCK_ROWS = 500_000
 
 
 def without_known_urls(candidates: DataFrame, stored: DataFrame) -> DataFrame:
@@ -37,7 +40,9 @@ class Admission:
     rounds: int
 
 
-def admit(candidates: DataFrame, stored: DataFrame | None = None, order: str = "seq", most_rounds: int = ROUNDS) -> Admission:
+def admit(
+    candidates: DataFrame, stored: DataFrame | None = None, order: str = "seq", most_rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS
+) -> Admission:
     """Keep, in ``order``, each row whose id and url no kept or stored row holds.
 
     A null key never conflicts, nor does a stored empty URL. Two chained de-duplications would be wrong, because a row
@@ -45,7 +50,8 @@ def admit(candidates: DataFrame, stored: DataFrame | None = None, order: str = "
     first both in its id group and in its url group is kept; rows sharing a key with it
     fall out; the rest goes on. What is open after a fixed number of rounds hangs together in
     long chains; rows are then labelled by connected component, dealt by component and walked in order, so the
-    number of jobs does not grow with a chain.
+    number of jobs does not grow with a chain. A component of more than ``block_rows`` rows is cut by order into blocks of at most
+    that many: a block's rows that share a key with a row kept earlier fall out in a join, and the others are walked.
 
     The rounds carry (order, id, url) only. Groups are reduced to their first row by aggregation, the group
     tables meet on the unique order column, and every table that meets the rows is written first, so that adaptive
@@ -78,7 +84,7 @@ def admit(candidates: DataFrame, stored: DataFrame | None = None, order: str = "
     while undecided.rows:
         rounds += 1
         if rounds > most_rounds:
-            kept.append(stage(_walked(undecided.table, order), "admit-walked"))
+            kept += _decided(undecided.table, order, block_rows)
             break
         winners = stage(_first_in_both(undecided.table, order), "admit-kept")
         kept.append(winners)
@@ -110,11 +116,33 @@ def _first_in_both(undecided: DataFrame, order: str) -> DataFrame:
     return first_of_both.select(order, "id", "url")
 
 
-def _walked(undecided: DataFrame, order: str) -> DataFrame:
-    """The rows of each component one after the other, many components at a time."""
+def _decided(undecided: DataFrame, order: str, block_rows: int) -> list[Staged]:
+    """What is kept of rows in long chains: small components at once, the blocks of large ones one after the other."""
     keyed = undecided.withColumns({"_i": F.concat(F.lit("i"), "id"), "_u": F.concat(F.lit("u"), "url")})
     found = stage(components(keyed, "_i", "_u"), "admit-components").table
-    labelled = keyed.join(found.withColumnRenamed("node", "_i"), "_i")
+    labelled = stage(keyed.join(found.withColumnRenamed("node", "_i"), "_i").select("component", order, "id", "url"), "admit-labelled").table
+    sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
+    large = stage(sizes.select("component"), "admit-large")
+    if not large.rows:
+        return [stage(_walked(labelled, order), "admit-walked")]
+    kept = [stage(_walked(labelled.join(large.table, "component", "left_anti"), order), "admit-walked")]
+    # Blocks are ranges of the order over all large components, so that a block of one component is no larger either.
+    ranked = rank_rows(labelled.join(large.table, "component", "left_semi"), order, rank="_rank")
+    blocks = stage(ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / block_rows)).drop("_rank"), "admit-blocks", last=F.max("_block"))
+    rest = blocks
+    for number in range(blocks.seen["last"] + 1):
+        winners = stage(_walked(rest.table.where(F.col("_block") == number).drop("_block"), order), "admit-walked")
+        kept.append(winners)
+        if winners.rows and number < blocks.seen["last"]:
+            later = rest.table.where(F.col("_block") > number)
+            for key in ("id", "url"):
+                later = later.join(winners.table.select(key), key, "left_anti")
+            rest = stage(later.select(*blocks.table.columns), "admit-blocks")
+    return kept
+
+
+def _walked(rows: DataFrame, order: str) -> DataFrame:
+    """The rows of each component one after the other, many components at a time."""
 
     def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, ids, urls = None, set(), set()
@@ -130,5 +158,5 @@ def _walked(undecided: DataFrame, order: str) -> DataFrame:
                 keep.append(free)
             yield batch.loc[keep, [order, "id", "url"]]
 
-    dealt = labelled.select("component", order, "id", "url").repartition("component").sortWithinPartitions("component", order)
-    return dealt.mapInPandas(in_order, undecided.select(order, "id", "url").schema)
+    dealt = rows.select("component", order, "id", "url").repartition("component").sortWithinPartitions("component", order)
+    return dealt.mapInPandas(in_order, rows.select(order, "id", "url").schema)

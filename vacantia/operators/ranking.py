@@ -2,37 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as V
-from vacantia.staging import stage
+from vacantia.staging import Staged, stage
 
 # ``monotonically_increasing_id`` holds the row's place within its partition in 33 bits.
 _PLACE_BITS = 33
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """A sorted, written table: a file per range of the order, and how many rows lie in earlier ranges."""
+
+    staged: Staged
+    starts: dict[int, int]
+
+    @property
+    def rows(self) -> int:
+        return self.staged.rows
+
+    def ranked(self, rank: str = "rank", part: str | None = None, table: DataFrame | None = None) -> DataFrame:
+        """The rows with their place in the whole order, and their range's number where ``part`` names a column for it."""
+        table = self.staged.table if table is None else table
+        starts = table.sparkSession.createDataFrame(list(self.starts.items()), "_part int, _start long")
+        place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+        out = table.withColumn("_part", F.shiftright("_at", _PLACE_BITS).cast("int")).join(F.broadcast(starts), "_part")
+        out = out.withColumn(rank, F.col("_start") + place + 1)
+        return (out.withColumn(part, F.col("_part")) if part else out).drop("_part", "_start", "_at")
+
+    def in_files(self) -> DataFrame:
+        """The written rows, a file per task and in the file's order."""
+        spark = self.staged.table.sparkSession.newSession()  # its settings are its own
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 60))
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 60))
+        return spark.read.schema(self.staged.table.schema).parquet(self.staged.path)
+
+
+def sort_ranges(rows: DataFrame, *order: Column | str) -> Ranges:
+    """Sort once and write; the counts are one row per sorted partition."""
+    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    staged = stage(placed, "ranked")
+    sizes = staged.table.groupBy(F.shiftright("_at", _PLACE_BITS).cast("int").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts, before = {}, 0
+    for row in sorted(sizes.collect()):
+        starts[row["_part"]] = before
+        before += row["_n"]
+    return Ranges(staged, starts)
+
+
 def rank_rows(rows: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
     """Number rows 1..n in ``order``, which should end in a unique column.
 
     A global sort cuts the rows into ranges by the full order, so that even one score held
     by a third of the rows spreads over many tasks. The sorted table is written with each
     row's range and place; ranges are then counted, and a rank is the number of rows in
-    earlier ranges plus the place. The counts are one row per sorted partition.
+    earlier ranges plus the place.
     """
-    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
-    table = stage(placed, "ranked").table
-    part = F.shiftright("_at", _PLACE_BITS)
-    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-    sizes = table.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    return (
-        table.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn(rank, F.col("_start") + place + 1)
-        .drop("_part", "_start", "_at")
-    )
+    return sort_ranges(rows, *order).ranked(rank)
 
 
 def best_first(offers: DataFrame) -> DataFrame:

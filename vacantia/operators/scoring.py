@@ -66,7 +66,7 @@ def scored_answers(asked: DataFrame) -> DataFrame:
     )
 
 
-def score_rows(scores: DataFrame, scored_at: Column, version: int) -> DataFrame:
+def score_rows(scores: DataFrame, scored_at: Column) -> DataFrame:
     """Scores in the shape of the ``scores`` table, the two lists as JSON."""
     return scores.select(
         "id",
@@ -75,5 +75,4 @@ def score_rows(scores: DataFrame, scored_at: Column, version: int) -> DataFrame:
         json_list_text(F.col("points_forts")).alias("score_points_forts"),
         json_list_text(F.col("points_faibles")).alias("score_points_faibles"),
         scored_at.cast("timestamp").alias("score_date"),
-        F.lit(version).cast("bigint").alias("version"),
     )

@@ -11,8 +11,9 @@ from vacantia import fixed_values as V
 from vacantia.functions.ids import artifact_slug
 from vacantia.operators.filters import scored
 from vacantia.operators.metrics import slug_collisions
-from vacantia.operators.ranking import best_first, rank_by_score
+from vacantia.operators.ranking import Ranges, best_first, rank_by_score, sort_ranges
 from vacantia.operators.views import export_table, report_block
+from vacantia.plans.sinks import DocumentSink, write_parts
 
 REPORT_COLUMNS = [
     "id", "intitule", "entreprise_nom", "lieu_travail", "type_contrat", "salaire_libelle", "url",
@@ -26,38 +27,38 @@ def report_blocks(offers: DataFrame) -> DataFrame:
     return ranked.select("rank", report_block(F.col("rank")).alias("block"))
 
 
-def report_lines(blocks: DataFrame, as_of: datetime) -> DataFrame:
-    """Blocks with the report's head and foot, in ``rank`` order."""
+def _head(rows: int, as_of: datetime) -> str:
     rule = "=" * V.REPORT_WIDTH
-    last = F.coalesce(F.max("rank"), F.lit(0))
-    title = V.REPORT_TITLE + as_of.strftime("%d/%m/%Y à %H:%M")
-    head = F.concat_ws(
-        "\n",
-        F.lit(rule),
-        F.lit(title),
-        F.concat(F.lit("  "), last.cast("string"), F.lit(V.REPORT_COUNT)),
-        F.lit(rule),
-        F.lit(""),
-    )
-    foot = F.lit("\n".join([rule, V.REPORT_END, rule]))
-    ends = blocks.agg(
-        F.array(
-            F.struct(F.lit(0).cast("bigint").alias("rank"), head.alias("block")),
-            F.struct((last + 1).cast("bigint").alias("rank"), foot.alias("block")),
-        ).alias("ends")
-    )
-    return blocks.select(F.col("rank").cast("bigint").alias("rank"), "block").unionByName(ends.select(F.inline("ends")))
+    title = V.REPORT_TITLE + as_of.strftime(V.REPORT_MOMENT)
+    return "\n".join([rule, title, f"  {rows}{V.REPORT_COUNT}", rule, "", ""])
+
+
+def _foot() -> str:
+    rule = "=" * V.REPORT_WIDTH
+    return "\n" + "\n".join([rule, V.REPORT_END, rule])
+
+
+def report_parts(ranges: Ranges, as_of: datetime) -> DataFrame:
+    """(range, rank, block) of a sorted table of offers, with the report's head and foot in the first and last block.
+
+    The sorted files are read as they lie, so nothing is exchanged but the count of rows per file.
+    """
+    ranked = ranges.ranked("rank", "range", ranges.in_files())
+    block = report_block(F.col("rank"))
+    block = F.when(F.col("rank") == 1, F.concat(F.lit(_head(ranges.rows, as_of)), block)).otherwise(block)
+    block = F.when(F.col("rank") == ranges.rows, F.concat(block, F.lit(_foot()))).otherwise(block)
+    return ranked.select("range", "rank", block.alias("block")).sortWithinPartitions("range", "rank")
 
 
 def write_report(offers: DataFrame, path: str, as_of: datetime) -> str | None:
     """Write the text report, or nothing when no offer is scored.
 
-    Parts are in rank order: reading them one after the other gives the report.
+    Offers are sorted once. Parts are in rank order: reading them one after the other gives the report.
     """
-    if scored(offers).isEmpty():
+    ranges = sort_ranges(scored(offers).select(*REPORT_COLUMNS), F.desc("score"), "id")
+    if not ranges.rows:
         return None
-    lines = report_lines(report_blocks(offers), as_of)
-    lines.orderBy("rank").select("block").write.mode("overwrite").text(path)
+    write_parts(report_parts(ranges, as_of), path)
     return path
 
 
@@ -75,7 +76,7 @@ def write_export(offers: DataFrame, path: str, form: str = "csv") -> str | None:
 
 
 def write_documents(documents: DataFrame, path: str, by_id: bool = False) -> str:
-    """Write each adapted document under its own ``name=cv_adapte_<slug>.html`` folder.
+    """Publish adapted documents, each in its own ``name=cv_adapte_<slug>.html`` folder; see ``DocumentSink``.
 
     Two offers may share a slug. The write is refused then, unless the full id is used.
     For very many documents prefer one table (``documents.write.parquet``): this form makes
@@ -85,15 +86,13 @@ def write_documents(documents: DataFrame, path: str, by_id: bool = False) -> str
     if not by_id and not slug_collisions(done).isEmpty():
         raise ValueError("several offers share a slug: write by id")
     short = F.col("id") if by_id else artifact_slug(F.col("id"))
-    name = F.concat(F.lit("cv_adapte_"), short, F.lit(".html")).alias("name")
-    # Only the folders of these names are replaced; documents of earlier calls stay.
-    writer = done.select(name, "html").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("name").text(path)
+    name = F.concat(F.lit(V.DOCUMENT_PREFIX), short, F.lit(V.DOCUMENT_SUFFIX)).alias("name")
+    DocumentSink(documents.sparkSession, path).write(done.select(name, "html"))
     return path
 
 
 def report_name(as_of: datetime) -> str:
-    return f"offres_{as_of:%Y%m%d_%H%M}.txt"
+    return as_of.strftime(V.REPORT_NAME)
 
 
 def run_summary(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as V
@@ -22,30 +22,24 @@ from vacantia.operators.scoring import score_offers, score_rows
 from vacantia.plans.exports import REPORT_COLUMNS, report_name, run_summary, write_export, write_report
 from vacantia.plans.store import OfferStore
 from vacantia.schemas import ITEM_B, OFFER_TEXTS, PAGE_A, ROW_C
+from vacantia.sources.landing import broken_lines, land, one_per_place, read_landed
 from vacantia.sources.pages import ingest_pages
 from vacantia.sources.readers import (
-    CORRUPT,
     Collected,
     external_to_stored,
-    good_rows,
     normalise_a,
-    observed,
-    placed,
-    quarantined,
     read_a,
     read_available,
     read_b,
     read_c,
-    read_json,
-    read_pages_a,
     union_external,
 )
-from vacantia.staging import stage, staging_scope
+from vacantia.staging import Staged, stage, staging_scope
 
 
 @dataclass(frozen=True)
 class Landing:
-    """Folders of landed JSON lines; a source that was not collected is None."""
+    """Folders of landed JSON lines, see ``sources.landing``; a source that was not collected is None."""
 
     pages_a: str | None = None
     items_b: str | None = None
@@ -92,11 +86,10 @@ def _marked(offers: DataFrame, config: Config) -> DataFrame:
     return offers.select("seq", "target_no", "raw_id", *OFFER_TEXTS, rejected.alias("rejected"))
 
 
-def _ordered(read: DataFrame, seen: Observation, source: str) -> DataFrame:
-    """Landed rows in order; a row landed again, at one place with one content, counts once."""
+def _ordered(landed: DataFrame, source: str) -> DataFrame:
+    """Landed rows of source B or C with their number in the order of all rows."""
     order = arrival_order(F.lit(V.SOURCE_RANK[source]), F.col("request_no"), F.col("position"))
-    rows = placed(observed(read, seen).dropDuplicates(), good_rows(read).dropDuplicates())
-    return rows.withColumn("seq", order).drop("request_no", "position")
+    return one_per_place(landed).withColumn("seq", order).drop("request_no", "position")
 
 
 def _no_place() -> Column:
@@ -107,18 +100,20 @@ def _no_place() -> Column:
 def collect(spark: SparkSession, landing: Landing, config: Config) -> tuple[DataFrame | None, Collected]:
     """Typed offers of all sources that can be read, each written once, and how reading went.
 
-    Every landed row counts: limits on number and age are part of a request, not of its answer.
+    Every landed row counts: limits on number and age are part of a request, not of its answer. Landed text is parsed once.
     """
 
-    def from_a(seen: Observation) -> DataFrame:
-        return typed_a(observed(read_pages_a(spark, landing.pages_a), seen, _no_place()), config)
+    def from_a() -> tuple[DataFrame, int]:
+        landed, broken = land(read_landed(spark, landing.pages_a, PAGE_A), "adzuna", _no_place())
+        return typed_a(landed.table.drop("epoch", "_row"), config), broken
 
-    def from_b(seen: Observation) -> DataFrame:
-        return typed_external(read_b(_ordered(read_json(spark, landing.items_b, ITEM_B), seen, "apec")), config)
+    def from_b() -> tuple[DataFrame, int]:
+        landed, broken = land(read_landed(spark, landing.items_b, ITEM_B), "apec")
+        return typed_external(read_b(_ordered(landed.table, "apec")), config), broken
 
-    def from_c(seen: Observation) -> DataFrame:
-        landed = _ordered(read_json(spark, landing.rows_c, ROW_C), seen, "indeed")
-        return typed_external(read_c(landed, keep=("seq",)), config)
+    def from_c() -> tuple[DataFrame, int]:
+        landed, broken = land(read_landed(spark, landing.rows_c, ROW_C), "indeed")
+        return typed_external(read_c(_ordered(landed.table, "indeed"), keep=("seq",)), config), broken
 
     sources = [("adzuna", landing.pages_a, from_a), ("apec", landing.items_b, from_b), ("indeed", landing.rows_c, from_c)]
     got = read_available({name: reader for name, path, reader in sources if path})
@@ -131,18 +126,11 @@ def broken_records(spark: SparkSession, landing: Landing, only: Iterable[str] =
     This is a pass of its own over the landed text, for whoever wants to see the lines.
     """
     sources = [
-        ("adzuna", landing.pages_a, PAGE_A),
-        ("apec", landing.items_b, ITEM_B),
-        ("indeed", landing.rows_c, ROW_C),
+        ("adzuna", landing.pages_a, PAGE_A, _no_place()),
+        ("apec", landing.items_b, ITEM_B, None),
+        ("indeed", landing.rows_c, ROW_C, None),
     ]
-    parts = []
-    for name, path, schema in sources:
-        if path and name in only:
-            read = read_json(spark, path, schema)
-            parts.append(quarantined(read, name))
-            if name == "adzuna":
-                lost = read.where(F.col(CORRUPT).isNull() & _no_place()).drop(CORRUPT)
-                parts.append(lost.select(F.lit(name).alias("source"), F.to_json(F.struct(*lost.columns)).alias("record")))
+    parts = [broken_lines(read_landed(spark, path, schema), name, lost) for name, path, schema, lost in sources if path and name in only]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
@@ -159,23 +147,27 @@ def deduplicated(typed: DataFrame) -> DataFrame:
     return found_a.unionByName(found_ext)
 
 
-def add_offers(store: OfferStore, typed: DataFrame, as_of: datetime, version: int) -> tuple[int, DataFrame]:
-    """Admit typed offers against the living ones and append them.
+def add_offers(store: OfferStore, typed: DataFrame, as_of: datetime, writer: str, batch: int) -> tuple[int, int, DataFrame]:
+    """Admit typed offers against the living ones and publish them: their version, how many are new, counters of source A.
 
     Everything is decided on narrow rows; the wide rows cross one shuffle, or none where
-    the admitted rows are few enough to broadcast. Returns the number of new offers and the
-    counters of source A, the one that has targets.
+    the admitted rows are few enough to broadcast. Only source A has targets to count by.
     """
     found = stage(deduplicated(typed), "found").table
     candidates = with_url(found.where(~F.col("rejected")))
-    admission = admit(candidates, store.alive_keys(before=version), order="place")
-    new = stage(admission.offers.select("seq", "target_no"), "new")
-    rows = typed.join(new.table.select("seq"), "seq", "left_semi").select(
-        *OFFER_TEXTS, moment(as_of).alias("collected_at"), F.lit(version).alias("version")
-    )
-    store.append("offers", rows, version)
-    of_target = F.col("target_no").isNotNull()
-    return admission.count, target_counters(found.where(of_target), new.table.where(of_target), "target_no")
+    admitted: list[Staged] = []
+
+    def choose(keys_for: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+        admission = admit(candidates, keys_for(candidates.select("id", "url")), order="place")
+        admitted.append(stage(admission.offers.select("seq", "target_no"), "new"))
+        if not admission.count:
+            return None
+        rows = typed.join(admitted[-1].table.select("seq"), "seq", "left_semi")
+        return rows.select(*OFFER_TEXTS, moment(as_of).alias("collected_at"))
+
+    version = store.insert(writer, batch, choose)
+    new, of_target = admitted[-1], F.col("target_no").isNotNull()
+    return version, new.rows, target_counters(found.where(of_target), new.table.where(of_target), "target_no")
 
 
 def score_waiting(
@@ -191,15 +183,15 @@ def score_waiting(
 ) -> DataFrame:
     """Score the offers that wait, or the newest ``limit`` of them; the write calls the model once per offer.
 
-    What waits is judged by the state before this batch's own version, so a batch that runs again
-    finds the same offers and writes the same scores.
+    A batch that runs again finds the scores it published and asks the model nothing.
     """
-    version = store.begin(writer, batch)
-    waiting = to_score(store.current(before=version), retry_failed)
-    if limit is not None:
-        waiting = scoring_queue(waiting, limit)
-    scores = score_offers(waiting, config.profile, make_scorer, partitions)
-    store.append("scores", score_rows(scores, moment(as_of), version), version)
+    version = store.version_of(writer, batch)
+    if version is None:
+        waiting = to_score(store.current(), retry_failed)
+        if limit is not None:
+            waiting = scoring_queue(waiting, limit)
+        scores = score_offers(waiting, config.profile, make_scorer, partitions)
+        version = store.commit(writer, batch, scores=score_rows(scores, moment(as_of)))
     return store.read("scores", only=version)
 
 
@@ -216,19 +208,22 @@ def run_batch(
 ) -> RunResult:
     """Collect, admit, score if anything is new, then report.
 
-    The store gives the run its version by (writer, batch): a run that is repeated with its number writes the same rows again.
+    The store publishes the run's offers, its scores and its summary once each, by (writer, batch): a run that is repeated
+    with its number finds what it published, does the rest, and writes its reports again from the state as of then.
     """
     with staging_scope(spark):
-        version = store.begin(writer, batch)
         typed, got = collect(spark, landing, config)
         new, counters = 0, None
-        if typed is not None:
-            new, counters = add_offers(store, typed, as_of, version)
+        if typed is None:
+            version = store.insert(writer, batch, lambda keys_for: None)
+        else:
+            version, new, counters = add_offers(store, typed, as_of, writer, batch)
             rows = counters.collect()  # a row per target and one for all
             counters = spark.createDataFrame(rows, counters.schema)
-        scoring = store.begin(f"{writer}/scores", batch)
+        scoring = version
         if new > 0:
             score_waiting(store, config, make_scorer, as_of, batch, writer=f"{writer}/scores")
+            scoring = store.version_of(f"{writer}/scores", batch)
         offers = stage(scored(store.current(before=scoring + 1)).select(*REPORT_COLUMNS), "scored").table
         report = write_report(offers, f"{out}/{report_name(as_of)}", as_of)
         export = write_export(offers, f"{out}/offres")
@@ -237,6 +232,6 @@ def run_batch(
         if broken:
             broken_records(spark, landing, broken).write.mode("overwrite").json(broken_path)
         inserted, scores = store.read("offers", only=version), store.read("scores", only=scoring)
-        store.append("runs", run_summary(inserted, scores, version, moment(as_of), report, export), version)
-        summary = store.read("runs", only=version).first()
+        told = store.commit(f"{writer}/summary", batch, runs=run_summary(inserted, scores, version, moment(as_of), report, export))
+        summary = store.read("runs", only=told).first()
         return RunResult(version, new, summary["scored_offers"], report, export, got.failed, got.broken, broken_path, counters)

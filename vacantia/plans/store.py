@@ -1,29 +1,46 @@
 """Append-only state: offers, scores, status changes, deletions, runs.
 
 Plain Parquet has no row updates, so a change is a new row with a version, and the current
-table is a view. The store itself gives out versions: a commit log holds one entry per version, named by
-(writer, batch). The same writer's same batch gets its version again and overwrites its own ``batch_id=`` folder, which
-makes a replayed batch harmless; two writers never share a version.
+table is a view. A version is an entry of the commit log: what a batch writes lies in folders that no reader looks into until the
+batch is published, by one exclusive rename, as the next version. Versions therefore follow the order of publishing. A
+(writer, batch) is published once; running it again finds its version and writes nothing.
+
+Offers have two unique keys. ``insert`` chooses rows by the state it saw, and publishes them only as the version right behind
+that state. If another writer was first, the keys published since are compared: rows that share none go behind
+them, otherwise the rows are chosen again. So the keys hold against any number of writers, and no writer waits for another.
+
+``snapshot`` writes the state as of a version, bucketed by id, and an index of its keys. From then on the current
+state is that snapshot with the later versions laid over it, and earlier history is not read again.
 """
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantia import schemas
 from vacantia.functions.labels import status_or_default
+from vacantia.plans.commits import CommitLog
+from vacantia.plans.index import BUCKETS, KeyIndex, read_bucketed, write_bucketed
 
+_KEYS = T.StructType([T.StructField("id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("version", T.LongType())])
 TABLES: dict[str, T.StructType] = {
     "offers": schemas.OFFER,
+    "keys": _KEYS,
     "scores": schemas.SCORE,
     "status_changes": schemas.STATUS_CHANGE,
     "tombstones": schemas.TOMBSTONE,
     "runs": schemas.RUN,
 }
 _BATCH = "batch_id"
+# A run's row names the version of the offers it added; everywhere else the version is that of the folder.
+_OWN_VERSION = ("runs",)
+SCORE_COLUMNS = [c for c in schemas.SCORE.fieldNames() if c not in ("id", "version")]
+STATE = T.StructType([*schemas.OFFER.fields, *[f for f in schemas.SCORE.fields if f.name in SCORE_COLUMNS], T.StructField("statut", T.StringType())])
 
 
 def latest_change(changes: DataFrame, *columns: str) -> DataFrame:
@@ -46,24 +63,29 @@ def current_offers(
     that insertion apply, so an offer that returns starts afresh. Admission keeps living
     ids unique, hence the wide offers need no aggregation: they meet the reduced changes
     on one key, and cross one shuffle at most.
+
+    ``offers`` may also hold the score and status of an earlier state (a snapshot); a later change replaces them.
     """
     deleted = tombstones.groupBy("id").agg(F.max("version").alias("_deleted_at"))
     alive = offers.join(deleted, "id", "left").where(
         F.col("_deleted_at").isNull() | (F.col("version") > F.col("_deleted_at"))
     )
-    score_columns = ["score", "score_explication", "score_points_forts", "score_points_faibles", "score_date"]
-    score = latest_change(scores, *score_columns).withColumnRenamed("_changed_at", "_scored_at")
+    score = latest_change(scores, *SCORE_COLUMNS).withColumnRenamed("_changed_at", "_scored_at")
     status = latest_change(status_changes, "statut").withColumnRenamed("_changed_at", "_moved_at")
+    for column in (*SCORE_COLUMNS, "statut"):
+        if column in offers.columns:
+            alive = alive.withColumnRenamed(column, f"_{column}")
 
     def applied(column: str, changed_at: str) -> Column:
-        return F.when(F.col(changed_at) > F.col("version"), F.col(column)).alias(column)
+        earlier = F.col(f"_{column}") if column in offers.columns else F.lit(None)
+        return F.when(F.col(changed_at) > F.col("version"), F.col(column)).otherwise(earlier).alias(column)
 
     return (
         alive.join(score, "id", "left")
         .join(status, "id", "left")
         .select(
-            *offers.columns,
-            *[applied(c, "_scored_at") for c in score_columns],
+            *[c for c in offers.columns if c not in (*SCORE_COLUMNS, "statut")],
+            *[applied(c, "_scored_at") for c in SCORE_COLUMNS],
             status_or_default(applied("statut", "_moved_at")).alias("statut"),
         )
     )
@@ -75,55 +97,10 @@ def with_status_column(offers: DataFrame) -> DataFrame:
     return offers.withColumn("statut", status_or_default(status))
 
 
-class CommitLog:
-    """Versions by (writer, batch): entry ``n`` is the file ``n`` with the two as text.
-
-    Creating a file that must not exist is what decides between two writers that want one number.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self._jvm = spark._jvm
-        self._folder = self._jvm.org.apache.hadoop.fs.Path(folder)
-        self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._known: dict[int, str] = {}
-
-    def _entry(self, version: int):
-        return self._jvm.org.apache.hadoop.fs.Path(self._folder, f"{version:012d}")
-
-    def _refresh(self) -> None:
-        if not self._files.exists(self._folder):
-            return
-        for status in self._files.listStatus(self._folder):
-            name = status.getPath().getName()
-            if name.isdigit() and int(name) not in self._known:
-                stream = self._files.open(status.getPath())
-                text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                stream.close()
-                self._known[int(name)] = text
-
-    def last(self) -> int:
-        self._refresh()
-        return max(self._known, default=0)
-
-    def version(self, writer: str, batch: int, at_least: int = 1) -> int:
-        """The version of a writer's batch; a new one, above all others, the first time."""
-        name = f"{writer}\n{batch}"
-        while True:
-            last = self.last()
-            for version, text in self._known.items():
-                if text == name:
-                    return version
-            wanted = max(last + 1, at_least)
-            try:
-                stream = self._files.create(self._entry(wanted), False)
-            except Py4JJavaError:
-                if not self._files.exists(self._entry(wanted)):
-                    raise
-                continue  # another writer was first
-            stream.write(bytearray(name.encode()))
-            stream.close()
-            self._known[wanted] = name
-            return wanted
+def _living(keys: DataFrame, tombstones: DataFrame) -> DataFrame:
+    deleted = tombstones.groupBy("id").agg(F.max("version").alias("_deleted_at"))
+    alive = F.col("_deleted_at").isNull() | (F.col("version") > F.col("_deleted_at"))
+    return keys.join(deleted, "id", "left").where(alive).select("id", "url")
 
 
 class OfferStore:
@@ -133,81 +110,215 @@ class OfferStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self._log = CommitLog(spark, f"{self.root}/_commits")
+        self._snapshots = CommitLog(spark, f"{self.root}/_snapshots/log")
+
+    # --- versions ---------------------------------------------------------------------------
+
+    def last(self) -> int:
+        """The last version; what it and earlier ones wrote is where readers look for it."""
+        for version in self._log.refresh():
+            self._settle(version)
+        return self._log.last()
+
+    def version_of(self, writer: str, batch: int) -> int | None:
+        """The version of a writer's batch, if it is published."""
+        self.last()
+        return self._log.find(writer, batch)
 
     def _path(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/{_BATCH}={version}"
 
-    def begin(self, writer: str, batch: int) -> int:
-        """The version under which this writer's batch writes, now and whenever it runs again."""
-        return self._log.version(writer, batch)
+    def _settle(self, version: int) -> None:
+        """Move what a published version wrote to its place; any reader may do it, if the writer died before."""
+        for table, folder in self._log.entry(version)["tables"].items():
+            self._log.folder.move(f"{self.root}/{table}/{folder}", self._path(table, version))
+
+    def _write(self, tables: dict[str, DataFrame]) -> dict[str, str]:
+        """Write rows where no reader looks; the folders by table."""
+        folders = {}
+        for table, rows in tables.items():
+            fields = [f for f in TABLES[table] if f.name != "version" or table in _OWN_VERSION]
+            folder = f"_new-{uuid.uuid4().hex}"
+            rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.parquet(f"{self.root}/{table}/{folder}")
+            folders[table] = folder
+        return folders
+
+    def _publish(self, writer: str, batch: int, after: int, folders: dict[str, str]) -> int | None:
+        version = self._log.publish(writer, batch, after, tables=folders)
+        if version is not None:
+            self._settle(version)
+        return version
 
-    def append(self, table: str, rows: DataFrame, version: int) -> None:
-        """Write one batch under a version that ``begin`` gave; the same batch written again replaces itself."""
-        if not 1 <= version <= self._log.last():
-            raise ValueError("write under a version that begin() gave")
-        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]])
-        typed.write.mode("overwrite").parquet(self._path(table, version))
+    def commit(self, writer: str, batch: int, **tables: DataFrame) -> int:
+        """Publish rows that no unique key binds: scores, status changes, deletions, runs."""
+        done = self.version_of(writer, batch)
+        if done is not None:
+            return done
+        if "offers" in tables:
+            raise ValueError("offers are added with insert()")
+        return self._behind(writer, batch, self._write(tables))
 
-    def read(self, table: str, before: int | None = None, only: int | None = None) -> DataFrame:
-        """A table, what it held before a version, or one version; only the folders asked for are opened."""
+    def _behind(self, writer: str, batch: int, folders: dict[str, str]) -> int:
+        while True:
+            version = self._publish(writer, batch, self.last(), folders)
+            if version is not None:
+                return version
+            done = self.version_of(writer, batch)  # the same batch, run twice at a time
+            if done is not None:
+                return done
+
+    def insert(self, writer: str, batch: int, choose: Callable[[Callable[[DataFrame], DataFrame]], DataFrame | None]) -> int:
+        """Add the offers that ``choose`` picks and publish them as one version, which keeps both keys unique.
+
+        ``choose`` gets a function from candidates (id, url) to the living keys they may meet, and returns offers of which
+        no two and no living one share a key, or None for none. It is called again when another writer was first with a
+        key. For a batch that is published already it is called once with the state before that version, and nothing is written.
+        """
+        done = self.version_of(writer, batch)
+        if done is not None:
+            choose(lambda candidates: self.keys_for(candidates, before=done))
+            return done
+        while True:
+            seen = self.last()
+            rows = choose(lambda candidates, seen=seen: self.keys_for(candidates, before=seen + 1))
+            folders = {}
+            if rows is not None:
+                folders = self._write({"offers": rows})
+                written = self.spark.read.schema(schemas.OFFER).parquet(f"{self.root}/offers/{folders['offers']}")
+                folders |= self._write({"keys": written.select("id", "url")})
+            while True:
+                version = self._publish(writer, batch, seen, folders)
+                if version is not None:
+                    return version
+                done = self.version_of(writer, batch)
+                if done is not None:
+                    return done
+                newest = self.last()
+                if folders and self._collides(folders["keys"], seen, newest):
+                    break
+                seen = newest
+            for table, folder in folders.items():
+                self._log.folder.delete(f"{self.root}/{table}/{folder}")
+
+    def _collides(self, folder: str, after: int, upto: int) -> bool:
+        """Does a version published since hold a key of the rows in ``folder``?"""
+        mine = self.spark.read.schema("id string, url string").parquet(f"{self.root}/keys/{folder}")
+        theirs = self.read("keys", before=upto + 1, after=after)
+        ids = theirs.select("id").join(mine.select("id"), "id", "left_semi")
+        urls = theirs.where(F.col("url") != "").select("url").join(mine.select("url"), "url", "left_semi")
+        return not ids.select(F.lit(1).alias("one")).unionAll(urls.select(F.lit(1).alias("one"))).isEmpty()
+
+    # --- reading ----------------------------------------------------------------------------
+
+    def read(self, table: str, before: int | None = None, only: int | None = None, after: int | None = None) -> DataFrame:
+        """A table, what it held before a version, what came after one, or one version; only these folders are opened."""
+        self.last()
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return self.spark.createDataFrame([], TABLES[table])
-        schema = T.StructType([*TABLES[table].fields, T.StructField(_BATCH, T.LongType())])
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
-        if before is not None:
-            rows = rows.where(F.col(_BATCH) < before)
-        if only is not None:
-            rows = rows.where(F.col(_BATCH) == only)
-        return rows.drop(_BATCH)
+        fields = [f for f in TABLES[table] if f.name != "version" or table in _OWN_VERSION]
+        rows = self.spark.read.schema(T.StructType([*fields, T.StructField(_BATCH, T.LongType())])).parquet(f"{self.root}/{table}")
+        for limit, at in ((F.col(_BATCH) < before, before), (F.col(_BATCH) == only, only), (F.col(_BATCH) > after, after)):
+            if at is not None:
+                rows = rows.where(limit)
+        if table not in _OWN_VERSION:
+            rows = rows.withColumn("version", F.col(_BATCH))
+        return rows.select(*TABLES[table].fieldNames())
+
+    def _snapshot_before(self, before: int) -> dict | None:
+        """The newest snapshot of a state before a version."""
+        number = self._snapshots.last()
+        while number and self._snapshots.entry(number)["upto"] >= before:
+            number -= 1
+        return self._snapshots.entry(number) if number else None
 
     def current(self, before: int | None = None) -> DataFrame:
-        return current_offers(
-            *[self.read(t, before) for t in ("offers", "scores", "status_changes", "tombstones")]
-        )
+        """Living offers with score and status, now or before a version: the snapshot and what came after it."""
+        before = self.last() + 1 if before is None else before
+        base = self._snapshot_before(before)
+        after = base["upto"] if base else None
+        offers, *changes = [self.read(t, before, after=after) for t in ("offers", "scores", "status_changes", "tombstones")]
+        later = current_offers(offers, *changes)
+        if base is None:
+            return later
+        kept = read_bucketed(self.spark, f"{base['folder']}/state", _ddl(STATE), "id", base["buckets"])
+        return current_offers(kept, *changes).unionByName(later)
 
     def alive_keys(self, before: int | None = None) -> DataFrame:
         """Ids and URLs of living offers, without touching scores or wide columns."""
-        deleted = self.read("tombstones", before).groupBy("id").agg(F.max("version").alias("_deleted_at"))
-        return (
-            self.read("offers", before)
-            .select("id", "url", "version")
-            .join(deleted, "id", "left")
-            .where(F.col("_deleted_at").isNull() | (F.col("version") > F.col("_deleted_at")))
-            .select("id", "url")
-        )
+        before = self.last() + 1 if before is None else before
+        base = self._snapshot_before(before)
+        after = base["upto"] if base else None
+        gone = self.read("tombstones", before, after=after)
+        later = _living(self.read("keys", before, after=after), gone)
+        if base is None:
+            return later
+        kept = read_bucketed(self.spark, f"{base['folder']}/state", _ddl(STATE), "id", base["buckets"]).select("id", "url", "version")
+        return _living(kept, gone).unionByName(later)
+
+    def keys_for(self, candidates: DataFrame, before: int | None = None) -> DataFrame:
+        """The living keys that candidates (id, url) may meet: of the snapshot only from the index's hit buckets.
+
+        A row may hold an id or a URL alone, with null for the other.
+        """
+        before = self.last() + 1 if before is None else before
+        base = self._snapshot_before(before)
+        if base is None:
+            return self.alive_keys(before)
+        gone = self.read("tombstones", before, after=base["upto"]).select("id").distinct()
+        later = _living(self.read("keys", before, after=base["upto"]), self.read("tombstones", before, after=base["upto"]))
+        index = KeyIndex(self.spark, f"{base['folder']}/keys", base["words"], base["buckets"])
+        ids = index.known(candidates, "id").join(gone, "id", "left_anti").select("id", F.lit(None).cast("string").alias("url"))
+        urls = index.known(candidates.where(F.col("url") != ""), "url").join(gone, "id", "left_anti").select(F.lit(None).cast("string").alias("id"), "url")
+        return ids.unionByName(urls).unionByName(later)
+
+    # --- changes ----------------------------------------------------------------------------
 
     def set_status(self, changes: DataFrame, batch: int, writer: str = "status") -> int:
         """Append (id, statut) changes, one per id; returns their version."""
         if not changes.groupBy("id").count().where(F.col("count") > 1).isEmpty():
             raise ValueError("one batch changes an id once")
-        version = self.begin(writer, batch)
-        self.append("status_changes", changes.withColumn("version", F.lit(version)), version)
-        return version
+        return self.commit(writer, batch, status_changes=changes)
 
     def delete(self, ids: DataFrame, batch: int, writer: str = "delete") -> int:
         """Append deletions by id; returns their version. A deleted offer may be collected again later."""
-        version = self.begin(writer, batch)
-        self.append("tombstones", ids.select("id", F.lit(version).alias("version")).distinct(), version)
-        return version
+        return self.commit(writer, batch, tombstones=ids.select("id").distinct())
+
+    # --- snapshots --------------------------------------------------------------------------
+
+    def snapshot(self, buckets: int = BUCKETS) -> int:
+        """Write the state as of the last version and the index of its keys; returns that version.
+
+        Versions up to it never change, so nothing has to be held still meanwhile. Readers use it once it is published, and a
+        snapshot that is not finished is never looked at. Of two at a time, the one of the later version counts.
+        """
+        upto = self.last()
+        folder = f"{self.root}/_snapshots/{uuid.uuid4().hex}"
+        write_bucketed(self.current(before=upto + 1).select(*STATE.fieldNames()), f"{folder}/state", "id", buckets)
+        kept = self.spark.read.schema(STATE).parquet(f"{folder}/state")
+        index = KeyIndex.write(kept.select("id", "url"), f"{folder}/keys", buckets)
+        while True:
+            last = self._snapshots.last()
+            if last and self._snapshots.entry(last)["upto"] >= upto:
+                self._log.folder.delete(folder)
+                return upto
+            if self._snapshots.publish("snapshot", upto, last, upto=upto, folder=folder, words=index.words, buckets=buckets):
+                return upto
 
     def compact(self, new_root: str) -> OfferStore:
         """Write the current state into a new, empty folder; the old one stays as it is.
 
-        The copy is one version, above every version of the old store, so that all changes still follow the offers they belong to.
+        The copy's offers are one version, and all changes to them a later one, so that these still follow the offers they belong to.
         """
         fresh = OfferStore(self.spark, new_root)
-        if fresh._log.last():
+        if fresh.last():
             raise ValueError("compact into an empty folder")
-        offers_at = fresh._log.version("compact", 0, at_least=self._log.last() + 1)
-        changes_at = fresh._log.version("compact", 1)
         current = self.current()
-        fresh.append("offers", current.select(*[c for c in schemas.OFFER.fieldNames() if c != "version"], F.lit(offers_at).alias("version")), offers_at)
-        latest = F.lit(changes_at).alias("version")
-        scored = current.where(F.col("score").isNotNull()).select(
-            *[c for c in schemas.SCORE.fieldNames() if c != "version"], latest
-        )
-        fresh.append("scores", scored, changes_at)
-        fresh.append("status_changes", current.select("id", "statut", latest), changes_at)
-        fresh.append("runs", self.read("runs"), offers_at)
+        fresh.insert("compact", 0, lambda keys_for: current)
+        scored = current.where(F.col("score").isNotNull())
+        fresh.commit("compact", 1, scores=scored, status_changes=current.select("id", "statut"), runs=self.read("runs"))
         return fresh
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantia import fixed_values as V
-from vacantia.functions.ids import UNPLACED_REQUEST, id_from_raw, id_from_url
+from vacantia.functions.ids import id_from_raw, id_from_url
 from vacantia.functions.labels import contract_label, salary_label
 from vacantia.functions.text import or_default, or_empty
-from vacantia.operators.ranking import rank_rows
 from vacantia.schemas import EXTERNAL, PAGE_A, RAW_A, RAW_C
 from vacantia.staging import stage
 
@@ -232,18 +231,18 @@ class Collected:
     broken: dict[str, int]
 
 
-def read_available(readers: dict[str, Callable[[Observation], DataFrame]]) -> Collected:
+def read_available(readers: dict[str, Callable[[], tuple[DataFrame, int]]]) -> Collected:
     """Read each source into a written table; one that fails does not stop the others.
 
-    A source can fail anywhere in its data, so it only counts as read once it is written. A reader observes how many
-    lines are ``broken``; the writing pass counts them.
+    A source can fail anywhere in its data, so it only counts as read once it is written. A reader gives its rows and
+    how many of its lines were broken.
     """
     out = Collected({}, {}, {})
     for source, reader in readers.items():
-        seen = Observation()
         try:
-            out.tables[source] = stage(reader(seen), f"read-{source}").table
-            out.broken[source] = seen.get["broken"]
+            rows, broken = reader()
+            out.tables[source] = stage(rows, f"read-{source}").table
+            out.broken[source] = broken
         except Exception as problem:  # whatever stops one source is that source's problem
             out.failed[source] = str(problem)
     return out
@@ -255,16 +254,3 @@ def observed(read: DataFrame, seen: Observation, also_broken: Column | None = No
     if also_broken is not None:
         broken = broken | also_broken
     return read.observe(seen, F.count_if(broken).alias("broken")).where(~broken).drop(CORRUPT)
-
-
-def placed(rows: DataFrame, again: DataFrame) -> DataFrame:
-    """Rows with a request number and a position: those that lack one are numbered behind all others, by content.
-
-    ``again`` holds the same rows without an observation: numbering is a job of its own, before the one that counts.
-    """
-    lacks = F.col("request_no").isNull() | F.col("position").isNull()
-    names = [c for c in rows.columns if c not in ("request_no", "position")]
-    content = F.to_json(F.struct(*names))
-    late = rank_rows(again.where(lacks).select(*names), content, rank="_rank")
-    late = late.withColumns({"request_no": F.lit(UNPLACED_REQUEST).cast("bigint"), "position": F.col("_rank") - 1}).drop("_rank")
-    return rows.where(~lacks).unionByName(late)

@@ -3,6 +3,9 @@
 Loops and results that are read twice are cut by writing a table into the folder the
 cluster names in ``spark.checkpoint.dir``, so a lost executor costs a re-read and never
 the lineage of earlier rounds.
+
+A staging scope belongs to the context (thread or task) that opened it: streams, whose batches run on threads of their own, and
+runs next to them never remove each other's tables.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -26,13 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("staging_scopes", default=())
 
 
 def new_path(spark: SparkSession, label: str, outlives: bool = False) -> str:
     """A new folder; the innermost staging scope removes it, or the one around that where it ``outlives`` the first."""
     path = f"{shared_folder(spark)}/vacantia/{label}-{uuid.uuid4().hex}"
-    around = _scopes[:-1] if outlives else _scopes
+    scopes = _scopes.get()
+    around = scopes[:-1] if outlives else scopes
     if around:
         around[-1].append(path)
     return path
@@ -69,9 +74,11 @@ def discard(spark: SparkSession, path: str) -> None:
 @contextmanager
 def staging_scope(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside are removed at the end; what must outlive it has to be written elsewhere."""
-    _scopes.append([])
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(token)
+        for path in mine:
             discard(spark, path)

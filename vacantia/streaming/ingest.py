@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vacantia.operators.admission import admit
@@ -26,23 +25,25 @@ def ingest_stream(
     """Feed a stream of landed rows into the store, one micro-batch after the other.
 
     ``to_candidates`` turns landed rows into stored offers with ``seq`` and
-    ``collected_at``. A batch is admitted against what earlier versions stored and written
-    under the version the store gives (``writer``, batch), so a replay after a failure gives the same folder again, and
-    a stream of another name never meets it. Admission sees the narrow rows; the admitted ones are then picked
-    from the batch. Batches without a new row write nothing. The trigger takes all data there is, then stops.
+    ``collected_at``. A batch is written once as offers, admitted against the living keys it may meet, and published under
+    (``writer``, batch), so a replay after a failure finds what it published, and other streams and runs may write to the store
+    meanwhile: the store has the batch admitted again if one of them was first with a key. Admission sees narrow rows; the admitted
+    ones are then picked from the written batch. The trigger takes all data there is, then stops.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         with staging_scope(batch.sparkSession):
-            version = store.begin(writer, batch_id)
             candidates = without_forbidden_terms(with_url(to_candidates(batch)), forbidden_terms)
-            staged = stage(candidates.select("seq", "id", "url"), "stream")
-            if not staged.rows:
-                return
-            admission = admit(staged.table, store.alive_keys(before=version))
-            if admission.count:
-                new = to_candidates(batch).select("seq", *OFFER_TEXTS, "collected_at").join(admission.kept, "seq", "left_semi")
-                store.append("offers", new.withColumn("version", F.lit(version)), version)
+            staged = stage(candidates.select("seq", *OFFER_TEXTS, "collected_at"), "stream")
+            narrow = staged.table.select("seq", "id", "url")
+
+            def choose(keys_for: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+                if not staged.rows:
+                    return None
+                admission = admit(narrow, keys_for(narrow))
+                return staged.table.join(admission.kept, "seq", "left_semi") if admission.count else None
+
+            store.insert(writer, batch_id, choose)
 
     return (
         rows.writeStream.foreachBatch(add)
