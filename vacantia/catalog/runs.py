@@ -17,6 +17,7 @@ from vacantia.plans import run as runs
 from vacantia.plans.requests import plan_run
 from vacantia.plans.store import OfferStore
 from vacantia.schemas import OFFER_TEXTS
+from vacantia.sources.landing import open_landing
 from vacantia.staging import new_path
 
 AS_OF = datetime(2024, 3, 5, 14, 7)
@@ -105,6 +106,38 @@ def run_replayed(t: Tables) -> DataFrame:
     return _run(t, 2)
 
 
+def _twice(t: Tables) -> runs.Landing:
+    """Two landings in one folder, both with the same requests and positions; a third of the second one is new."""
+    folder = new_path(t.spark, "rows-twice")
+    again = F.col("doc_id") % 3 == 0
+    for name, key, title in (
+        ("first", F.col("doc_id"), F.lit("first")),
+        ("again", F.when(again, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")), F.concat(F.lit("again "), "source")),
+    ):
+        rows = t["documents"].select(
+            (F.col("doc_id") % 5).alias("request_no"), F.floor(F.col("doc_id") / 5).alias("position"),
+            F.concat(F.lit("https://indeed.com/"), key.cast("string")).alias("job_url"), title.alias("title"), F.col("text").alias("description"),
+        )
+        rows.write.json(open_landing(t.spark, folder))
+    return runs.Landing(rows_c=folder)
+
+
+@query(
+    "collect_twice",
+    """with clean as (select * from documents where not contains(lower(text), 'éauç')),
+rows as (select 'https://indeed.com/' || doc_id as url, 'first' as intitule from clean
+  union all select 'https://indeed.com/' || (doc_id + 1000000000), 'again ' || source from clean where doc_id % 3 = 0)
+select 'indeed_' || left(md5(url), 12) as id, url, intitule from rows""",
+)
+def collect_twice(t: Tables) -> DataFrame:
+    """Equal places of two landings are no conflict: the first landing counts first, what is new in the second is added."""
+    state = OfferStore(t.spark, new_path(t.spark, "twice-store"))
+    result = runs.run_batch(t.spark, _twice(t), state, CONFIG, _answers, AS_OF, 1, new_path(t.spark, "twice-out"))
+    if result.failed_sources:
+        raise RuntimeError(str(result.failed_sources))
+    return state.current().select("id", "url", "intitule")
+
+
 @query(
     "score_newest",
     """select id, 61 as score from (select 'd' || doc_id as id, doc_id % 977 as age from documents) order by age desc, id limit 20""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from vacantia.functions import ids, labels
 from vacantia.operators import admission, dedup, filters, metrics, ranking
 from vacantia.plans import exports, store
 from vacantia.schemas import OFFER_TEXTS
-from vacantia.staging import new_path
+from vacantia.staging import new_path, stage
 from vacantia.streaming.ingest import ingest_stream
 
 # --- flagship --------------------------------------------------------------------------------
@@ -129,6 +130,62 @@ def admit_chain(t: Tables) -> DataFrame:
     return admission.admit(chain).offers.select("seq")
 
 
+def _as_stored(o: DataFrame) -> DataFrame:
+    """Derived offers with all stored columns."""
+    texts = [F.col(c) if c in o.columns else F.lit("").alias(c) for c in OFFER_TEXTS]
+    return o.select("seq", *texts, F.col("collected_at").cast("timestamp").alias("collected_at"))
+
+
+_LATER = 1_000_000_000_000
+
+
+@query(
+    "admit_two_writers",
+    with_offers(
+        f""", {duck_admit(f'select seq + case when seq % 2 = 0 then {_LATER} else 0 end as seq, id, url from offers_fx where length(url) > 0')}
+  select o.id, o.url, o.intitule from kept k join offers_fx o on o.seq = k.seq % {_LATER}""",
+        recursive=True,
+    ),
+)
+def admit_two_writers(t: Tables) -> DataFrame:
+    """Two writers with common ids and URLs; the second one publishes while the first, which has chosen already, has not."""
+    root = new_path(t.spark, "writers-store")
+    rows = _as_stored(filters.with_url(offers(t)))
+
+    def add(writer: str, part: DataFrame, before_publishing: Callable[[], None] = lambda: None) -> None:
+        def choose(keys_for: Callable[[DataFrame], DataFrame]) -> DataFrame:
+            admitted = admission.admit(part.select("seq", "id", "url"), keys_for(part.select("id", "url")))
+            before_publishing()
+            return part.join(admitted.kept, "seq", "left_semi")
+
+        store.OfferStore(t.spark, root).insert(writer, 1, choose)
+
+    add("even", rows.where(F.col("seq") % 2 == 0), lambda: add("odd", rows.where(F.col("seq") % 2 == 1)))
+    return store.OfferStore(t.spark, root).current().select("id", "url", "intitule")
+
+
+@query(
+    "current_from_snapshot",
+    with_offers(
+        f""", {_CLEAN_KEPT} select o.id, case when o.seq % 4 = 1 then 50 end as score,
+  case when o.seq % 5 = 2 then 'Refusé' else 'À postuler' end as statut from kept join offers_fx o using (seq) where o.seq % 3 <> 0""",
+        recursive=True,
+    ),
+)
+def current_from_snapshot(t: Tables) -> DataFrame:
+    """A third of the offers is deleted after a snapshot, others are scored before or moved after it."""
+    state = store.OfferStore(t.spark, new_path(t.spark, "snapshot-store"))
+    kept = stage(admission.admit(_clean_candidates(t)).offers, "snapshot-kept").table
+    state.insert("offers", 1, lambda keys_for: _as_stored(kept))
+    texts = [F.lit("x").alias(c) for c in ("score_explication", "score_points_forts", "score_points_faibles")]
+    scores = kept.where(F.col("seq") % 4 == 1).select("id", F.lit(50).alias("score"), *texts, F.lit(None).alias("score_date"))
+    state.commit("scores", 1, scores=scores)
+    state.snapshot()
+    state.delete(kept.where(F.col("seq") % 3 == 0), 1)
+    state.set_status(kept.where(F.col("seq") % 5 == 2).select("id", F.lit("Refusé").alias("statut")), 1)
+    return state.current().select("id", "score", "statut")
+
+
 @query(
     "new_by_source",
     with_offers(f", {_CLEAN_KEPT} select split_part(id, '_', 1) as source, count(*) as inserted from kept join offers_fx using (seq) group by 1", recursive=True),
@@ -345,9 +402,7 @@ def stream_ingest(t: Tables) -> DataFrame:
     )
 
     def to_candidates(batch: DataFrame) -> DataFrame:
-        derived = batch.sparkSession.sql(SPARK_OFFERS, documents=batch)
-        texts = [F.col(c) if c in derived.columns else F.lit("").alias(c) for c in OFFER_TEXTS]
-        return derived.select("seq", *texts, F.col("collected_at").cast("timestamp").alias("collected_at"))
+        return _as_stored(batch.sparkSession.sql(SPARK_OFFERS, documents=batch))
 
     state = store.OfferStore(t.spark, new_path(t.spark, "stream-store"))
     ingest_stream(landed, to_candidates, state, TERMS, new_path(t.spark, "stream-progress"), "documents").awaitTermination()
