@@ -19,8 +19,10 @@ from vacantia.plans.run import Landing, collect, run_batch
 from vacantia.plans.store import OfferStore
 from vacantia.schemas import OFFER_TEXTS
 from vacantia.sources.landing import open_landing
+from vacantia.streaming import stateful as stateful_module
 from vacantia.staging import new_path, shared_folder, stage, staging_scope
 from vacantia.streaming.ingest import ingest_stream
+from vacantia.streaming.stateful import catch_up, ingest_stateful
 
 AS_OF = datetime(2024, 3, 5, 14, 7)
 CONFIG = Config({"deal_breakers": []}, {"adzuna": {"search_params": {"max_results_par_cible": 25}}})
@@ -44,8 +46,12 @@ def add(store, writer, batch, rows, between=lambda: None):
     return store.insert(writer, batch, choose)
 
 
+def living_any(store):
+    return [(r.id, r.url) for r in store.alive_keys().collect()]
+
+
 def living(store):
-    return sorted((r.id, r.url) for r in store.current().collect())
+    return sorted(((r.id, r.url) for r in store.current().collect()), key=str)
 
 
 def once(action):
@@ -346,6 +352,44 @@ def test_two_streams_and_a_run_at_once(spark, tmp_path):
     assert set(glob.glob(f"{shared_folder(spark)}/vacantia/*")) == before
 
 
+def stateful(spark, folder, store, progress):
+    schema = "seq long, id string, url string, intitule string"
+    landed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder)
+
+    def to_candidates(rows):
+        texts = [F.col(c) if c in ("id", "url", "intitule") else F.lit("").alias(c) for c in OFFER_TEXTS]
+        return rows.select("seq", *texts, F.lit("2024-01-01").cast("timestamp").alias("collected_at"))
+
+    catch_up(ingest_stateful(landed, to_candidates, store, ["non"], progress, "stream"))
+
+
+@pytest.mark.parametrize("in_memory", [1000, 1])
+def test_stateful_stream(spark, tmp_path, monkeypatch, in_memory):
+    """Batches, a restart, another writer's offers and a deletion: the state knows them all and no key table is read."""
+    monkeypatch.setattr(stateful_module, "IN_MEMORY", in_memory)
+    folder, store = str(tmp_path / "landed"), OfferStore(spark, str(tmp_path / "s"))
+
+    def row(seq, offer_id, url, title="t"):
+        return {"seq": seq, "id": offer_id, "url": url, "intitule": title}
+
+    asked = []
+    keys_for = OfferStore.keys_for
+    monkeypatch.setattr(OfferStore, "keys_for", lambda self, *a, **k: (asked.append(1), keys_for(self, *a, **k))[1])
+    write_lines(folder, "0.json", [row(0, "a", "u"), row(1, "a", "v"), row(2, "b", "u"), row(3, "c", "w"), row(4, "d", ""), row(5, "e", "x", "NON"), row(6, None, "n")])
+    stateful(spark, folder, store, str(tmp_path / "p"))
+    assert sorted(living_any(store), key=str) == sorted([("a", "u"), ("c", "w"), (None, "n")], key=str) and asked == []
+
+    add(store, "other", 1, [(1, "f", "y")])
+    store.delete(ids(spark, "a"), 1)
+    asked.clear()
+    write_lines(folder, "1.json", [row(10, "g", "y"), row(11, "f", "z"), row(12, "h", "w"), row(13, "a", "q"), row(14, "k", "u"), row(15, "k2", "k2")])
+    stateful(spark, folder, store, str(tmp_path / "p"))
+    expected = sorted([("c", "w"), (None, "n"), ("f", "y"), ("a", "q"), ("k", "u"), ("k2", "k2")], key=str)
+    assert sorted(living_any(store), key=str) == expected and asked == []
+    stateful(spark, folder, store, str(tmp_path / "p"))
+    assert sorted(living_any(store), key=str) == expected
+
+
 # --- landing again and again ------------------------------------------------------------------------
 
 

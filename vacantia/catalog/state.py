@@ -24,6 +24,7 @@ from vacantia.plans import exports, store
 from vacantia.schemas import OFFER_TEXTS
 from vacantia.staging import new_path, stage
 from vacantia.streaming.ingest import ingest_stream
+from vacantia.streaming.stateful import catch_up, ingest_stateful
 
 # --- flagship --------------------------------------------------------------------------------
 
@@ -407,3 +408,35 @@ def stream_ingest(t: Tables) -> DataFrame:
     state = store.OfferStore(t.spark, new_path(t.spark, "stream-store"))
     ingest_stream(landed, to_candidates, state, TERMS, new_path(t.spark, "stream-progress"), "documents").awaitTermination()
     return state.current().select("id", "url", "intitule", "statut")
+
+
+_PARTS = 4
+
+
+@query(
+    "stream_stateful",
+    with_offers(
+        f""", {duck_admit(f"select seq + (seq % {_PARTS}) * {_LATER} as seq, id, url from offers_fx where url <> '' and {DUCK_CLEAN}")}
+  select o.id, o.url, o.intitule, 'À postuler' as statut from kept k join offers_fx o on o.seq = k.seq % {_LATER}""",
+        recursive=True,
+    ),
+)
+def stream_stateful(t: Tables) -> DataFrame:
+    """The documents in four files, one a batch; the second half is collected by a restarted query."""
+    folder = new_path(t.spark, "stream-parts")
+    state = store.OfferStore(t.spark, new_path(t.spark, "stateful-store"))
+    progress = new_path(t.spark, "stateful-progress")
+    schema = t["documents"].schema
+
+    def landed() -> DataFrame:
+        files = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+        return files
+
+    def to_candidates(rows: DataFrame) -> DataFrame:
+        return _as_stored(rows.sparkSession.sql(SPARK_OFFERS, documents=rows))
+
+    for half in range(2):
+        for part in range(half * _PARTS // 2, (half + 1) * _PARTS // 2):
+            t["documents"].where(F.col("doc_id") % _PARTS == part).coalesce(1).write.parquet(f"{folder}/part{part}")
+        catch_up(ingest_stateful(landed(), to_candidates, state, TERMS, progress, "documents"))
+    return state.current().select("id", "url", "intitule", "statut")

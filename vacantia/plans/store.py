@@ -28,9 +28,11 @@ from vacantia.plans.commits import CommitLog
 from vacantia.plans.index import BUCKETS, KeyIndex, read_bucketed, write_bucketed
 
 _KEYS = T.StructType([T.StructField("id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("version", T.LongType())])
+# ``keys`` and ``gone`` are the changes of the set of living keys: what each version added, and what it took away.
 TABLES: dict[str, T.StructType] = {
     "offers": schemas.OFFER,
     "keys": _KEYS,
+    "gone": _KEYS,
     "scores": schemas.SCORE,
     "status_changes": schemas.STATUS_CHANGE,
     "tombstones": schemas.TOMBSTONE,
@@ -125,6 +127,11 @@ class OfferStore:
         self.last()
         return self._log.find(writer, batch)
 
+    def latest_of(self, writer: str, batch: int) -> int:
+        """The last version that a writer published for a batch up to ``batch``; 0 if there is none."""
+        self.last()
+        return self._log.latest(writer, batch)
+
     def _path(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/{_BATCH}={version}"
 
@@ -167,38 +174,48 @@ class OfferStore:
             if done is not None:
                 return done
 
-    def insert(self, writer: str, batch: int, choose: Callable[[Callable[[DataFrame], DataFrame]], DataFrame | None]) -> int:
+    def insert(
+        self, writer: str, batch: int, choose: Callable[[Callable[[DataFrame], DataFrame]], DataFrame | None], judged_at: int | None = None
+    ) -> int:
         """Add the offers that ``choose`` picks and publish them as one version, which keeps both keys unique.
 
         ``choose`` gets a function from candidates (id, url) to the living keys they may meet, and returns offers of which
         no two and no living one share a key, or None for none. It is called again when another writer was first with a
         key. For a batch that is published already it is called once with the state before that version, and nothing is written.
+
+        Candidates that were already held against the state of a version, ``judged_at``, meet no key at first.
         """
         done = self.version_of(writer, batch)
         if done is not None:
             choose(lambda candidates: self.keys_for(candidates, before=done))
             return done
         while True:
-            seen = self.last()
-            rows = choose(lambda candidates, seen=seen: self.keys_for(candidates, before=seen + 1))
+            if judged_at is None:
+                seen = self.last()
+                rows = choose(lambda candidates, seen=seen: self.keys_for(candidates, before=seen + 1))
+            else:
+                seen, judged_at = judged_at, None
+                rows = choose(lambda candidates: candidates.select("id", "url").limit(0))
             folders = {}
             if rows is not None:
                 folders = self._write({"offers": rows})
                 written = self.spark.read.schema(schemas.OFFER).parquet(f"{self.root}/offers/{folders['offers']}")
                 folders |= self._write({"keys": written.select("id", "url")})
             while True:
-                version = self._publish(writer, batch, seen, folders)
-                if version is not None:
-                    return version
-                done = self.version_of(writer, batch)
-                if done is not None:
-                    return done
                 newest = self.last()
-                if folders and self._collides(folders["keys"], seen, newest):
+                if newest > seen and folders and self._collides(folders["keys"], seen, newest):
                     break
                 seen = newest
-            for table, folder in folders.items():
-                self._log.folder.delete(f"{self.root}/{table}/{folder}")
+                version = self._publish(writer, batch, seen, folders)
+                if version is None:
+                    version = self.version_of(writer, batch)  # the same batch, run twice at a time
+                if version is not None:
+                    return version
+            self._remove(folders)
+
+    def _remove(self, folders: dict[str, str]) -> None:
+        for table, folder in folders.items():
+            self._log.folder.delete(f"{self.root}/{table}/{folder}")
 
     def _collides(self, folder: str, after: int, upto: int) -> bool:
         """Does a version published since hold a key of the rows in ``folder``?"""
@@ -281,8 +298,19 @@ class OfferStore:
         return self.commit(writer, batch, status_changes=changes)
 
     def delete(self, ids: DataFrame, batch: int, writer: str = "delete") -> int:
-        """Append deletions by id; returns their version. A deleted offer may be collected again later."""
-        return self.commit(writer, batch, tombstones=ids.select("id").distinct())
+        """Append deletions by id; returns their version. A deleted offer may be collected again later.
+
+        The keys that this takes away are written beside it. They are looked up again if another version came first.
+        """
+        while (done := self.version_of(writer, batch)) is None:
+            seen = self.last()
+            gone = ids.select("id").distinct()
+            folders = self._write({"tombstones": gone, "gone": self.alive_keys(before=seen + 1).join(gone, "id", "left_semi")})
+            version = self._publish(writer, batch, seen, folders)
+            if version is not None:
+                return version
+            self._remove(folders)
+        return done
 
     # --- snapshots --------------------------------------------------------------------------
 
