@@ -158,7 +158,7 @@ def found_phrases(table, support, most):
 
 @pytest.mark.parametrize("seed, support, most", [(0, 5, 2000), (1, 3, 7), (2, 12, 2000)])
 def test_collocations_of_random_texts(spark, monkeypatch, seed, support, most):
-    monkeypatch.setattr(collocations, "_FULL", 400)  # several shards a task
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", 400)
     rng = random.Random(seed)
     words = ["the", "The", "of", "é", "ÉA", "x\x0by", "a-b", "New", "york", "", "\x1c"]
     rows = []

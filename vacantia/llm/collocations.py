@@ -1,19 +1,21 @@
-"""Frequent word collocations, mined shard by shard.
+"""Frequent word collocations, mined part by part.
 
-A phrase of two to ``LONGEST`` words is frequent in its language if it occurs ``SUPPORT`` times. A phrase that is frequent
-in all has, in some shard, at least the part of the support that is the shard's part of the language. So:
+A phrase of two to ``LONGEST`` words is frequent in its language if it occurs ``SUPPORT`` times. The documents are dealt over
+``PARTS`` parts of equal expected size by the hash of their text. A phrase that is frequent in all has, in some part, at least the
+support over the number of parts. So:
 
-1. Each shard, about ``SHARD_BYTES`` of text in one task, is mined completely at its lowered support: phrases grow word by word, and
-   only from phrases whose beginning and end are frequent themselves. It reports its frequent phrases with their counts.
-2. The reports are united. A shard that does not report a phrase holds it fewer times than its lowered support,
+1. Each part is mined completely at that lowered support, word count by word count: a phrase is looked at only where the
+   phrases without its last and without its first word were frequent in the part. Tasks hold a chunk of ``CHUNK_BYTES`` of text, add
+   up hashes of its phrases and send each once with its count, so a part may be of any size.
+2. The parts' frequent phrases are united. A part that does not report a phrase holds it fewer times than its lowered support,
    which bounds every phrase from above; what cannot reach the support is given up.
-3. All shards count the candidates that are left, exactly. A Bloom filter of fixed size keeps other phrases from the
-   shuffle; those that slip through are not frequent and fall out. No shard's counts are sampled or capped.
+3. All documents are read again and the candidates that are left are counted exactly, by their words. A Bloom filter of fixed
+   size keeps other phrases from the shuffle; those that slip through are not frequent and fall out.
 
-Scores compare a phrase's count with those of its two parts at the worst cut, in whole numbers of up to 38 digits.
+The number of parts is fixed, so the lowered support, and what is sent for a given amount of text, is the same at every size.
+A Bloom filter that fills up, or two phrases with one hash, only make more candidates.
 
-As shards have a fixed size, their lowered support falls as the corpus grows, down to one occurrence. From there the first
-reports are complete counts, and step 3 sends only phrases that are frequent; ask for a support in proportion to a very large corpus.
+Scores compare a phrase's count with those of its two parts at the worst cut, in whole numbers of up to 38 digits.
 
 Defined results: a null text is empty, a null language is ``und`` and one with that name. Repeated rows count repeatedly. A language
 without frequent phrases has no row, as an empty table has none. Other columns of the input are ignored.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,61 +33,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm import bloom
-from vacantia.llm.words import _span, byte_classes, lowered, mixed, slices, split_words
+from vacantia.llm.words import _span, byte_classes, joined, lowered, mixed, slices, split_words
 from vacantia.staging import stage
 
 SUPPORT = 100
 LONGEST = 5
 MOST = 2000
-SHARD_BYTES = 40 << 20
-_FULL = 2 * SHARD_BYTES  # a shard is closed before it holds more
-_BUCKETS = 1 << 16
+PARTS = 4
+CHUNK_BYTES = 16 << 20
 UNKNOWN = "und"
+_SALTS = 32
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+# The upper two bits of a marked phrase name its part, the others are its hash.
+_PART = np.uint64(62)
+_HASH = np.uint64((1 << 62) - 1)
 _CUTS = ".,;:!?" + _span(0x0A, 0x0D)
 _WORD = byte_classes(word="".join(c for c in _span(0, 255) if c not in _CUTS + "\x20\x09"))
 _IS_CUT = np.isin(np.arange(256), np.frombuffer(_CUTS.encode(), np.uint8))
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """lang, bucket, text without nulls; languages share out a fixed number of buckets."""
+    """lang, part, text without nulls."""
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("lang", F.pmod(F.xxhash64("lang"), F.lit(_BUCKETS)).cast("int").alias("bucket"), "text")
+    return rows.select("lang", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part"), "text")
 
 
-def sizes(rows: DataFrame) -> np.ndarray:
-    """Bytes of text per bucket of languages: a number per bucket."""
-    out = np.zeros(_BUCKETS, np.int64)
-    for row in rows.groupBy("bucket").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).collect():
-        out[row["bucket"]] = row["n"]
-    return out
-
-
-class Shard:
-    """The words of a part of the corpus."""
+class Chunk:
+    """The words of some documents."""
 
     def __init__(self) -> None:
         self.bytes = 0
         self.langs: dict[str, int] = {}
-        self.buckets: list[int] = []
-        self.lang_bytes: list[int] = []
-        self._parts: list[tuple[np.ndarray, ...]] = []
-        self._words = self._pieces = 0
+        self._columns: list[tuple[np.ndarray, ...]] = []
+        self._pieces = 0
 
     def add(self, batch: pa.RecordBatch) -> None:
-        """Take in a slice of rows of lang, bucket, text."""
+        """Take in rows of lang, part, text."""
         for texts in slices(batch["text"]):
             mine = batch.slice(texts.first, texts.rows)
-            numbers, hashes = [], []
-            lengths = np.diff(texts.offsets).tolist()
-            for lang, bucket, length in zip(mine["lang"].to_pylist(), mine["bucket"].to_pylist(), lengths):
-                number = self.langs.setdefault(lang, len(self.langs))
-                if number == len(self.buckets):
-                    self.buckets.append(bucket)
-                    self.lang_bytes.append(0)
-                self.lang_bytes[number] += length
-                numbers.append(number)
+            numbers = np.array([self.langs.setdefault(lang, len(self.langs)) for lang in mine["lang"].to_pylist()], np.uint32)
             names = list(self.langs)
             hashes = np.array([_lang_hash(names[number]) for number in numbers], np.uint64)
             data = lowered(texts.data)
@@ -96,197 +83,193 @@ class Shard:
             begins[1:] = (row[1:] != row[:-1]) | (cuts[1:] != cuts[:-1])
             piece = np.cumsum(begins) + self._pieces
             self._pieces += int(begins.sum())
-            self._parts.append((
+            self._columns.append((
                 mixed(words.hash + hashes[row]),
                 (words.start + self.bytes).astype(np.uint32),
                 (words.end + self.bytes).astype(np.uint32),
                 piece.astype(np.uint32),
-                np.array(numbers, np.uint32)[row],
+                numbers[row],
+                mine["part"].to_numpy(zero_copy_only=False).astype(np.uint8)[row],
                 data,
             ))
             self.bytes += len(data)
-            self._words += len(row)
 
     def close(self) -> None:
-        columns = [np.concatenate(column) for column in zip(*self._parts)] if self._parts else [np.zeros(0, np.uint64)] * 6
-        self.key, self.start, self.end, self.piece, self.lang, self.data = columns
-        self._parts = []
+        columns = [list(column) for column in zip(*self._columns)] or [[np.zeros(0, np.uint64)] for _ in range(7)]
+        self._columns = []
+        for i, pieces in enumerate(columns):
+            columns[i] = np.concatenate(pieces)
+            pieces.clear()
+        self.key, self.start, self.end, self.piece, self.lang, self.part, data = columns
+        self.data = data.tobytes()
 
     def words_per_lang(self) -> list[int]:
         return np.bincount(self.lang.astype(np.int64), minlength=len(self.langs)).tolist()
 
-    def grow(self, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(size, place of an occurrence, count, hash) of the phrases that ``keep(lang, count, hash)`` keeps, by size.
+    def marked(self, size: int) -> np.ndarray:
+        """The hash of the phrase that begins at each word, with the number of its part in the upper bits."""
+        return (joined(self.key, size) & _HASH) | (self.part[: max(0, len(self.part) - size + 1)].astype(np.uint64) << _PART)
+
+    def part_counts(self, size: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct marked phrases of ``size`` words and their counts; ``known`` is a filter of shorter ones to build on."""
+        found = self.marked(size)
+        last = size - 1
+        fits = self.piece[: len(found)] == self.piece[last : last + len(found)]
+        if known is not None:
+            shorter = bloom.holds(known, mixed(self.marked(last)))
+            fits &= shorter[: len(found)] & shorter[1 : len(found) + 1]
+        return np.unique(found[fits], return_counts=True)
+
+    def grow(self, keep: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, place of an occurrence, count) of the phrases whose hash ``keep`` keeps, by size.
 
         A phrase is looked at if the phrases without its last and without its first word were kept. Phrases of one size are
         numbered, and a longer one is the number of its beginning with the number of its last word.
         """
-        _, place, number, count = np.unique(self.key, return_index=True, return_inverse=True, return_counts=True)
-        word = number.astype(np.int64)
-        hashes = self._hashes(place, 1)
-        good = keep(self.lang[place], count, hashes)
-        yield 1, place[good], count[good], hashes[good]
+        place, word, count = _grouped(self.key)
+        good = keep(self._hashes(place, 1))
+        yield 1, place[good].astype(np.int64), count[good]
         kinds = len(place)
-        now = np.where(good[word], word, -1)
+        now = np.where(good[word], word, np.int32(-1))
         usable = now >= 0
         for size in range(2, LONGEST + 1):
             last = size - 1
-            first = np.flatnonzero(now[: max(0, len(now) - last)] >= 0)
-            first = first[(now[first + 1] >= 0) & usable[first + last]]
-            first = first[self.piece[first] == self.piece[first + last]]
+            end = max(0, len(now) - last)
+            fits = (now[:end] >= 0) & (now[1 : end + 1] >= 0) & usable[last:] & (self.piece[:end] == self.piece[last:])
+            first = np.flatnonzero(fits).astype(np.uint32)
+            del fits
             if not len(first):
                 return
-            _, index, number, count = np.unique(now[first] * kinds + word[first + last], return_index=True, return_inverse=True, return_counts=True)
+            index, number, count = _grouped(now[first].astype(np.int64) * kinds + word[first + last])
             place = first[index]
-            hashes = self._hashes(place, size)
-            good = keep(self.lang[place], count, hashes)
-            yield size, place[good], count[good], hashes[good]
-            now = np.full(len(word), -1, np.int64)
-            stays = good[number]
-            now[first[stays]] = number[stays]
+            good = keep(self._hashes(place, size))
+            yield size, place[good].astype(np.int64), count[good]
+            now = np.full(len(word), -1, np.int32)
+            now[first] = np.where(good[number], number, np.int32(-1))
 
     def _hashes(self, place: np.ndarray, size: int) -> np.ndarray:
         out = self.key[place].copy()
         for step in range(1, size):
             out *= _ODD
             out += self.key[place + step]
-        return mixed(out + np.uint64(size))
+        return mixed(out + np.uint64(size)) & _HASH
 
     def phrases(self, place: np.ndarray, size: int) -> list[str]:
         """The words from each place on, joined by one space."""
-        data = self.data.tobytes() if not isinstance(self.data, bytes) else self.data
-        self.data = data
         out = []
         for start, end in zip(self.start[place].tolist(), self.end[place + size - 1].tolist()):
-            text = data[start:end]
+            text = self.data[start:end]
             if b"\t" in text or b"  " in text:
                 text = b" ".join(text.split())
             out.append(text.decode())
         return out
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the distinct keys in order: a place of each and its count; and the number of each place's key."""
+    order = np.argsort(keys).astype(np.uint32)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    del keys
+    begin = np.flatnonzero(new)
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[begin], number, np.diff(begin, append=len(order))
+
+
 def _lang_hash(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    shard = None
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    chunk = None
     for batch in batches:
-        for part in _cut(batch):
-            shard = shard or Shard()
-            shard.add(part)
-            if shard.bytes >= _FULL:
-                shard.close()
-                yield shard
-                shard = None
-    if shard is not None:
-        shard.close()
-        yield shard
-
-
-def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Whole rows in parts of bounded bytes, so that a shard is closed in time."""
-    for texts in slices(batch["text"], SHARD_BYTES // 8):
-        yield batch.slice(texts.first, texts.rows)
-
-
-def lowered_support(support: int, mine: list[int], whole: list[int]) -> np.ndarray:
-    """The least whole count that is the shard's part of the support, for each language."""
-    return np.array([max(1, -(-support * a // b)) if b else 1 for a, b in zip(mine, whole)], np.int64)
-
-
-@dataclass(frozen=True)
-class _Reports:
-    """What shards report: lang, size, phrase, h, n, and ``missed``, how often a shard that is silent may hold a phrase."""
-
-    schema: str = "lang string, size int, phrase string, h long, n long, missed long"
-
-    def batch(self, shard: Shard, size: int, place: np.ndarray, count: np.ndarray, h: np.ndarray, missed: np.ndarray) -> pa.RecordBatch:
-        names = pa.array(list(shard.langs), pa.string())
-        return pa.RecordBatch.from_pydict({
-            "lang": names.take(pa.array(shard.lang[place].astype(np.int64))),
-            "size": pa.array(np.full(len(place), size, np.int32)),
-            "phrase": pa.array(shard.phrases(place, size), pa.string()),
-            "h": pa.array(h.view(np.int64)),
-            "n": pa.array(count.astype(np.int64)),
-            "missed": pa.array(missed[shard.lang[place]]),
-        })
-
-    def totals(self, shard: Shard, missed: np.ndarray) -> pa.RecordBatch:
-        """A row of size 0 per language: its words, and what a silent shard may hide."""
-        number = len(shard.langs)
-        return pa.RecordBatch.from_pydict({
-            "lang": pa.array(list(shard.langs), pa.string()),
-            "size": pa.array(np.zeros(number, np.int32)),
-            "phrase": pa.array([""] * number, pa.string()),
-            "h": pa.array(np.zeros(number, np.int64)),
-            "n": pa.array(shard.words_per_lang(), pa.int64()),
-            "missed": pa.array(missed),
-        })
-
-
-_REPORTS = _Reports()
-
-
-def mine(rows: DataFrame, whole: np.ndarray, support: int) -> DataFrame:
-    """The reports of all shards, united: lang, size, phrase, h, n, missed."""
-    shared = rows.sparkSession.sparkContext.broadcast(whole)  # _BUCKETS numbers
+        for texts in slices(batch["text"], CHUNK_BYTES // 8):
+            chunk = chunk or Chunk()
+            chunk.add(batch.slice(texts.first, texts.rows))
+            if chunk.bytes >= CHUNK_BYTES:
+                chunk.close()
+                yield chunk
+                chunk = None
+    if chunk is not None:
+        chunk.close()
+        yield chunk
+
+
+def mine(rows: DataFrame, size: int, known: np.ndarray | None, least: int) -> DataFrame:
+    """(key, n): the phrases of ``size`` words that occur ``least`` times in some part, as marked hashes with their counts there."""
+    shared = None if known is None else rows.sparkSession.sparkContext.broadcast(known)  # bloom.BITS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            least = lowered_support(support, shard.lang_bytes, shared.value[shard.buckets].tolist())
-            yield _REPORTS.totals(shard, least - 1)
-            for size, place, count, h in shard.grow(lambda lang, count, h: count >= least[lang]):
-                yield _REPORTS.batch(shard, size, place, count, h, least - 1)
+        for chunk in _chunks(batches):
+            key, count = chunk.part_counts(size, None if shared is None else shared.value)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(count.astype(np.int32))})
+
+    found = rows.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    out = stage(found, f"phrases-{size}").table
+    if shared is not None:
+        shared.unpersist()
+    return out
 
-    told = rows.mapInArrow(run, _REPORTS.schema)
-    return told.groupBy("lang", "size", "phrase", "h").agg(F.sum("n").alias("n"), F.sum("missed").alias("missed"))
 
+def candidates(found: DataFrame, support: int, least: int) -> DataFrame:
+    """(h) of what may reach the support: what parts report, and the most that silent parts can add."""
+    of_all = found.groupBy(F.col("key").bitwiseAND(F.lit(int(_HASH))).alias("h")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    return of_all.where(F.col("n") + (PARTS - F.col("parts")) * (least - 1) >= support).select("h")
 
-def candidates(reports: DataFrame, support: int) -> DataFrame:
-    """(lang, phrase, h) of what may reach the support: reported counts, and the most that silent shards can add."""
-    of_lang = reports.where(F.col("size") == 0).select("lang", F.col("missed").alias("hidden"))
-    found = reports.where(F.col("size") > 0).join(of_lang, "lang")
-    return found.where(F.col("n") + F.col("hidden") - F.col("missed") >= support).select("lang", "phrase", "h")
 
+def _filter(wanted: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of the column's hashes."""
 
-def _filter(wanted: DataFrame) -> np.ndarray:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None
         for batch in batches:
             seen = seen or bloom.Seen()
-            seen.add(batch["h"].to_numpy(zero_copy_only=False).view(np.uint64))
+            seen.add(mixed(batch[column].to_numpy(zero_copy_only=False).view(np.uint64)))
         if seen is not None:
             yield from seen.slices()
 
     parallel = wanted.sparkSession.sparkContext.defaultParallelism
-    return bloom.merged(wanted.select("h").coalesce(parallel).mapInArrow(fill, bloom.SLICES), "once")
+    return bloom.merged(wanted.select(column).coalesce(parallel).mapInArrow(fill, bloom.SLICES), "once")
 
 
 def count(rows: DataFrame, known: np.ndarray, support: int) -> DataFrame:
-    """(lang, size, phrase, f) of all frequent phrases, single words too, by a full count of what the filter lets through."""
+    """(lang, size, phrase, f) of all frequent phrases, single words too, by a full count of what the filter lets through.
+
+    Rows of size 0 hold the number of all words of a language.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(known)  # bloom.BITS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            nothing = np.zeros(len(shard.langs), np.int64)
-            for size, place, n, h in shard.grow(lambda lang, count, h: bloom.holds(shared.value, h)):
-                yield _REPORTS.batch(shard, size, place, n, h, nothing)
+        for chunk in _chunks(batches):
+            langs = pa.array(list(chunk.langs), pa.string())
+            words = np.bincount(chunk.lang.astype(np.int64), minlength=len(langs))
+            yield _counted(langs, 0, [""] * len(langs), words)
+            for size, place, n in chunk.grow(lambda h: bloom.holds(shared.value, mixed(h))):
+                yield _counted(langs.take(pa.array(chunk.lang[place].astype(np.int64))), size, chunk.phrases(place, size), n)
+
+    told = rows.mapInArrow(run, "lang string, size int, phrase string, n long")
+    summed = told.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
+    return summed.where((F.col("f") >= support) | (F.col("size") == 0))
+
 
-    told = rows.mapInArrow(run, _REPORTS.schema)
-    return told.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+def _counted(langs: pa.Array, size: int, phrases: list[str], n: np.ndarray) -> pa.RecordBatch:
+    sizes = pa.array(np.full(len(phrases), size, np.int32))
+    return pa.RecordBatch.from_arrays([langs, sizes, pa.array(phrases, pa.string()), pa.array(n.astype(np.int64))], ["lang", "size", "phrase", "n"])
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """Written tables: (lang, size, phrase, f) of all phrases with the support, and (lang, n) words per language."""
     rows = named(docs)
-    whole = sizes(rows)
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(whole.sum()) // SHARD_BYTES))
-    dealt = rows.coalesce(tasks)
-    reports = stage(mine(dealt, whole, support), "phrase-reports").table
-    wanted = stage(candidates(reports, support), "phrase-candidates").table
-    found = stage(count(dealt, _filter(wanted), support), "phrase-counts").table
-    return found, reports.where(F.col("size") == 0).select("lang", "n")
+    least = -(-support // PARTS)
+    found, known = [], None
+    for size in range(1, LONGEST + 1):
+        found.append(mine(rows, size, known, least))
+        known = _filter(found[-1], "key")
+    wanted = candidates(reduce(DataFrame.unionByName, found), support, least)
+    counted = stage(count(rows, _filter(wanted, "h"), support), "phrase-counts").table
+    return counted.where(F.col("size") > 0), counted.where(F.col("size") == 0).select("lang", F.col("f").alias("n"))
 
 
 def _part(first, length):
@@ -299,7 +282,10 @@ def scored(found: DataFrame, words: DataFrame) -> DataFrame:
     cuts = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("left"), _part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     first, rest = (found.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)) for side, name in (("left", "l"), ("right", "r")))
-    met = cuts.join(first, ["lang", "left"]).join(rest, ["lang", "right"]).join(words, "lang")
+    # One language may hold most phrases, so its number of words meets them in several tasks.
+    of_lang = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    met = cuts.join(first, ["lang", "left"]).join(rest, ["lang", "right"])
+    met = met.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)).cast("int")).join(of_lang, ["lang", "_salt"])
     wide, narrow = "decimal(20,0)", "decimal(18,0)"
     over = (F.lit(1000) * F.col("n")).cast(wide) * F.col("a").cast(narrow)
     met = met.withColumns({"_over": over, "_under": F.col("l").cast(narrow) * F.col("r").cast(narrow)})
