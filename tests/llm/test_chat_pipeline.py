@@ -76,7 +76,7 @@ def test_reply_calls_of_conversations(spark, monkeypatch):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "benchmark", "mix", "shard"]
 
 
@@ -155,3 +155,30 @@ def test_shard_keeps_other_columns(spark):
     assert sorted(got.columns) == sorted(docs.columns)
     assert sorted((r.doc_id, r.group) for r in got.collect()) == [(i, f"g{i}") for i in range(40)]
     assert dict(got.dtypes)["shard"] == "int" and dict(got.dtypes)["slot"] == "bigint"
+
+
+@pytest.mark.parametrize("name, run", corpus_pipeline.STAGES)
+def test_stages_of_hard_and_empty_tables(spark, small, documents, no_documents, name, run):
+    """Null, empty, long and repeated texts, null ids, foreign columns; and no rows at all."""
+    got = run(spark, documents, small)
+    columns = set(documents.columns) | ({"shard", "slot"} if name == "shard" else set())
+    assert set(got.columns) == columns
+    rows = [(r.doc_id, r.text) for r in got.collect()]
+    known = [(r.doc_id, r.text) for r in documents.collect()]
+    assert set(rows) <= set(known)
+    if name in ("near_duplicates", "benchmark", "mix", "shard"):
+        assert all(rows.count((i, text)) == known.count((i, text)) for i, text in known if not (text or "").strip())
+    empty = run(spark, no_documents, small)
+    assert set(empty.columns) == columns and empty.collect() == []
+
+
+def test_run_leaves_only_the_last_stage(spark, small):
+    import glob
+
+    from vacantia.staging import shared_folder
+
+    before = set(glob.glob(f"{shared_folder(spark)}/vacantia/*"))
+    rows = corpus_pipeline.run(spark, small)
+    assert rows.count() > 0
+    left = {path.rpartition("/")[2].rpartition("-")[0] for path in set(glob.glob(f"{shared_folder(spark)}/vacantia/*")) - before}
+    assert "pipeline-mix" in left and not left & {"pipeline-quality", "pipeline-near_duplicates", "pipeline-benchmark", "jaccard-groups", "jaccard-sets"}

@@ -190,3 +190,29 @@ def test_loads_are_even_and_plain_schedule(spark, monkeypatch, limits):
         units = sorted((size, 0, group) for group, size in sizes.items())
         want = dict(zip((g for *_, g in units), sharding.schedule(units, 6)))
         assert {r.group: r.shard for r in placed.collect()} == want
+
+
+@pytest.mark.parametrize("ids", ["null", "equal"])
+def test_sources_of_null_or_equal_ids_meet_their_targets(spark, ids):
+    """Texts differ, so their documents are told apart although their ids do not tell them apart."""
+    rng = random.Random(6)
+    rows = [(None if ids == "null" else 7, f"n{i} " + "w " * rng.randint(1, 30), "anonymous") for i in range(600)]
+    rows += [(1000 + i, f"d{i} " + "w " * rng.randint(1, 30), source) for i in range(900) for source in ["b" if i % 3 else "c"]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_by_source(table).collect()
+    taken, target = collections.Counter(), {}
+    for r in found:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert len(target) == 3
+    for size, goal in target.items():
+        assert abs(taken[size] - goal) <= max(r.size for r in found)
+
+
+def test_slices_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 3)
+    monkeypatch.setattr(sharding, "SLICES", 2)
+    table = spark.createDataFrame([(i % 90, f"text {i}") for i in range(600)], "doc_id long, text string")
+    got = sharding.shard_documents(table, shards=4).collect()
+    for shard in range(4):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))

@@ -79,7 +79,7 @@ def train(rows: DataFrame, size: int, classes: int, penalties: Penalties, rounds
                 yield pa.RecordBatch.from_pydict({"seen": [seen], "z": [blobs[0]], "n": [blobs[1]]})
 
         parts = dealt.mapInArrow(one_pass, "seen long, z binary, n binary").collect()
-        state.unpersist()
+        state.destroy()
         if not parts:
             break
         total = sum(part["seen"] for part in parts)

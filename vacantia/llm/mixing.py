@@ -13,7 +13,7 @@ is the shorter way); one that does not fit is passed over and the next that do a
 per pattern, so whether a row is taken is a plain expression on the row and no text moves.
 
 Defined results: sources weigh by their place in code point order, null last. A null text has size 0
-and is taken 0 times. Rows of equal ids are ordered alike and taken alike. Without documents nothing
+and is taken 0 times. Rows of equal id and text are ordered alike and taken alike; null and repeated ids of different texts are not. Without documents nothing
 is taken. Other columns of the input are kept and not used.
 """
 
@@ -36,7 +36,6 @@ SEED = 17
 MOST_PATTERNS = 100_000
 # The order is cut first into so many ranges of the hash, then within one of them.
 RANGE_BITS = 12
-_LEAST = -(1 << 63)
 
 
 def words(text: Column) -> Column:
@@ -162,8 +161,10 @@ def _beside(table: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(table) if bounded else table  # MOST_PATTERNS rows at most
 
 
-def _order(doc_id: Column) -> Column:
-    return F.xxhash64(F.lit(SEED), doc_id)
+def _place(docs: DataFrame) -> Column:
+    """Where a document stands in the order: by two hashes of its id and, if there is one, its text, so that null and repeated ids spread."""
+    told = [F.col(c) for c in ("doc_id", "text") if c in docs.columns]
+    return _at(F.xxhash64(F.lit(SEED), *told), F.xxhash64(*reversed(told), F.lit(SEED)))
 
 
 def _range(order: Column) -> Column:
@@ -175,13 +176,12 @@ def _narrow(docs: DataFrame, members: Column, size: Column) -> DataFrame:
     return docs.select(
         F.array_sort(F.array_distinct(members)).alias("members"),
         size.alias("size"),
-        _order(F.col("doc_id")).alias("order"),
-        F.coalesce(F.col("doc_id"), F.lit(_LEAST)).alias("id"),
-    ).withColumn("pattern", F.to_json("members", {"ignoreNullFields": "false"}))
+        _place(docs).alias("place"),
+    ).select("members", "size", "place.*").withColumn("pattern", F.to_json("members", {"ignoreNullFields": "false"}))
 
 
 def plan(docs: DataFrame, members: Column, size: Column, weights: tuple[int, ...] = WEIGHTS) -> Mix:
-    """Decide the mix from (doc_id, members array<string>, size); texts are read once."""
+    """Decide the mix from (doc_id, text), members array<string> and size; texts are read once."""
     spark = docs.sparkSession
     rows = stage(_narrow(docs, members, size), "mix").table
     per_pattern = rows.groupBy("pattern", "members").agg(F.sum("size").alias("size"))
@@ -266,8 +266,8 @@ def _plan_of_many(rows: DataFrame, sums: DataFrame, weights: tuple[int, ...]) ->
     return Mix(sources.select("source", "source_size", "target"), stage(_cuts(rows, passes, bounded=False), "mix-cuts").table, bounded=False)
 
 
-def _at(order: Column, doc_id: Column) -> Column:
-    return F.struct(order.alias("order"), doc_id.alias("id"))
+def _at(order: Column, tie: Column) -> Column:
+    return F.struct(order.alias("order"), tie.alias("id"))
 
 
 def _passes(flow: int, size: int) -> tuple[int, int, int]:
@@ -301,7 +301,7 @@ def _next_run(rows: DataFrame, state: DataFrame, bounded: bool) -> DataFrame:
         )
     )
     ranges = stage(ranges.select("pattern", (F.col("rest") - F.col("all")).alias("over"), "cut"), "mix-range").table
-    # Rows of one id have one sum: they fit together or not at all.
+    # Rows of one place have one sum: they fit together or not at all.
     within = Window.partitionBy("pattern").orderBy("order", "id")
     edge = (
         open_.join(_beside(ranges, bounded), "pattern")
@@ -324,7 +324,7 @@ def _cuts(rows: DataFrame, passes: DataFrame, bounded: bool = True) -> DataFrame
     """Per pattern the passes, and the runs of the order that are taken once more.
 
     A run ends at the first document that does not fit; the next one begins there and passes over
-    whatever is larger than what is left. Where the rows of one id fit one by one but not together it begins behind
+    whatever is larger than what is left. Where equal rows fit one by one but not together it begins behind
     them. Every run gets further in the order, and patterns go on until nothing is left to fill or no document fits.
     """
     place = "struct<order: bigint, id: bigint>"
@@ -351,7 +351,7 @@ def with_times(docs: DataFrame, members: Column, size: Column, mix: Mix, into: s
     """``docs`` with how often each row is taken; no row moves where the mix is bounded."""
     key = F.to_json(F.array_sort(F.array_distinct(members)), {"ignoreNullFields": "false"})
     cut = mix.patterns.select(F.struct(*mix.patterns.columns).alias(f"_{into}"))
-    here = _at(_order(F.col("doc_id")), F.coalesce(F.col("doc_id"), F.lit(_LEAST)))
+    here = _place(docs)
     c = F.col(f"_{into}")
     more = F.exists(
         c.runs,
@@ -366,12 +366,13 @@ def with_times(docs: DataFrame, members: Column, size: Column, mix: Mix, into: s
 
 def mix_by_source(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, where ``source`` is the only membership."""
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", "text", words(F.col("text")).alias("size"))
     members = F.array(F.col("source"))
     decided = plan(rows, members, F.col("size"))
     sources = decided.sources.select(F.col("source").alias("_name"), "source_size", "target")
     return (
         with_times(rows, members, F.col("size"), decided, "times")
+        .drop("text")
         .join(_beside(sources, decided.bounded), F.col("source").eqNullSafe(F.col("_name")), "left")
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
     )

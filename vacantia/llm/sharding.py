@@ -27,7 +27,8 @@ SHARDS = 24
 PER_ROW = 8
 MOST_LARGE = SHARDS * 1024
 BUNDLES = SHARDS * 256
-# A shard's rows are numbered in so many slices at once.
+# A shard's rows are numbered in slices of about so many rows, but in no fewer than ``SLICES``.
+SLICE_ROWS = 50_000
 SLICES = 64
 
 
@@ -100,9 +101,11 @@ def with_slot(rows: DataFrame, counted: DataFrame, *order: str, shard: str = "sh
     """``rows`` numbered from 0 in each shard, without a gap.
 
     ``counted`` holds the same rows and may be narrower. Slices of a shard are counted first; a row's slot is the
-    number of rows in earlier slices plus its place in its own, so no task holds a shard.
+    number of rows in earlier slices plus its place in its own, so no task holds a shard. There are as many slices as the
+    fullest shard needs.
     """
-    piece = F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int")
+    fullest = counted.groupBy(shard).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    piece = F.pmod(F.xxhash64(*order), F.lit(max(SLICES, -(-fullest // SLICE_ROWS)))).cast("int")
     earlier = Window.partitionBy("_shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     begins = (
         counted.groupBy(F.col(shard).alias("_shard"), piece.alias("_slice"))
@@ -113,7 +116,7 @@ def with_slot(rows: DataFrame, counted: DataFrame, *order: str, shard: str = "sh
     return (
         rows.withColumn("_slice_of", piece)
         .withColumn("_place", F.row_number().over(inside) - 1)
-        .join(F.broadcast(begins), (F.col(shard) == F.col("_shard")) & (F.col("_slice_of") == F.col("_slice")))  # shards * SLICES rows
+        .join(begins, (F.col(shard) == F.col("_shard")) & (F.col("_slice_of") == F.col("_slice")))  # a row per slice
         .withColumn(into, (F.col("_begin") + F.col("_place")).cast("long"))
         .drop("_shard", "_slice", "_begin", "_slice_of", "_place")
     )
