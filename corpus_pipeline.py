@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantia.llm import decontaminate, jaccard, mixing, quality_classifier, sharding
 from vacantia.session import ship_package
-from vacantia.staging import stage
+from vacantia.staging import discard, stage, staging_scope
 
 # Follow-the-regularised-leader training cannot be written in SQL.
 ORACLE_SQL: str | None = None
@@ -18,7 +18,10 @@ _NEW = "_pipeline"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts, by their text alone; null and empty texts are scored like others.
+
+    Rows of equal text are judged alike. An empty table gives an empty one; all columns stay as they are.
+    """
     ship_package(spark)
     weights = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality_classifier.with_score(docs, weights, into=_NEW)
@@ -30,31 +33,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by doc_id and class, as rows of one id may differ in text and null ids are many documents. Null
     ids come last, the least class decides between rows of one id. Only documents whose id is in some group are looked
-    up, so the texts of all others do not move.
+    up, so the texts of all others do not move. Rows of one id and class leave one, that of the least text hash. An empty table
+    gives an empty one; all columns stay as they are.
     """
     ship_package(spark)
-    groups = stage(jaccard.group(docs), "pipeline-groups").table.where(F.col("class").isNotNull())
+    groups = jaccard.group(docs).where(F.col("class").isNotNull())
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")
     shared = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where(F.col("n") > 1)
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class"))
-    grouped = groups.join(shared.select("component", "first"), "component").select("doc_id", "class", is_first.alias(_NEW)).distinct()
-    ids = stage(grouped, "pipeline-grouped").table
+    grouped = groups.join(shared.select("component", "first"), "component").groupBy("doc_id", "class", is_first.alias("stays"))
+    ids = stage(grouped.agg((F.count(F.lit(1)) > 1).alias("again")), "pipeline-grouped", again=F.max(F.col("again") & F.col("stays")))
     # Rows without words are in no group and need no look-up.
-    maybe = jaccard.may_be_in(docs, ids) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    maybe = jaccard.may_be_in(docs, ids.table) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     apart = docs.where(~maybe)
     met = docs.where(maybe).withColumns({f"{_NEW}_id": F.col("doc_id"), f"{_NEW}_class": jaccard.class_of(F.col("text"))})
-    known = ids.select(F.col("doc_id").alias(f"{_NEW}_of"), F.col("class").alias(f"{_NEW}_in"), _NEW)
-    same = F.col(f"{_NEW}_id").eqNullSafe(F.col(f"{_NEW}_of")) & (F.col(f"{_NEW}_class") == F.col(f"{_NEW}_in"))
+    known = ids.table.select(*(F.col(c).alias(f"{_NEW}_{c}_of") for c in ("doc_id", "class", "stays", "again")))
+    same = F.col(f"{_NEW}_id").eqNullSafe(F.col(f"{_NEW}_doc_id_of")) & (F.col(f"{_NEW}_class") == F.col(f"{_NEW}_class_of"))
     met = met.join(known, same, "left")
-    single = met.where(F.col(_NEW).isNull())
-    # Repeated rows, of one id and one set, leave one: that of the least text hash.
+    stays, again = F.col(f"{_NEW}_stays_of"), F.col(f"{_NEW}_again_of")
+    out = apart.unionByName(met.where(stays.isNull() | (stays & ~again)).select(*docs.columns))
+    if not ids.seen["again"]:
+        return out
+    # Only repeated rows are told apart by more than their id and set.
     one = F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias(_NEW)
-    first = met.where(F.col(_NEW)).groupBy(f"{_NEW}_id", f"{_NEW}_class").agg(one).select(f"{_NEW}.*")
-    return apart.unionByName(single.select(*docs.columns)).unionByName(first)
+    first = met.where(stays & again).groupBy(f"{_NEW}_id", f"{_NEW}_class").agg(one).select(f"{_NEW}.*")
+    return out.unionByName(first)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item to speak of."""
+    """Documents that hold no benchmark item to speak of; null and empty texts have no words and stay.
+
+    Without items, or without documents, nothing goes. Rows of equal text are judged alike; all columns stay as they are.
+    """
     ship_package(spark)
     found = decontaminate.plan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     checked = decontaminate.with_hits(docs, found, into=_NEW)
@@ -62,7 +72,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row per pass, none for those it leaves out."""
+    """Documents as often as the mix takes them: a row per pass, none for those it leaves out.
+
+    Null is a source like others, the last. Null and empty texts cost nothing and stay once. Equal rows are taken alike. An empty
+    table gives an empty one; all columns stay as they are.
+    """
     ship_package(spark)
     members, size = F.array(F.col("source")), mixing.words(F.col("text"))
     decided = mixing.plan(docs, members, size)
@@ -97,6 +111,11 @@ STAGES: list[tuple[str, Stage]] = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    earlier = None
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}").table
+        with staging_scope(spark):  # what a stage writes on the way goes with it
+            written = stage(apply(spark, docs, sf_dir), f"pipeline-{name}", outlives=True)
+        if earlier:
+            discard(spark, earlier)
+        docs, earlier = written.table, written.path
     return STAGES[-1][1](spark, docs, sf_dir)
