@@ -8,7 +8,10 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+# Batches that go to Python are cut by bytes: cut by rows alone, long texts make batches of any size.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 SETTINGS = {
+    _BATCH_BYTES: "8m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -32,10 +35,12 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application.
+    """Make this package importable in Python workers, once per application, and bound the batches they get.
 
-    A cluster submit may pass the package with ``--py-files`` instead.
+    A cluster submit may pass the package with ``--py-files`` instead. A bound that the session has set stays.
     """
+    if _BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(_BATCH_BYTES, SETTINGS[_BATCH_BYTES])
     application = spark.sparkContext.applicationId
     if application in _SHIPPED:
         return
