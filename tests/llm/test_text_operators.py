@@ -225,3 +225,27 @@ def test_hits_of_hard_texts(spark, documents, no_documents, block):
 def test_rarest_word_is_the_key():
     index = decontaminate._index([("a", [5, 7, 9])], {5: 10, 7: 1, 9: 4})
     assert index.keys.tolist() == [7] and index.offset.tolist() == [1]
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """An id of very many texts and a row that repeats very often take no more room than others; one pass for many labels."""
+    rows = [(1, f"text {i}", "a") for i in range(500)] + [(2, "the same", "a")] * 500 + [(None, None, "b"), (3, "x", "b"), (3, "x", "c")]
+    rows += [(10 + i, "one", f"l{i}") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in sample.first_rows(table.repartition(5), "lang", 20).collect()]
+    assert sorted(got, key=str) == sorted((tuple(r) for r in sample.first_rows(table, "lang", 20).collect()), key=str)
+    counts = {}
+    for label, place, _ in got:
+        counts.setdefault(label, []).append(place)
+    assert len(counts["a"]) == len(set(counts["a"])) == 20 and len(counts["b"]) == 2 and len(counts["c"]) == 1 and len(counts) == 303
+    assert sum(text == "the same" for _, _, text in got) <= 1
+
+
+def test_learning_from_one_id_of_many_rows(spark):
+    texts = [("le chat et la souris " * 3, "fr"), ("the cat and the mouse " * 3, "en")]
+    rows = [(1, f"{texts[i % 2][0]} {i}", texts[i % 2][1]) for i in range(400)] + [(5, *texts[0])] * 300
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(table, 100).collect()
+    assert collections.Counter(r.lang_pred for r in found) == {"fr": 500, "en": 200}
+    labels = spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")
+    assert quality_classifier.classify(table, labels, per_label=50).count() == len(rows)

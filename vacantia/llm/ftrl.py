@@ -56,12 +56,12 @@ def learn(z: np.ndarray, n: np.ndarray, at: np.ndarray, x: np.ndarray, label: in
 def train(rows: DataFrame, size: int, classes: int, penalties: Penalties, rounds: int = ROUNDS) -> np.ndarray:
     """Weights ``(size, classes)`` from rows of (shard, place, label, at array<int>, x array<float>).
 
-    ``rows`` should be a written table. Rows are taken in the order of ``place`` within a
+    ``rows`` should be a written table. Rows are taken in the order of ``place`` and label within a
     shard. Without rows all weights are zero.
     """
     spark = rows.sparkSession
     z, n = np.zeros((size, classes), np.float64), np.zeros((size, classes), np.float64)
-    dealt = rows.select("shard", "place", "label", "at", "x").repartition(SHARDS, "shard").sortWithinPartitions("shard", "place")
+    dealt = rows.select("shard", "place", "label", "at", "x").repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "label")
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
 

@@ -30,7 +30,7 @@ from vacantia.staging import stage
 BITS = 15
 SIZE = 1 << BITS
 LONGEST = 3
-# At most so many documents of each language are learned from; every fifth only calibrates.
+# At most so many rows of each language are learned from, equal ones counting once; every fifth only calibrates.
 SAMPLE_PER_LANGUAGE = 2000
 CALIBRATION_SHARE = 5
 # More distinct values than this are not languages, and the model would not fit a broadcast.
@@ -144,13 +144,11 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     idf = np.log((1 + documents) / (1 + frequency)) + 1
     if not names:
         return Model([], idf, np.zeros((SIZE + 1, 0)), 1.0)
-    chosen = sample.first_by_hash(known.select("doc_id", "lang"), "lang", names, per_language, "doc_id", "lang").distinct()
-    place = F.xxhash64(F.lit("place"), "doc_id")
     number = {name: i for i, name in enumerate(names)}
-    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select(  # per_language ids of each language at most
-        F.pmod(F.xxhash64("doc_id"), F.lit(ftrl.SHARDS)).cast("int").alias("shard"),
-        place.alias("place"),
-        (F.pmod(place, F.lit(CALIBRATION_SHARE)) == 0).alias("calibrates"),
+    texts = sample.first_rows(known, "lang", per_language).select(
+        F.pmod("place", F.lit(ftrl.SHARDS)).cast("int").alias("shard"),
+        "place",
+        (F.pmod("place", F.lit(CALIBRATION_SHARE)) == 0).alias("calibrates"),
         "lang",
         "text",
     )

@@ -80,7 +80,7 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> np.ndarray:
     """Weights per coordinate, the bias last: towards label 1 if positive.
 
-    Only ids outside the held-out fold are learned from, ``per_label`` of each label at most.
+    Only ids outside the held-out fold are learned from, ``per_label`` ids and as many rows of each label at most.
     """
     marked = (
         labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("label"))
@@ -90,12 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     )
     # Labels may name ids that no longer have a document, so twice as many are not needed: those are few.
     chosen = sample.first_by_hash(marked, "label", [0, 1], per_label, "doc_id")
-    place = F.xxhash64(F.lit("place"), "doc_id")
-    texts = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")  # 2 * per_label narrow rows at most
-        .select(F.pmod(F.xxhash64("doc_id"), F.lit(ftrl.SHARDS)).cast("int").alias("shard"), place.alias("place"), "label", "text")
-    )
+    of_ids = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_label narrow rows at most
+    # An id may stand for any number of rows; the sample is bounded by rows.
+    shard = F.pmod("place", F.lit(ftrl.SHARDS)).cast("int")
+    texts = sample.first_rows(of_ids, "label", per_label).select(shard.alias("shard"), "place", "label", "text")
     rows = stage(texts.mapInArrow(_sparse_rows, "shard int, place long, label int, at array<int>, x array<float>"), "quality-sample")
     learned = ftrl.train(rows.table, SIZE + 1, 2, PENALTIES)
     return learned[:, 1] - learned[:, 0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HELD_OUT = 2
@@ -33,3 +33,16 @@ def first_by_hash(rows: DataFrame, label: str, labels: list, limit: int, *key: s
     order = F.xxhash64(*key)
     parts = [rows.where(F.col(label) == value).orderBy(order, *key).limit(limit) for value in labels]
     return reduce(DataFrame.unionByName, parts) if parts else rows.limit(0)
+
+
+def first_rows(rows: DataFrame, label: str, limit: int) -> DataFrame:
+    """(label, place, text): of each label ``limit`` rows at most, those of least hash of (doc_id, text).
+
+    Rows that repeat id and text count once, so an id or a row that repeats very often takes no more room than others, and
+    ``place``, the hash, tells the rows of a label apart. One narrow pass chooses, a second one picks the texts.
+    """
+    placed = rows.select(label, F.xxhash64("doc_id", "text").alias("place"), "text")
+    order = Window.partitionBy(label).orderBy("place")
+    chosen = placed.select(label, "place").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+    picked = placed.join(F.broadcast(chosen), [label, "place"])  # limit narrow rows of each label at most
+    return picked.groupBy(label, "place").agg(F.min("text").alias("text"))
