@@ -21,15 +21,18 @@ def ingest_pages(pages: DataFrame, max_results: int, request: str = "request_no"
     """
     per_page = min(V.PAGE_SIZE_LIMIT, max_results)
     last_page = -(-max_results // per_page) if max_results > 0 else 0
-    of_page = Window.partitionBy(request, "page").orderBy((F.col("status") == 200).desc_nulls_last(), F.desc("_size"), "_content")
+    copies = Window.partitionBy(request, "page")
+    of_page = copies.orderBy((F.col("status") == 200).desc_nulls_last(), F.desc("_size"), "_content")
     of_request = Window.partitionBy(request).orderBy("page")
     before = of_request.rowsBetween(Window.unboundedPreceding, -1)
     unread = F.coalesce((F.col("status") != 200) | (F.col("_size") <= 0), F.lit(True)) | (F.col("page") != F.col("_place"))
     ends = unread | (F.col("_size") < per_page)
     return (
         pages.where(F.col("page").between(1, last_page))
-        .withColumns({"_size": F.coalesce(F.size("results"), F.lit(0)), "_content": F.xxhash64(F.to_json("results"))})
+        .withColumn("_size", F.coalesce(F.size("results"), F.lit(0)))
         .repartition(request)
+        # Only pages that landed more than once are told apart by content.
+        .withColumn("_content", F.when(F.count(F.lit(1)).over(copies) > 1, F.xxhash64(F.to_json("results"))))
         .withColumn("_copy", F.row_number().over(of_page))
         .where(F.col("_copy") == 1)
         .withColumn("_place", F.row_number().over(of_request))
