@@ -350,30 +350,24 @@ def _split(table: np.ndarray) -> np.ndarray:
     return out[np.argsort(out[:, 0], kind="stable")]
 
 
-def _bloom(ids: DataFrame, key: str) -> np.ndarray:
-    """A bit per slot that some id falls into; 2 ** _BLOOM_BITS bits whatever the number of ids."""
-    slot = F.pmod(F.xxhash64(key), F.lit(1 << _BLOOM_BITS))
-    bit = F.expr(f"shiftleft(1L, int(pmod(xxhash64(`{key}`), {1 << _BLOOM_BITS}) & 63))")
-    words = ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    out = np.zeros(1 << (_BLOOM_BITS - 6), np.int64)
-    for row in words.collect():
-        out[row["word"]] = row["bits"]
-    return out.view(np.uint64)
-
+def with_maybe(rows: DataFrame, ids: DataFrame, into: str, key: str = "doc_id") -> DataFrame:
+    """``rows`` with a flag that is true for every ``key`` of ``ids`` and for few others; what it lets through still has to be joined.
 
-def may_be_in(docs: DataFrame, ids: DataFrame, key: str = "doc_id"):
-    """A condition on ``key`` that holds for every one of ``ids`` and for few others.
-
-    It needs no shuffle of the documents and a broadcast of fixed size; what passes still has to be joined.
+    The flag comes from a table of 2 ** _BLOOM_BITS bits, whatever the number of ids, that is broadcast: no row moves, and no text goes
+    to a Python worker for it.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids, key))
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << _BLOOM_BITS))
+    bit = F.expr(f"shiftleft(1L, int(pmod(xxhash64(`{key}`), {1 << _BLOOM_BITS}) & 63))")
+    words = ids.groupBy(F.shiftright(slot, 6).alias(f"{into}_word")).agg(F.bit_or(bit).alias(f"{into}_bits"))
+    words = stage(words, "jaccard-bits").table  # 2 ** (_BLOOM_BITS - 6) rows at most
+    met = rows.withColumn(f"{into}_at", F.shiftright(slot, 6)).join(F.broadcast(words), F.col(f"{into}_at") == F.col(f"{into}_word"), "left")
+    flag = F.coalesce(F.col(f"{into}_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return met.withColumn(into, flag).drop(f"{into}_at", f"{into}_word", f"{into}_bits")
 
-    @F.arrow_udf("boolean")
-    def test(slot: pa.Array) -> pa.Array:
-        at = slot.to_numpy(zero_copy_only=False).astype(np.uint64)
-        return pa.array(((bits.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool))
 
-    return test(F.pmod(F.xxhash64(key), F.lit(1 << _BLOOM_BITS)))
+def maybe_in(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose ``key`` may be in ``ids``."""
+    return with_maybe(rows, ids, "_maybe", key).where("_maybe").drop("_maybe")
 
 
 def _shingled(docs: DataFrame) -> DataFrame:
@@ -419,7 +413,7 @@ def _cells(regions: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, D
     asked = regions.join(stage(chosen, "jaccard-pivots").table, "region").select("region", "class", "members", F.explode("pivots").alias("pivot"))
     asked = stage(asked, "jaccard-asked").table
     pairs = asked.where(F.col("class") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    needed = sets.where(may_be_in(sets, regions.select("class"), "class"))
+    needed = maybe_in(sets, regions.select("class"), "class")
     known = stage(_distances(pairs, needed), "jaccard-distances").table
     measured = asked.join(known.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "distance"), ["pivot", "class"], "left")
     measured = measured.withColumn("distance", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
@@ -495,7 +489,7 @@ def _blocks(regions: DataFrame, sets: DataFrame) -> DataFrame:
         F.when(F.col("_few"), F.when(F.col("_out"), 2).otherwise(0))
         .when(F.col("_in") == F.col("_with"), 2).when(F.col("_in") < F.col("_with"), 0).otherwise(1)
     )
-    needed = sets.where(may_be_in(sets, regions.select("class"), "class"))
+    needed = maybe_in(sets, regions.select("class"), "class")
     rows = met.select(task.alias("task"), "class", "label", side.alias("side")).join(needed, "class")
 
     def run(table: pa.Table) -> pa.Table:
@@ -531,7 +525,7 @@ def link_classes(docs: DataFrame, frequent: np.ndarray, classes: DataFrame) -> D
     traits = stage(_traits(met, told, classes), "jaccard-traits").table
     regions = stage(_promising(met, traits), "jaccard-regions").table
     involved = stage(regions.select("class").distinct().join(classes.select("class", "doc_id", "size"), "class"), "jaccard-involved").table
-    near = docs.select("doc_id", "text").where(may_be_in(docs, involved.select("doc_id")))
+    near = maybe_in(docs.select("doc_id", "text"), involved.select("doc_id"))
     sets = stage(_shingled(near).join(involved.select("class"), "class", "left_semi").dropDuplicates(["class"]), "jaccard-sets").table
 
     near_pivot = regions.where(F.col("class") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
