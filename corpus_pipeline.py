@@ -44,9 +44,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     grouped = groups.join(shared.select("component", "first"), "component").groupBy("doc_id", "class", is_first.alias("stays"))
     ids = stage(grouped.agg((F.count(F.lit(1)) > 1).alias("again")), "pipeline-grouped", again=F.max(F.col("again") & F.col("stays")))
     # Rows without words are in no group and need no look-up.
-    maybe = jaccard.may_be_in(docs, ids.table) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    apart = docs.where(~maybe)
-    met = docs.where(maybe).withColumns({f"{_NEW}_id": F.col("doc_id"), f"{_NEW}_class": jaccard.class_of(F.col("text"))})
+    flagged = jaccard.with_maybe(docs, ids.table, f"{_NEW}_maybe")
+    maybe = F.col(f"{_NEW}_maybe") & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    apart = flagged.where(~maybe).select(*docs.columns)
+    met = flagged.where(maybe).select(*docs.columns).withColumns({f"{_NEW}_id": F.col("doc_id"), f"{_NEW}_class": jaccard.class_of(F.col("text"))})
     known = ids.table.select(*(F.col(c).alias(f"{_NEW}_{c}_of") for c in ("doc_id", "class", "stays", "again")))
     same = F.col(f"{_NEW}_id").eqNullSafe(F.col(f"{_NEW}_doc_id_of")) & (F.col(f"{_NEW}_class") == F.col(f"{_NEW}_class_of"))
     met = met.join(known, same, "left")
