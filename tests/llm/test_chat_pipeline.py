@@ -182,3 +182,46 @@ def test_run_leaves_only_the_last_stage(spark, small):
     assert rows.count() > 0
     left = {path.rpartition("/")[2].rpartition("-")[0] for path in set(glob.glob(f"{shared_folder(spark)}/vacantia/*")) - before}
     assert "pipeline-mix" in left and not left & {"pipeline-quality", "pipeline-near_duplicates", "pipeline-benchmark", "jaccard-groups", "jaccard-sets"}
+
+
+def linked_by_hand(rows):
+    """(conv_id, position, turn, kind, call_id, status) of (conv_id, turn, text, calls, answers) messages."""
+    events = []
+    for conv, turn, _, calls, answers in rows:
+        events.append((conv, turn, -1, "message" if answers is None else "result", answers))
+        events += [(conv, turn, i, "call", call[0]) for i, call in enumerate(calls or [])]
+    first = collections.defaultdict(dict)
+    for conv, turn, place, kind, name in events:
+        if kind != "message" and name is not None:
+            first[kind][conv, name] = min(first[kind].get((conv, name), (turn, place)), (turn, place))
+    told = collections.defaultdict(list)
+    for conv, turn, place, kind, name in events:
+        call, result = first["call"].get((conv, name)), first["result"].get((conv, name))
+        status, after = None, turn
+        if kind == "call":
+            status = "unanswered" if name is None else "repeated" if (turn, place) != call else "linked" if result else "unanswered"
+        elif kind == "result":
+            status = "orphan" if call is None else "repeated" if (turn, place) != result else "linked"
+            after = max(turn, call[0]) if call else turn
+        told[conv].append((after, {"call": 1, "result": 2}.get(kind, 0), turn, place, kind, name, status))
+    out = []
+    for conv, mine in told.items():
+        for position, (_, _, turn, _, kind, name, status) in enumerate(sorted(mine, key=lambda e: e[:4])):
+            out.append((conv, position, turn, kind, name, status))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_random_conversations(spark, seed):
+    """Against a plain version: repeated and missing calls and results, a null conversation, one that holds most messages."""
+    rng = random.Random(seed)
+    rows, turns = [], collections.Counter()
+    for _ in range(150):
+        conv = rng.choice(["hot"] * 5 + ["a", "b", None])
+        turns[conv] += 1
+        calls = [(rng.choice(["c1", "c2", "c3", "c4", None]), "reply", '{"prompt": "x"}') for _ in range(rng.choice([0, 0, 0, 1, 2]))]
+        rows.append((conv, turns[conv], f"text {turns[conv]}", calls or None, rng.choice([None, None, None, "c1", "c2", "c3", "c9"])))
+    messages = spark.createDataFrame(rows, f"conv_id string, turn long, text string, calls {chat.CALLS}, answers string").withColumn("role", F.lit("user"))
+    got = [(r.conv_id, r.position, r.turn, r.kind, r.call_id, r.status) for r in chat.link(messages.repartition(4), chat.REPLY).collect()]
+    assert sorted(got, key=str) == sorted(linked_by_hand(rows), key=str)
+    assert chat.link(messages.limit(0), chat.REPLY).collect() == []

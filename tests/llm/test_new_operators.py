@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import collections
 import hashlib
-import os
 import random
 import re
 
@@ -14,7 +13,6 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 from vacantia.llm import bloom, collocations, line_dedup, queries, whitening
 
 from .conftest import lower_ascii

@@ -128,7 +128,10 @@ def link(messages: DataFrame, schemas: dict[str, list[Field]]) -> DataFrame:
     owner = keyed.where((F.col("kind") == "call") & F.col("call_id").isNotNull()).groupBy("_conv", "call_id").agg(F.min(here).alias("_call"))
     answer = keyed.where(F.col("kind") == "result").groupBy("_conv", "call_id").agg(F.min(here).alias("_result"))
     pairs = owner.join(answer, ["_conv", "call_id"], "full")
-    linked = keyed.join(pairs, ["_conv", "call_id"], "left")
+    # Only calls and results meet by id; messages, of which one conversation may hold most, stay where they are.
+    meets = F.col("call_id").isNotNull()
+    nothing = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in ("_call", "_result")]
+    linked = keyed.where(meets).join(pairs, ["_conv", "call_id"], "left").unionByName(keyed.where(~meets).select("*", *nothing))
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     status = (
         F.when(is_call & F.col("call_id").isNull(), "unanswered")
