@@ -172,6 +172,7 @@ class OfferStore:
                 return version
             done = self.version_of(writer, batch)  # the same batch, run twice at a time
             if done is not None:
+                self._remove(folders)
                 return done
 
     def insert(
@@ -207,10 +208,12 @@ class OfferStore:
                     break
                 seen = newest
                 version = self._publish(writer, batch, seen, folders)
-                if version is None:
-                    version = self.version_of(writer, batch)  # the same batch, run twice at a time
                 if version is not None:
                     return version
+                done = self.version_of(writer, batch)  # the same batch, run twice at a time
+                if done is not None:
+                    self._remove(folders)
+                    return done
             self._remove(folders)
 
     def _remove(self, folders: dict[str, str]) -> None:
