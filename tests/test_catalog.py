@@ -33,3 +33,8 @@ def test_every_query_has_its_sql():
 
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_stream_reads_a_table_of_many_files(spark, small, duck, tmp_path):
+    spark.read.parquet(f"{small}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert oracle.compare(QUERIES["stream_ingest"](spark, str(tmp_path)), duck, ORACLES["stream_ingest"]) is None

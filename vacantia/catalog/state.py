@@ -396,11 +396,8 @@ def report_blocks(t: Tables) -> DataFrame:
 )
 def stream_ingest(t: Tables) -> DataFrame:
     """The documents as a file stream, through the stream's own store, to its current offers."""
-    landed = (
-        t.spark.readStream.schema(t["documents"].schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(t.folder)
-    )
+    # A file stream reads folders; as a pattern, the name stands for a table of one file as well as for a folder of many.
+    landed = t.spark.readStream.schema(t["documents"].schema).parquet(f"{t.folder}/documents.parque[t]")
 
     def to_candidates(batch: DataFrame) -> DataFrame:
         return _as_stored(batch.sparkSession.sql(SPARK_OFFERS, documents=batch))
