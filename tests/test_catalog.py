@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import glob
+
 import oracle
 import pytest
 
 import __spark_entry__ as contract
 from vacantia.catalog import registry
+from vacantia.staging import shared_folder
 
 # Queries of other folders have tests of their own.
 QUERIES = {name: run for name, run in contract.queries().items() if name in registry.QUERIES}
@@ -38,3 +41,12 @@ def test_entry_has_rows(spark):
 def test_stream_reads_a_table_of_many_files(spark, small, duck, tmp_path):
     spark.read.parquet(f"{small}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     assert oracle.compare(QUERIES["stream_ingest"](spark, str(tmp_path)), duck, ORACLES["stream_ingest"]) is None
+
+
+def test_stateful_stream_lands_no_part_through_one_task(spark, small, duck, tmp_path):
+    spark.read.parquet(f"{small}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    pattern = f"{shared_folder(spark)}/vacantia/stream-parts-*"
+    before = set(glob.glob(pattern))
+    assert oracle.compare(QUERIES["stream_stateful"](spark, str(tmp_path)), duck, ORACLES["stream_stateful"]) is None
+    (landed,) = set(glob.glob(pattern)) - before
+    assert all(len(glob.glob(f"{landed}/part{part}/*.parquet")) == 3 for part in range(4))

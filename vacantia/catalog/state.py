@@ -419,21 +419,19 @@ _PARTS = 4
     ),
 )
 def stream_stateful(t: Tables) -> DataFrame:
-    """The documents in four files, one a batch; the second half is collected by a restarted query."""
+    """The documents in four parts of many files, each collected as one batch by a query that starts where the last one stopped."""
     folder = new_path(t.spark, "stream-parts")
     state = store.OfferStore(t.spark, new_path(t.spark, "stateful-store"))
     progress = new_path(t.spark, "stateful-progress")
     schema = t["documents"].schema
 
     def landed() -> DataFrame:
-        files = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
-        return files
+        return t.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
 
     def to_candidates(rows: DataFrame) -> DataFrame:
         return _as_stored(rows.sparkSession.sql(SPARK_OFFERS, documents=rows))
 
-    for half in range(2):
-        for part in range(half * _PARTS // 2, (half + 1) * _PARTS // 2):
-            t["documents"].where(F.col("doc_id") % _PARTS == part).coalesce(1).write.parquet(f"{folder}/part{part}")
+    for part in range(_PARTS):
+        t["documents"].where(F.col("doc_id") % _PARTS == part).write.parquet(f"{folder}/part{part}")
         catch_up(ingest_stateful(landed(), to_candidates, state, TERMS, progress, "documents"))
     return state.current().select("id", "url", "intitule", "statut")
