@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions.ids import arrival_order
 from vacantia.operators import admission, components, dedup, documents, filters, metrics, ranking
-from vacantia.sources import pages, readers, requests
+from vacantia.sources import landing, pages, readers, requests
 
 
 def plan_of(frame) -> str:
@@ -339,3 +339,18 @@ def test_admission_does_not_depend_on_blocks(spark, block_rows):
     frame = spark.createDataFrame(rows, SCHEMA)
     whole = sorted(r.seq for r in admission.admit(frame, most_rounds=1).offers.collect())
     assert sorted(r.seq for r in admission.admit(frame, most_rounds=1, block_rows=block_rows).offers.collect()) == whole
+
+
+def test_rank_by_long_texts_cuts_ranges_by_short_ones(spark, monkeypatch):
+    """Only what cuts the ranges is sampled for the driver; rows that agree in it are still in the order of all their content."""
+    long = "x" * 1000
+    rows = spark.createDataFrame([(0, None, None, f"{'a' if i % 2 else ''}{long}{i * 7 % 40:02d}", i) for i in range(40)], "epoch long, request_no long, position long, item string, _row long")
+    cuts = []
+
+    def spy(behind, *order, cut_by, **named):
+        cuts.append(behind.select(*[F.length(c.cast("string")).alias(f"c{i}") for i, c in enumerate(cut_by)]).agg(F.max(f"c{len(cut_by) - 1}")).first()[0])
+        return ranking.rank_rows(behind, *order, cut_by=cut_by, **named)
+
+    monkeypatch.setattr(landing, "rank_rows", spy)
+    got = [r["item"] for r in landing.one_per_place(rows).orderBy("position").collect()]
+    assert got == sorted(r["item"] for r in rows.collect()) and max(cuts) <= 256

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,9 +43,14 @@ class Ranges:
         return spark.read.schema(self.staged.table.schema).parquet(self.staged.path)
 
 
-def sort_ranges(rows: DataFrame, *order: Column | str) -> Ranges:
-    """Sort once and write; the counts are one row per sorted partition."""
-    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+def sort_ranges(rows: DataFrame, *order: Column | str, cut_by: Sequence[Column | str] = ()) -> Ranges:
+    """Sort once and write; the counts are one row per sorted partition.
+
+    The limits of the ranges come from sampled values that are sent to the driver. Where ``order`` holds long texts, ``cut_by`` names
+    narrow columns that never order two rows the other way; rows that are equal in them share a range.
+    """
+    ordered = rows.repartitionByRange(*cut_by).sortWithinPartitions(*order) if cut_by else rows.orderBy(*order)
+    placed = ordered.withColumn("_at", F.monotonically_increasing_id())
     staged = stage(placed, "ranked")
     sizes = staged.table.groupBy(F.shiftright("_at", _PLACE_BITS).cast("int").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     starts, before = {}, 0
@@ -54,15 +60,15 @@ def sort_ranges(rows: DataFrame, *order: Column | str) -> Ranges:
     return Ranges(staged, starts)
 
 
-def rank_rows(rows: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
+def rank_rows(rows: DataFrame, *order: Column | str, rank: str = "rank", cut_by: Sequence[Column | str] = ()) -> DataFrame:
     """Number rows 1..n in ``order``, which should end in a unique column.
 
     A global sort cuts the rows into ranges by the full order, so that even one score held
     by a third of the rows spreads over many tasks. The sorted table is written with each
     row's range and place; ranges are then counted, and a rank is the number of rows in
-    earlier ranges plus the place.
+    earlier ranges plus the place. ``cut_by`` is that of ``sort_ranges``.
     """
-    return sort_ranges(rows, *order).ranked(rank)
+    return sort_ranges(rows, *order, cut_by=cut_by).ranked(rank)
 
 
 def best_first(offers: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from vacantia.staging import Staged, stage
 
 _FOLDER = "epoch="
 _HELPERS = ("epoch", "_row")
+# Rows without a place are cut into ranges by this much of their content, and sorted by all of it.
+_CUT = 256
 
 
 def open_landing(spark: SparkSession, folder: str) -> str:
@@ -89,7 +91,7 @@ def one_per_place(landed: DataFrame) -> DataFrame:
     behind = landed.join(late.table, "_row", "left_semi").select("epoch", *place, *fields)
     text = F.to_json(F.struct(*fields))
     order = [F.col(c).asc_nulls_last() for c in ("epoch", *place)]
-    ranked = rank_rows(behind, *order, text, rank="_rank")
+    ranked = rank_rows(behind, *order, text, rank="_rank", cut_by=[*order, F.substring(text, 1, _CUT)])
     last = ranked.withColumns({"request_no": F.lit(UNPLACED_REQUEST).cast("bigint"), "position": F.col("_rank") - 1})
     return out.unionByName(last.select(*place, *fields))
 
