@@ -20,7 +20,7 @@ from vacantia.plans.sinks import DocumentSink
 from vacantia.plans.store import OfferStore, with_status_column
 from vacantia.schemas import OFFER_TEXTS, PAGE_A
 from vacantia.sources import readers
-from vacantia.staging import shared_folder
+from vacantia.staging import shared_folder, stage
 from vacantia.streaming.ingest import ingest_stream
 
 AS_OF = datetime(2024, 3, 5, 14, 7)
@@ -437,3 +437,30 @@ def test_two_streams_share_a_store(spark, tmp_path):
     for name in ("left", "right"):
         run_stream(spark, str(tmp_path / name), store, str(tmp_path / f"p-{name}"), name)
     assert sorted(r.id for r in store.current().collect()) == ["left", "right"]
+
+
+# --- how much a run writes ---------------------------------------------------------------------
+
+
+def test_record_made_from_columns_is_the_record(spark):
+    row = {"title": "t é", "company": None, "location": "l", "description": "d \"q\"\n", "job_url": "https://x/1", "date_posted": "2024"}
+    rows = spark.createDataFrame([{**dict.fromkeys(readers.RAW_C.fieldNames(), ""), **row}], readers.RAW_C)
+    stored = readers.external_to_stored(readers.union_external(readers.read_c(rows)))
+    assert readers.with_external_json(stored.drop("raw_json"), "indeed").first()["raw_json"] == stored.first()["raw_json"]
+    items = spark.createDataFrame([(json.dumps({"id": "7", "intitule": "t", "entreprise": {"nom": "e"}, "salaireTexte": "s", "typeContrat": "c"}),)], "item string")
+    stored = readers.external_to_stored(readers.union_external(readers.read_b(items)))
+    assert readers.with_external_json(stored.drop("raw_json"), "apec").first()["raw_json"] == stored.first()["raw_json"]
+
+
+def test_offers_do_not_move_to_meet_empty_tables(spark, tmp_path):
+    store = OfferStore(spark, str(tmp_path))
+    rows = spark.range(3).select(*[F.col("id").cast("string").alias(c) for c in OFFER_TEXTS], F.lit("2024-01-01").cast("timestamp").alias("collected_at"))
+    store.insert("w", 1, lambda keys_for: rows)
+    plan = store.current()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ExistingRDD" not in plan
+    assert store.current().count() == 3
+
+
+def test_written_tables_are_packed_tightly(spark):
+    staged = stage(spark.range(1), "packed")
+    assert all(path.endswith(".zstd.parquet") for path in glob.glob(f"{staged.path}/*.parquet"))

@@ -33,6 +33,7 @@ from vacantia.sources.readers import (
     read_b,
     read_c,
     union_external,
+    with_external_json,
 )
 from vacantia.staging import Staged, stage, staging_scope
 
@@ -101,6 +102,7 @@ def collect(spark: SparkSession, landing: Landing, config: Config) -> tuple[Data
     """Typed offers of all sources that can be read, each written once, and how reading went.
 
     Every landed row counts: limits on number and age are part of a request, not of its answer. Landed text is parsed once.
+    The record of sources B and C is not written, as the other columns hold all of it.
     """
 
     def from_a() -> tuple[DataFrame, int]:
@@ -109,14 +111,17 @@ def collect(spark: SparkSession, landing: Landing, config: Config) -> tuple[Data
 
     def from_b() -> tuple[DataFrame, int]:
         landed, broken = land(read_landed(spark, landing.items_b, ITEM_B), "apec")
-        return typed_external(read_b(_ordered(landed.table, "apec")), config), broken
+        return typed_external(read_b(_ordered(landed.table, "apec")), config).drop("raw_json"), broken
 
     def from_c() -> tuple[DataFrame, int]:
         landed, broken = land(read_landed(spark, landing.rows_c, ROW_C), "indeed")
-        return typed_external(read_c(_ordered(landed.table, "indeed"), keep=("seq",)), config), broken
+        return typed_external(read_c(_ordered(landed.table, "indeed"), keep=("seq",)), config).drop("raw_json"), broken
 
     sources = [("adzuna", landing.pages_a, from_a), ("apec", landing.items_b, from_b), ("indeed", landing.rows_c, from_c)]
     got = read_available({name: reader for name, path, reader in sources if path})
+    for name in ("apec", "indeed"):
+        if name in got.tables:
+            got.tables[name] = with_external_json(got.tables[name], name)
     return (reduce(DataFrame.unionByName, got.tables.values()) if got.tables else None), got
 
 

@@ -26,6 +26,7 @@ from vacantia import schemas
 from vacantia.functions.labels import status_or_default
 from vacantia.plans.commits import CommitLog
 from vacantia.plans.index import BUCKETS, KeyIndex, read_bucketed, write_bucketed
+from vacantia.staging import CODEC
 
 _KEYS = T.StructType([T.StructField("id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("version", T.LongType())])
 # ``keys`` and ``gone`` are the changes of the set of living keys: what each version added, and what it took away.
@@ -146,7 +147,8 @@ class OfferStore:
         for table, rows in tables.items():
             fields = [f for f in TABLES[table] if f.name != "version" or table in _OWN_VERSION]
             folder = f"_new-{uuid.uuid4().hex}"
-            rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.parquet(f"{self.root}/{table}/{folder}")
+            out = rows.select(*[F.col(f.name).cast(f.dataType) for f in fields])
+            out.write.option("compression", CODEC).parquet(f"{self.root}/{table}/{folder}")
             folders[table] = folder
         return folders
 
@@ -235,7 +237,8 @@ class OfferStore:
         self.last()
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return self.spark.createDataFrame([], TABLES[table])
+            # Known to be empty when a join is planned, so that nothing is shuffled to meet it.
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
         fields = [f for f in TABLES[table] if f.name != "version" or table in _OWN_VERSION]
         rows = self.spark.read.schema(T.StructType([*fields, T.StructField(_BATCH, T.LongType())])).parquet(f"{self.root}/{table}")
         for limit, at in ((F.col(_BATCH) < before, before), (F.col(_BATCH) == only, only), (F.col(_BATCH) > after, after)):

@@ -222,6 +222,18 @@ def external_to_stored(offers: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     )
 
 
+_STORED_AS = {
+    "titre": "intitule", "entreprise": "entreprise_nom", "localisation": "lieu_travail",
+    "date_publication": "date_creation", "salaire": "salaire_libelle",
+}
+
+
+def with_external_json(stored: DataFrame, source: str) -> DataFrame:
+    """Stored offers of source B or C with ``raw_json`` made from their columns, so that it need not be written beside them."""
+    fields = [(F.lit(source) if c == "source" else F.col(_STORED_AS.get(c, c))).alias(c) for c in EXTERNAL.fieldNames()]
+    return stored.withColumn("raw_json", raw_json(*fields))
+
+
 @dataclass(frozen=True)
 class Collected:
     """What each source gave: written tables, the errors of the sources that failed, and how many of its lines were broken."""
