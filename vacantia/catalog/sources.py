@@ -94,9 +94,12 @@ def _pages(t: Tables) -> DataFrame:
     first = _landed_once(t)
     gap = F.when((F.col("request_no") % 5 == 0) & (F.col("page") >= 2), F.col("page") + 1).otherwise(F.col("page"))
     first = first.withColumn("page", gap)
-    again = first.where(F.col("request_no") % 3 == 0)
-    failed = again.withColumns({"status": F.lit(500), "results": F.slice("results", 1, 1)})
-    return first.unionByName(failed).unionByName(again.where(F.col("page") % 2 == 1))
+    copies = F.when(F.col("request_no") % 3 != 0, F.array(F.lit("first"))).when(F.col("page") % 2 == 1, F.array(*map(F.lit, ("first", "failed", "again"))))
+    copied = first.withColumn("copy", F.explode(F.coalesce(copies, F.array(*map(F.lit, ("first", "failed"))))))
+    failed = F.col("copy") == "failed"
+    return copied.withColumns(
+        {"status": F.when(failed, 500).otherwise(F.col("status")), "results": F.when(failed, F.slice("results", 1, 1)).otherwise(F.col("results"))}
+    ).drop("copy")
 
 
 def _landed_once(t: Tables) -> DataFrame:
