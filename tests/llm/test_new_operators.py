@@ -115,6 +115,16 @@ def test_seen_filters(spark):
     assert not bloom.holds(twice, hashes[:150]).any() and not bloom.holds(once, rng.integers(0, 1 << 63, 300, dtype=np.uint64)).any()
 
 
+def test_packed_filter_sets_the_same_bits():
+    hashes = np.random.default_rng(3).integers(0, 1 << 63, 3000, dtype=np.uint64)
+    seen, packed = bloom.Seen(), bloom.Once()
+    for part in (hashes[:2000], hashes[1000:]):
+        seen.add(part)
+        packed.add(part)
+    assert np.array_equal(np.packbits(seen.once), packed.packed)
+    assert [b.to_pydict()["once"] for b in seen.slices()] == [b.to_pydict()["once"] for b in packed.slices()]
+
+
 def expected_phrases(rows, support, most):
     counts, total = collections.Counter(), collections.Counter()
     for lang, text in rows:
@@ -174,6 +184,55 @@ def test_collocations_of_fixture_and_empty_table(documents, no_documents):
     assert found_phrases(no_documents, 30, 2000) == []
 
 
+def rows_from_python(frame):
+    """The rows that the Python step of a plan makes."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    return plan.metrics().apply("pythonNumRowsReceived").value()
+
+
+def test_a_phrase_is_told_once_per_core(spark):
+    rng = random.Random(4)
+    words = ["the", "of", "new", "york", "é"]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(400)]
+    every = np.full(bloom.BITS // 8, 255, np.uint8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = collocations.named(spark.createDataFrame([("en", text) for text in texts], "lang string, text string"))
+        counts = {parts: collocations.count(rows.repartition(parts), every, 1) for parts in (8, 40)}
+        made = {parts: rows_from_python(frame) for parts, frame in counts.items()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    few, many = (sorted(map(tuple, frame.collect())) for frame in counts.values())
+    assert few == many
+    assert max(made.values()) <= len(few) * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("held", [1, 500, 5_000, 1 << 26])
+def test_counts_added_up_in_a_task(monkeypatch, held):
+    monkeypatch.setattr(collocations, "HELD_BYTES", held)
+    rng = random.Random(held)
+    wanted, given_in = collections.Counter(), []
+    for _ in range(60):
+        keys = [("en", size, f"{rng.randint(0, 9) if rng.random() < 0.5 else rng.randint(0, 999)}é") for size in (0, 1, 2) for _ in range(rng.randint(0, 9))]
+        counts = [rng.randint(1, 9) for _ in keys]
+        for key, n in zip(keys, counts):
+            wanted[key] += n
+        langs, sizes, phrases = zip(*keys) if keys else ((), (), ())
+        columns = [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())]
+        given_in.append(pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"]))
+    out = [row for batch in collocations.added_up(iter(given_in)) for row in zip(*batch.to_pydict().values())]
+    got = collections.Counter()
+    for *key, n in out:
+        got[tuple(key)] += n
+    assert got == wanted
+    assert len(out) <= sum(batch.num_rows for batch in given_in)
+    assert held < 1 << 26 or len(out) == len(wanted)
+    assert list(collocations.added_up(iter([]))) == []
+
+
 def test_scores_beyond_64_bits(spark):
     big = 10**13
     found = spark.createDataFrame([("en", 1, "a", big), ("en", 1, "b", big + 7), ("en", 2, "a b", big - 1)], "lang string, size int, phrase string, f long")

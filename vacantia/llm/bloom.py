@@ -52,6 +52,24 @@ class Seen:
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32()), "once": [blobs[0]], "twice": [blobs[1]]})
 
 
+class Once:
+    """The filter of one task where a second sight does not matter, in BITS / 8 bytes."""
+
+    def __init__(self) -> None:
+        self.packed = np.zeros(BITS // 8, np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for at in places(hashes):
+            np.bitwise_or.at(self.packed, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+
+    def slices(self) -> Iterator[pa.RecordBatch]:
+        step = SLICE // 8
+        for number in range(BITS // SLICE):
+            part = self.packed[number * step : (number + 1) * step]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32()), "once": [part.tobytes()], "twice": [bytes(step)]})
+
+
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, once, twice = None, None, None
 

@@ -12,7 +12,10 @@ support over the number of parts. So:
 3. All documents are read again and the candidates that are left are counted exactly, by their words. A Bloom filter of fixed
    size keeps other phrases from the shuffle; those that slip through are not frequent and fall out.
 
-The number of parts is fixed, so the lowered support, and what is sent for a given amount of text, is the same at every size.
+Steps that look at few, recurring phrases (3, and 1 from three words on) are read by one task per core, which adds up the counts of its
+chunks: a phrase is sent once and not once per chunk. Of more counts than ``HELD_BYTES`` hold, the rarer half is sent early.
+
+The number of parts is fixed, so the lowered support is the same at every size.
 A Bloom filter that fills up, or two phrases with one hash, only make more candidates.
 
 Scores compare a phrase's count with those of its two parts at the worst cut, in whole numbers of up to 38 digits.
@@ -29,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +44,9 @@ SUPPORT = 100
 LONGEST = 5
 MOST = 2000
 PARTS = 4
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 2 << 20
+HELD_BYTES = 64 << 20
+_SENT_ROWS = 1 << 16
 UNKNOWN = "und"
 _SALTS = 32
 
@@ -197,6 +203,45 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield chunk
 
 
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same counts in fewer rows: those that differ in ``n`` alone, the last column, become one.
+
+    What is held may double before it is added up again. When ``HELD_BYTES`` are reached that way, the rarer half of the rows leaves: a
+    phrase that is common here is likely to come again.
+    """
+    held, size, limit = [], 0, HELD_BYTES // 16
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            whole = _summed(held)
+            if whole.nbytes > HELD_BYTES // 2:
+                common = pc.greater(whole["n"], float(np.median(whole["n"])))
+                yield from whole.filter(pc.invert(common)).to_batches(_SENT_ROWS)
+                whole = whole.filter(common)
+            held, size = whole.to_batches(), whole.nbytes
+            limit = max(HELD_BYTES // 16, 2 * size)
+            del whole
+            pa.default_memory_pool().release_unused()
+    if held:
+        yield from _summed(held).to_batches(_SENT_ROWS)
+
+
+def _summed(batches: list[pa.RecordBatch]) -> pa.Table:
+    *keys, n = batches[0].schema.names
+    sums = pa.Table.from_batches(batches).group_by(keys, use_threads=False).aggregate([(n, "sum")])
+    return sums.select([*keys, f"{n}_sum"]).rename_columns([*keys, n])
+
+
+def per_core(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over the rows by one task per core, its counts added up in the task: a row per core and phrase, if the counts can be held."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from added_up(run(batches))
+
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(summed, schema)
+
+
 def mine(rows: DataFrame, size: int, known: np.ndarray | None, least: int) -> DataFrame:
     """(key, n): the phrases of ``size`` words that occur ``least`` times in some part, as marked hashes with their counts there."""
     shared = None if known is None else rows.sparkSession.sparkContext.broadcast(known)  # bloom.BITS / 8 bytes
@@ -204,9 +249,11 @@ def mine(rows: DataFrame, size: int, known: np.ndarray | None, least: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             key, count = chunk.part_counts(size, None if shared is None else shared.value)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(count.astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(count)})
 
-    found = rows.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # Most phrases of one or two words are rare, so holding them would save little.
+    told = per_core(rows, run, "key long, n long") if size > 2 else rows.mapInArrow(run, "key long, n long")
+    found = told.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     out = stage(found, f"phrases-{size}").table
     if shared is not None:
         shared.unpersist()
@@ -225,7 +272,7 @@ def _filter(wanted: DataFrame, column: str) -> np.ndarray:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None
         for batch in batches:
-            seen = seen or bloom.Seen()
+            seen = seen or bloom.Once()
             seen.add(mixed(batch[column].to_numpy(zero_copy_only=False).view(np.uint64)))
         if seen is not None:
             yield from seen.slices()
@@ -249,7 +296,7 @@ def count(rows: DataFrame, known: np.ndarray, support: int) -> DataFrame:
             for size, place, n in chunk.grow(lambda h: bloom.holds(shared.value, mixed(h))):
                 yield _counted(langs.take(pa.array(chunk.lang[place].astype(np.int64))), size, chunk.phrases(place, size), n)
 
-    told = rows.mapInArrow(run, "lang string, size int, phrase string, n long")
+    told = per_core(rows, run, "lang string, size int, phrase string, n long")
     summed = told.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
     return summed.where((F.col("f") >= support) | (F.col("size") == 0))
 
