@@ -134,3 +134,48 @@ def test_bloom_condition_keeps_every_id(spark):
     kept = docs.unionByName(spark.sql("select cast(null as long) as doc_id"))
     kept = jaccard.maybe_in(kept, ids).collect()
     assert {r.doc_id for r in ids.collect()} <= {r.doc_id for r in kept} and len(kept) < 900
+
+
+def test_documents_that_meet_by_chance_are_no_family(spark, monkeypatch):
+    """Each document shares two thirds with the next: all hang together by shingles, none link, and none is compared pair by pair."""
+    words = [f"w{i}" for i in range(1000)]
+    rows = [(i, " ".join(words[i * 20 : i * 20 + 60])) for i in range(45)]
+    compared = []
+
+    def counted(regions, sets, blocks=jaccard._blocks):
+        compared.append(regions.count())
+        return blocks(regions, sets)
+
+    monkeypatch.setattr(jaccard, "_blocks", counted)
+    assert got(spark.createDataFrame(rows, SCHEMA)) == expected(rows)
+    assert sum(compared) == 0
+
+
+def test_regions_of_the_same_members_are_one():
+    """Whatever shingle they meet by."""
+    members = np.array([[8, 3], [9, -4], [7, 12]])
+    table = np.concatenate([np.column_stack((np.full(3, region), members[:, 1], np.full((3, 9), 5))) for region in (-7, 2, 40)])
+    table = np.concatenate((table, [[50, *row] for row in table[:2, 1:]]))
+    out = jaccard._split(table)
+    assert sorted(map(len, (out[out[:, 0] == region] for region in np.unique(out[:, 0])))) == [2, 9]
+    assert set(out[:, 1]) == {3, -4, 12}
+
+
+def test_sketches_never_rule_out_a_link():
+    """The bound on the overlap is at least the overlap, also where a range holds more shingles than a sketch counts."""
+    rng = np.random.default_rng(5)
+    linked = 0
+    for i in range(400):
+        top = 64 if i % 2 else 55  # few ranges of many shingles, or all of them
+        draw = lambda n: rng.integers(0, 1 << top, n, dtype=np.uint64)  # noqa: E731, B023
+        shared = draw(rng.integers(1, 900))
+        sets = [np.unique(np.concatenate((shared, draw(rng.integers(0, len(shared) // 4 + 2))))) for _ in range(2)]
+        sketches = np.stack([jaccard._sketch(s) for s in sets])
+        common, sizes = len(np.intersect1d(*sets)), np.array([len(s) for s in sets])
+        room = jaccard._room(sizes, sketches, np.array([0]), np.array([1]))[0]
+        if 100 * common >= 75 * (sizes.sum() - common):
+            linked += 1
+            assert room
+    assert linked > 100
+    apart = [np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64)) for _ in range(2)]
+    assert not jaccard._room(np.array([400, 400]), np.stack([jaccard._sketch(s) for s in apart]), np.array([0]), np.array([1]))[0]

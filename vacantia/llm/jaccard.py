@@ -9,14 +9,16 @@ recursively:
    the document is replicated into the regions of that many of its next rarest shingles. Any two linked
    documents therefore meet in the region of the rarest shingle they share. Regions of one document end here, and
    a member whose size and shared regions rule out every other member leaves its region.
-2. Every region takes a document as its pivot and measures its members' distances. Members within ``EPSILON`` are linked
-   to the pivot and need not be compared with each other, as they already are one component. Regions that hang together by their
-   members then count as one, so that a group of copies is not worked through once for each of its shingles.
+2. Regions of the same members are one. Every region takes a document as its pivot and measures its members' distances. Members
+   within ``EPSILON`` are linked to the pivot and need not be compared with each other, as they already are one component. Of members
+   of different components those go on whose sketches, counts of their shingles by ``BUCKETS`` ranges of the hash, leave room for a link. What
+   hangs together by such pairs is a family and counts as one region, so that a group of copies is not worked through once for each of its
+   shingles, and documents that meet by chance do not grow into one family that holds a part of the corpus.
 3. A large region whose members are not all one component takes several pivots and is cut into Voronoi cells. A
    member also goes into the cell of another pivot if it is at most ``2 * EPSILON`` further from it than from its own: by the
    triangle inequality no link is lost. Cells are regions again, down to ``DEPTH``.
 4. What is small, or what pivots no longer cut, is compared pair by pair, block against block of ``BLOCK`` members,
-   skipping pairs of one component, with exact overlaps from a matrix product.
+   skipping pairs of one component, with exact overlaps from a matrix product. Members of the largest component only meet the others.
 
 Exact copies are one class with one representative. Links between classes are exact: overlaps are counted on
 the sets of 64-bit shingle hashes. Only links that join components are kept, never all pairs of a group.
@@ -33,7 +35,7 @@ Other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,7 @@ BLOCK = 128
 PIVOTS = 4
 DEPTH = 1
 LARGE = 1024
+BUCKETS = 256
 # A shingle that is not frequent and whose hash is among this part of all hashes is low.
 _LOW_SHARE = 0.2
 _LOW = np.uint64(int(_LOW_SHARE * 2**64))
@@ -271,7 +274,7 @@ def _promising(met: DataFrame, traits: DataFrame) -> DataFrame:
     A region falls apart into the components of its possible links. This drops documents that meet by a chance phrase or a
     common passage before any set is read, and keeps groups that meet by chance apart. The pivot is the member
     that shares most of itself, as the least edited copy of a text does. Regions of more than ``LARGE`` members stay whole, with
-    the best pivot among the first of them.
+    the best pivot among the first of them. Regions fallen apart are numbered by their members, so those of the same members are one.
     """
     columns = ["region", "class", *_NUMBERS, *_BITS, "shared"]
     rows = met.join(traits, "class").select(*columns)
@@ -298,7 +301,7 @@ def _promising(met: DataFrame, traits: DataFrame) -> DataFrame:
         if len(held):
             yield _members(_split(held))
 
-    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, class long, pivot long")
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, class long, pivot long").distinct()
 
 
 def _pivots(table: np.ndarray) -> np.ndarray:
@@ -318,23 +321,38 @@ def _members(table: np.ndarray, pivot: int | None = None) -> pa.RecordBatch:
 def _split(table: np.ndarray) -> np.ndarray:
     """Rows (region, class, numbers, bits, shared), sorted by region, that have a possible partner in their region.
 
-    The region becomes a number for the component of possible links within it; the result is sorted by that.
+    The region becomes a number for the members of the component of possible links within it; the result is sorted by that. Should two
+    components get one number, they count as one region, which loses no pair.
     """
     if not len(table):
         return table
-    end = np.searchsorted(table[:, 0], table[:, 0], "right")
     traits = {name: table[:, 2 + i] for i, name in enumerate(_NUMBERS)}
     traits["bits"] = np.ascontiguousarray(table[:, 2 + len(_NUMBERS) : 2 + len(_NUMBERS) + len(_BITS)]).view(np.uint64)
-    first, step = np.arange(len(table)), 1
+
+    def fits(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return _may_link({**{k: v[one] for k, v in traits.items()}, **_IN_NUMPY}, {k: v[other] for k, v in traits.items()})
+
+    label, alive = _joined(table[:, 0], fits)
+    named = np.zeros(len(table), np.uint64)
+    np.add.at(named, label, mixed(mixed(table[:, 1].view(np.uint64)) + np.uint64(1)))
+    out = table[alive].copy()
+    out[:, 0] = mixed(named[label[alive]]).view(np.int64)
+    return out[np.lexsort((out[:, 1], out[:, 0]))]
+
+
+def _joined(region: np.ndarray, fits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by region: the first row that each hangs together with by the pairs within a region that ``fits`` accepts, and whether it is in such a pair."""
+    end = np.searchsorted(region, region, "right")
+    first, step = np.arange(len(region)), 1
     ones, others = [], []
     while len(first := first[first + step < end[first]]):
         other = first + step
-        fits = _may_link({**{k: v[first] for k, v in traits.items()}, **_IN_NUMPY}, {k: v[other] for k, v in traits.items()})
-        ones.append(first[fits])
-        others.append(other[fits])
+        good = fits(first, other)
+        ones.append(first[good])
+        others.append(other[good])
         step += 1
     one, other = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, others))
-    label = np.arange(len(table))
+    label = np.arange(len(region))
     while True:
         before = label.copy()
         np.minimum.at(label, one, label[other])
@@ -342,12 +360,9 @@ def _split(table: np.ndarray) -> np.ndarray:
         label = label[label]
         if (label == before).all():
             break
-    alive = np.zeros(len(table), bool)
+    alive = np.zeros(len(region), bool)
     alive[one] = alive[other] = True
-    out = table[alive].copy()
-    root = table[label[alive], 1]
-    out[:, 0] = mixed(out[:, 0].view(np.uint64) * np.uint64(3) + root.view(np.uint64)).view(np.int64)
-    return out[np.argsort(out[:, 0], kind="stable")]
+    return label, alive
 
 
 def with_maybe(rows: DataFrame, ids: DataFrame, into: str, key: str = "doc_id") -> DataFrame:
@@ -370,18 +385,43 @@ def maybe_in(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return with_maybe(rows, ids, "_maybe", key).where("_maybe").drop("_maybe")
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """How many of the shingles are in each of ``BUCKETS`` ranges of the hash, 255 at most."""
+    bucket = (shingles.view(np.uint64) >> np.uint64(32)) * np.uint64(BUCKETS) >> np.uint64(32)
+    return np.minimum(np.bincount(bucket.astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+
+
+def _room(sizes: np.ndarray, sketches: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Do the sketches of rows ``one`` and ``other`` leave room for the overlap that their sizes ask for?
+
+    What both have in a range is at most the smaller count; what the counts do not tell of a set, being cut at 255, is granted.
+    """
+    out = np.zeros(len(one), bool)
+    x, y = sizes[one], sizes[other]
+    sized = np.flatnonzero(100 * np.minimum(x, y) >= SIMILAR * np.maximum(x, y))
+    for begin in range(0, len(sized), 1 << 14):
+        at = sized[begin : begin + (1 << 14)]
+        mine, its = sketches[one[at]], sketches[other[at]]
+        untold = np.minimum(x[at] - mine.sum(axis=1, dtype=np.int64), y[at] - its.sum(axis=1, dtype=np.int64))
+        overlap = np.minimum(mine, its).sum(axis=1, dtype=np.int64) + untold
+        out[at] = (100 + SIMILAR) * overlap >= SIMILAR * (x[at] + y[at])
+    return out
+
+
 def _shingled(docs: DataFrame) -> DataFrame:
-    """(class, shingles) per document."""
+    """(class, shingles, size, sketch) per document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, sets = [], []
+            classes, sets, sketches = [], [], []
             for _, shingles in _sets(batch["text"]):
                 classes.append(_class(_digest(shingles)))
                 sets.append(shingles.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
+                sketches.append(_sketch(shingles).tobytes())
+            columns = [pa.array(classes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(map(len, sets), pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "shingles", "size", "sketch"])
 
-    return docs.select("text").mapInArrow(read, "class long, shingles array<long>")
+    return docs.select("text").mapInArrow(read, "class long, shingles array<long>, size long, sketch binary")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -394,13 +434,9 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (100 * common >= SIMILAR * union).alias("linked"), (1 - common / union).alias("distance"))
 
 
-def _labelled(regions: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Regions with their members' components so far; those of one component only are left out."""
-    if links is None:
-        rows = regions.withColumn("label", F.col("class"))
-    else:
-        found = components(links)
-        rows = regions.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+def _labelled(regions: DataFrame, joined: DataFrame) -> DataFrame:
+    """Regions with their members' components so far, ``joined``; those of one component only are left out."""
+    rows = regions.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
     per_region = rows.groupBy("region").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("members"))
     open_ = stage(per_region.where(F.col("_low") != F.col("_high")).select("region", "members"), "jaccard-open").table
     return rows.join(open_, "region")
@@ -428,7 +464,7 @@ def _cells(regions: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, D
     sizes = cells.groupBy("region", "cell", "members").agg(F.count(F.lit(1)).alias("n"))
     stuck = stage(sizes.groupBy("region", "members").agg(F.max("n").alias("n")).where(10 * F.col("n") > 7 * F.col("members")).select("region"), "jaccard-stuck").table
     smaller = cells.join(stuck, "region", "left_anti").select(F.col("cell").alias("region"), "class")
-    return known.where("linked").select("a", "b"), smaller, regions.join(stuck, "region", "left_semi").select("region", "class", "members", "label")
+    return known.where("linked").select("a", "b"), smaller, regions.join(stuck, "region", "left_semi").select("region", "class")
 
 
 def _compare(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
@@ -472,25 +508,37 @@ def _compare(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, in
 def _blocks(regions: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) of regions of any size, in tasks of bounded size.
 
-    Members of a region's main component, that of its pivot, need not meet each other. They are dealt over blocks,
-    and the others, if they fit one block, go to every block. Where they do not, every block meets every other one, and itself.
+    Members of a region's largest component need not meet each other. They are dealt over blocks, and the others over blocks of their
+    own: each of these meets every other block and itself. Others that fit one block meet each other along with the first.
     """
-    main = stage(regions.groupBy("region").agg(F.min_by("label", F.struct(F.xxhash64("class"), "class")).alias("main")), "jaccard-main").table
-    marked = regions.join(main, "region").withColumn("_out", F.col("label") != F.col("main"))
-    few = stage(marked.groupBy("region").agg((F.count_if("_out") <= BLOCK).alias("_few")), "jaccard-few").table
-    count = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = marked.join(few, "region").withColumn("_of", count).withColumn("_in", F.pmod(F.xxhash64("class"), F.col("_of")).cast("int"))
-    everywhere = F.sequence(F.lit(0), F.col("_of") - 1)
-    with_all = F.when(F.col("_few") & ~F.col("_out"), F.array("_in")).otherwise(everywhere)
-    met = placed.select("region", "class", "label", "_few", "_out", "_in", F.explode(with_all).alias("_with"))
-    pairwise = [F.least("_in", "_with"), F.greatest("_in", "_with")]
-    task = F.when(F.col("_few"), F.xxhash64("region", "_with")).otherwise(F.xxhash64("region", *pairwise))
-    side = (
-        F.when(F.col("_few"), F.when(F.col("_out"), 2).otherwise(0))
-        .when(F.col("_in") == F.col("_with"), 2).when(F.col("_in") < F.col("_with"), 0).otherwise(1)
+    per_label = regions.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = F.max(F.struct("n", "label"))
+    per_region = per_label.groupBy("region").agg(main.alias("main"), F.sum("n").alias("n"))
+    main = stage(per_region.select("region", F.col("main.label").alias("main"), F.col("main.n").alias("_main_n"), "n"), "jaccard-main").table
+    marked = regions.select("region", "class", "label").join(main, "region").withColumn("_out", F.col("label") != F.col("main"))
+
+    def blocks(rows: Column) -> Column:
+        return F.greatest(F.ceil(rows / BLOCK), F.lit(1)).cast("int")
+
+    mains, outs = F.col("_mains"), F.col("_outs")
+    placed = marked.withColumns({"_mains": blocks(F.col("_main_n")), "_outs": blocks(F.col("n") - F.col("_main_n"))})
+    placed = placed.withColumn("_in", F.pmod(F.xxhash64("class"), F.when(F.col("_out"), outs).otherwise(mains)).cast("int"))
+    mine = F.col("_in")
+
+    def each(count: Column, place: Callable[[Column], tuple]) -> Column:
+        named = ("kind", "x", "y", "side")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(*(F.lit(v).cast("int").alias(k) for k, v in zip(named, place(i)))))
+
+    own_side = lambda i: F.when(mine == i, 2).when(mine < i, 0).otherwise(1)
+    tasks = (
+        F.when(F.col("_out") & (outs == 1), each(mains, lambda i: (0, i, 0, 2)))
+        .when(~F.col("_out"), each(outs, lambda i: (0, mine, i, 0)))
+        .otherwise(F.concat(each(mains, lambda i: (0, i, mine, 1)), each(outs, lambda i: (1, F.least(mine, i), F.greatest(mine, i), own_side(i)))))
     )
-    needed = maybe_in(sets, regions.select("class"), "class")
-    rows = met.select(task.alias("task"), "class", "label", side.alias("side")).join(needed, "class")
+    met = placed.select("region", "class", "label", F.explode(tasks).alias("_at"))
+    needed = maybe_in(sets.select("class", "shingles"), regions.select("class"), "class")
+    task = F.xxhash64("region", "_at.kind", "_at.x", "_at.y")
+    rows = met.select(task.alias("task"), "class", "label", F.col("_at.side").alias("side")).join(needed, "class")
 
     def run(table: pa.Table) -> pa.Table:
         held = list(zip(*(table[c].to_pylist() for c in ("class", "label", "side")), (s.values.to_numpy(zero_copy_only=False) for s in table["shingles"])))
@@ -500,16 +548,58 @@ def _blocks(regions: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def _families(near_pivot: DataFrame) -> DataFrame:
-    """(region, class) to go on with, where a region stands for all regions of one family of documents.
+def _undecided(regions: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): for each region, stars of the members that may link with one of another component, by size and sketch.
+
+    Regions of two are decided by their pivot. Regions of more than ``LARGE`` members are one star each.
+    """
+    rows = stage(_labelled(regions, joined).where(F.col("members") > 2), "jaccard-undecided").table
+    columns = ["region", "class", "label", "size"]
+    told = rows.where(F.col("members") <= LARGE).join(sets.select("class", "size", "sketch"), "class").select(*columns, "sketch")
+
+    def stars(table: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+        def fits(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+            good = table[one, 2] != table[other, 2]
+            good[good] = _room(table[:, 3], sketches, one[good], other[good])
+            return good
+
+        label, alive = _joined(table[:, 0], fits)
+        pairs = np.unique(np.stack((table[label[alive], 1], table[alive, 1]), axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sketched = np.zeros((0, len(columns)), np.int64), np.zeros((0, BUCKETS), np.uint8)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.stack([batch[name].to_numpy(zero_copy_only=False) for name in columns], axis=1)
+            held = np.concatenate((held, table))
+            sketched = np.concatenate((sketched, np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(-1, BUCKETS)))
+            last = int(np.searchsorted(held[:, 0], held[-1, 0]))
+            yield stars(held[:last], sketched[:last])
+            held, sketched = held[last:], sketched[last:]
+        yield stars(held, sketched)
+
+    found = told.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
+    whole = rows.where((F.col("members") > LARGE) & (F.col("class") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+    return found.unionByName(whole)
+
+
+def _families(pairs: DataFrame) -> DataFrame:
+    """(region, class) to go on with: what hangs together by ``pairs`` is one region, of whatever size.
 
     Regions that share members overlap almost wholly where documents are copies of each other, and would repeat each
-    other's work once per shingle. Members of regions that hang together are a family, of whatever size, and a family is one
-    region. In a family of two the only pair is done.
+    other's work once per shingle.
     """
-    member = stage(components(near_pivot).select(F.col("node").alias("class"), F.col("component").alias("region")), "jaccard-member").table
-    sizes = stage(member.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2), "jaccard-families").table
-    return member.join(sizes.select("region"), "region", "left_semi")
+    return stage(components(pairs).select(F.col("node").alias("class"), F.col("component").alias("region")), "jaccard-member").table
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def link_classes(docs: DataFrame, frequent: np.ndarray, classes: DataFrame) -> DataFrame:
@@ -531,30 +621,34 @@ def link_classes(docs: DataFrame, frequent: np.ndarray, classes: DataFrame) -> D
     near_pivot = regions.where(F.col("class") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     near_pivot = stage(near_pivot, "jaccard-near").table
     pairs = stage(_possible_pairs(near_pivot, traits), "jaccard-pairs").table
-    found = [stage(_distances(pairs, sets).where("linked").select("a", "b"), "jaccard-links").table]
-    open_ = _families(near_pivot)
+    links = stage(_distances(pairs, sets).where("linked").select("a", "b"), "jaccard-links").table
+    joined = components(links)
+    open_ = _families(_undecided(regions, joined, sets))
     waiting = []
-    for depth in range(DEPTH + 1):
-        so_far = found[0]
-        for more in found[1:]:
-            so_far = so_far.unionByName(more)
-        labelled = stage(_labelled(open_, so_far), "jaccard-labelled")
-        if not labelled.rows:
-            break
+    for depth in range(DEPTH):
+        labelled = stage(_labelled(open_, joined), "jaccard-labelled")
+        if not labelled.rows and not depth:
+            return _as_links(joined)
         small = F.col("members") <= BLOCK
         large = labelled.table.where(~small)
-        waiting.append(labelled.table.where(small) if depth < DEPTH else labelled.table)
-        if depth == DEPTH or large.isEmpty():
+        waiting.append(labelled.table.where(small))
+        open_ = None
+        if large.isEmpty():
             break
         links, open_, stuck = _cells(large, sets)
-        found.append(links)
+        joined = components(_as_links(joined).unionByName(links))
         waiting.append(stuck)
-    for regions_left in waiting:
-        found.append(stage(_blocks(regions_left.select("region", "class", "label", "members"), sets), "jaccard-compared").table)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    if len(waiting) == 1:
+        left = waiting[0]
+    else:
+        # Links to pivots join most of what they could not cut, so labels are told anew after them.
+        left = _united([each.select("region", "class") for each in (*waiting, *([] if open_ is None else [open_]))])
+        left = stage(_labelled(left, joined), "jaccard-left").table
+    return _as_links(joined).unionByName(stage(_blocks(left, sets), "jaccard-compared").table)
+
+
+def _as_links(joined: DataFrame) -> DataFrame:
+    return joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def group(docs: DataFrame) -> DataFrame:
