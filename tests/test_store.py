@@ -6,6 +6,7 @@ import glob
 import json
 import os
 import threading
+import time
 from datetime import datetime
 
 import pytest
@@ -438,3 +439,26 @@ def test_requests_of_two_epochs_are_two_requests_of_source_a(spark, tmp_path):
     for epoch in (1, 2):
         write_lines(open_landing(spark, folder), "0.json", [{**page, "results": [{"id": str(epoch), "title": "t", "redirect_url": f"https://a/{epoch}"}]}])
     assert titles(spark, Landing(pages_a=folder)) == [("https://a/1", "t"), ("https://a/2", "t")]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, asked = files(), dict(spark.conf.getAll).get(setting)
+    kept = spark.range(3000).groupBy((F.col("id") % 7).alias("k")).count()  # its plan stays referenced, so no garbage collection can help
+    assert stage(kept, "shuffled").rows == 7
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert dict(spark.conf.getAll).get(setting) == asked
+    spark.conf.set(setting, "false")
+    try:
+        assert stage(kept, "shuffled").rows == 7
+        assert spark.conf.get(setting) == "false" and files() - before
+    finally:
+        spark.conf.unset(setting)

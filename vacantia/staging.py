@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,37 @@ def new_path(spark: SparkSession, label: str, outlives: bool = False) -> str:
     return path
 
 
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_removing: dict[str, int] = {}
+_removing_lock = Lock()
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside removes its shuffle files when it ends; they stay until the driver happens to collect its garbage otherwise.
+
+    A written table is read instead of what it was made of, so nothing asks for these files again. A choice that the session has made stays.
+    Writes of one session that run at a time share the setting; the last one takes it back.
+    """
+    session = spark._jsparkSession.sessionUUID()
+    with _removing_lock:
+        if session not in _removing and spark._jsparkSession.sessionState().conf().contains(_SHUFFLES_GO):
+            session = None
+        else:
+            if session not in _removing:
+                spark.conf.set(_SHUFFLES_GO, "true")
+            _removing[session] = _removing.get(session, 0) + 1
+    try:
+        yield
+    finally:
+        if session is not None:
+            with _removing_lock:
+                _removing[session] -= 1
+                if not _removing[session]:
+                    del _removing[session]
+                    spark.conf.unset(_SHUFFLES_GO)
+
+
 @dataclass(frozen=True)
 class Staged:
     table: DataFrame
@@ -63,7 +95,8 @@ def stage(df: DataFrame, label: str, outlives: bool = False, **measures: Column)
     path = new_path(spark, label, outlives)
     seen = Observation()
     wanted = [F.count(F.lit(1)).alias("rows"), *(column.alias(name) for name, column in measures.items())]
-    df.observe(seen, *wanted).write.option("compression", CODEC).parquet(path)
+    with _shuffles_removed(spark):
+        df.observe(seen, *wanted).write.option("compression", CODEC).parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path, seen.get)
 
 
