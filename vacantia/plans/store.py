@@ -232,11 +232,16 @@ class OfferStore:
 
     # --- reading ----------------------------------------------------------------------------
 
-    def read(self, table: str, before: int | None = None, only: int | None = None, after: int | None = None) -> DataFrame:
-        """A table, what it held before a version, what came after one, or one version; only these folders are opened."""
+    def read(self, table: str, before: int | None = None, only: int | None = None, after: int | None = None, drop_joins: bool = True) -> DataFrame:
+        """A table, what it held before a version, what came after one, or one version; only these folders are opened.
+
+        Joins with a table without a folder leave the plan if they may; this also gives up the buckets that the other side lies in.
+        """
         self.last()
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            if not drop_joins:
+                return self.spark.createDataFrame([], TABLES[table])
             # Known to be empty when a join is planned, so that nothing is shuffled to meet it.
             return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
         fields = [f for f in TABLES[table] if f.name != "version" or table in _OWN_VERSION]
@@ -265,6 +270,8 @@ class OfferStore:
         if base is None:
             return later
         kept = read_bucketed(self.spark, f"{base['folder']}/state", _ddl(STATE), "id", base["buckets"])
+        # The snapshot is read by its buckets, whether there are changes or not.
+        changes = [self.read(t, before, after=after, drop_joins=False) for t in ("scores", "status_changes", "tombstones")]
         return current_offers(kept, *changes).unionByName(later)
 
     def alive_keys(self, before: int | None = None) -> DataFrame:
